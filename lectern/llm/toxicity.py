@@ -25,20 +25,29 @@ from .common import cut, fit_platt, held_out, sigmoid, training_rows
 #: Bound on the labelled documents that the model is fitted to, and on the tokens that it keeps a score for.
 MAX_TRAINING_DOCS, MAX_TOKENS = 12_000, 50_000
 PREDICT_AT = 0.3
-#: Weight of the prior in tokens, the least log-odds and z of a scored token, and what any other token costs.
-PRIOR, MIN_LOG_ODDS, MIN_Z, DRIFT = 1_000.0, 1.5, 3.0, 0.1
+#: Weight of the prior as a share of the tokens, the least log-odds and z of a scored token, and what any other costs.
+PRIOR, MIN_LOG_ODDS, MIN_Z, DRIFT = 0.05, 2.0, 7.0, 0.1
 #: Toxic texts that a scored token occurs in at least.
-MIN_TEXTS = 4
+MIN_TEXTS = 5
 #: Segments whose chance under the negatives is below this count.
 SIGNIFICANT = 0.5
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+#: Lengths of the word beginnings that count beside whole words, so that inflected forms share evidence.
+STEMS = (4, 5, 6)
+
+
 def tokens(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def units(word: str) -> list[str]:
+    """What a token is counted under: itself, and its beginnings (marked by a hyphen)."""
+    return [word, *(word[:n] + "-" for n in STEMS if len(word) > n)]
+
+
 def maximal_segments(scores) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) of a sequence, in linear time.
 
@@ -91,10 +100,22 @@ class Model:
     slope: float
     intercept: float
 
+    def __post_init__(self):
+        self.known: dict[str, float | None] = {}
+
+    def token_score(self, word: str) -> float | None:
+        """The highest of the word's scored units, if any.  Answers are kept for at most 1 << 18 words."""
+        try:
+            return self.known[word]
+        except KeyError:
+            if len(self.known) >= 1 << 18:
+                self.known.clear()
+            answer = self.known[word] = max((self.odds[u] for u in units(word) if u in self.odds), default=None)
+            return answer
+
     def segments(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         words = tokens(text)
-        get = self.odds.get
-        found = [(i, s) for i, s in enumerate(map(get, words)) if s is not None]
+        found = [(i, s) for i, s in enumerate(map(self.token_score, words)) if s is not None]
         return len(words), sparse_segments([i for i, _ in found], [s for _, s in found], self.drift)
 
     def surprise(self, score: float, n: int) -> float:
@@ -122,23 +143,28 @@ def token_odds(counts: DataFrame) -> dict[str, float]:
     pos, neg = float(totals["pos"] or 0), float(totals["neg"] or 0)
     if not pos or not neg:
         return {}
-    prior = (F.col("pos") + F.col("neg")) * F.lit(PRIOR / (pos + neg))
+    weight = PRIOR * (pos + neg)
+    prior = (F.col("pos") + F.col("neg")) * F.lit(PRIOR)
     a, b = F.col("pos") + prior, F.col("neg") + prior
-    odds = F.log(a / (F.lit(pos + PRIOR) - a)) - F.log(b / (F.lit(neg + PRIOR) - b))
+    odds = F.log(a / (F.lit(pos + weight) - a)) - F.log(b / (F.lit(neg + weight) - b))
     scored = counts.filter(F.col("texts") >= MIN_TEXTS).select("w", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
     top = scored.filter((F.col("odds") >= MIN_LOG_ODDS) & (F.col("z") >= MIN_Z)).orderBy(F.desc("z"), "w").limit(MAX_TOKENS)
     return {r["w"]: float(r["odds"]) for r in top.collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -> Model:
-    """Learns from rows outside the held-out fold only; a third of them, by text, calibrates and gives no token odds."""
-    train = cut(training_rows(docs, labels, "toxic", max_docs).select("text", "y", (F.pmod(F.xxhash64("text"), F.lit(3)) == 0).alias("calibrates")))
+    """Learns from rows outside the held-out fold only; a quarter of them, by text, calibrates and gives no token odds."""
+    train = cut(training_rows(docs, labels, "toxic", max_docs).select("text", "y", (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("calibrates")))
 
     def counted(batches):
         for pdf in batches:
             sums: dict[str, list[int]] = {}
             for text, y in zip(pdf["text"], pdf["y"]):
+                found = Counter()
                 for w, k in Counter(tokens(text)).items():
+                    for u in units(w):
+                        found[u] += k
+                for w, k in found.items():
                     row = sums.setdefault(w, [0, 0, 0])
                     row[int(y > 0)] += k
                     row[2] += int(y > 0)
