@@ -41,7 +41,9 @@ def skew_lookup(left: DataFrame, right: DataFrame, keys: list[str], total: int,
     hot = right.filter(F.col(count) >= least)
     cold = right.filter(F.col(count) < least)
     hot = hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.struct(*values).alias("__hot"))
-    cold = cold.select(*[F.col(k).alias(f"__c_{k}") for k in keys], F.lit(0).alias("__c_salt"), F.struct(*values).alias("__cold"))
+    # Always 0, but not a literal, which the optimiser would take out of the join keys.
+    unsalted = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int")
+    cold = cold.select(*[F.col(k).alias(f"__c_{k}") for k in keys], unsalted.alias("__c_salt"), F.struct(*values).alias("__cold"))
     on_hot = [left[k] == hot[f"__h_{k}"] for k in keys]
     step = left.join(F.broadcast(hot), on_hot, "left")
     step = step.withColumn("__salt", F.when(F.col("__hot").isNotNull(), 1 + F.pmod(salt_from, F.lit(1 << 20))).otherwise(F.lit(0)).cast("int"))
