@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -92,7 +92,7 @@ class Index:
         """(item, share of the best score, first word, last word + 1) of each item that the text holds a copy of."""
         get = self.number.get
         found = words(text)
-        ids = np.fromiter((get(w, 0) for w in found), np.int64, len(found))
+        ids = np.array(list(map(get, found, repeat(0))), np.int64)
         places: dict[int, list[int]] = {}
         for size, codes in self.codes.items():
             if not len(codes) or len(ids) < size:
@@ -105,7 +105,7 @@ class Index:
             code = np.zeros(len(where), np.int64)
             for k in range(size):
                 code = code * self.base + ids[where + k]
-            hit = np.isin(code, codes)
+            hit = codes[np.minimum(np.searchsorted(codes, code), len(codes) - 1)] == code
             for at in where[hit].tolist():
                 for key, offset in self.seeds[tuple(ids[at : at + size].tolist())]:
                     places.setdefault(key, []).append(at - offset)
@@ -150,16 +150,17 @@ def item_blocks(benchmark: DataFrame):
 
 def word_surprise(docs: DataFrame, vocabulary: set[str]) -> dict[str, float]:
     """Minus log of each word's share of the words of all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    names = sorted(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(names)
 
     def counted(batches):
-        sums: Counter = Counter()
+        get = {w: i + 1 for i, w in enumerate(shared.value)}.get
+        sums = np.zeros(len(shared.value) + 1, np.int64)
         for pdf in batches:
             for text in pdf["text"]:
-                found = words(text)
-                sums[""] += len(found)
-                sums.update(filter(shared.value.__contains__, found))
-        yield pd.DataFrame(list(sums.items()), columns=["w", "n"]).astype({"w": str, "n": "int64"})
+                sums += np.bincount(np.array(list(map(get, words(text), repeat(0))), np.int64), minlength=len(sums))
+        rows = [("", int(sums.sum()))] + [(w, int(n)) for w, n in zip(shared.value, sums[1:]) if n]
+        yield pd.DataFrame(rows, columns=["w", "n"])
 
     counts = docs.select("text").mapInPandas(counted, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
     got = {r["w"]: r["n"] for r in counts.collect()}
