@@ -102,13 +102,21 @@ def fit_platt(z, y, steps: int = 60):
     if not pos or not neg:
         return 0.0, float(np.log((pos + 1) / (neg + 1)))
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0 / (z.std() + 1e-9), 0.0
+    if z.std() < 1e-9:
+        return 0.0, float(np.log((pos + 1) / (neg + 1)))
+
+    def loss(a, b):
+        t = a * z + b
+        return (np.logaddexp(0, t) - target * t).sum() + 5e-4 * a * a
+
+    a, b = 0.0, float(np.log((pos + 1) / (neg + 1)))
     for _ in range(steps):
         p = sigmoid(a * z + b)
         s = np.maximum(p * (1 - p), 1e-6)
         grad = np.array([((p - target) * z).sum() + 1e-3 * a, (p - target).sum()])
         hess = np.array([[(s * z * z).sum() + 1e-3, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-6]])
-        step = np.linalg.solve(hess, grad)
-        step *= min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
-        a, b = a - step[0], b - step[1]
+        step, length = np.linalg.solve(hess, grad), 1.0
+        while length > 1e-6 and loss(a - length * step[0], b - length * step[1]) > loss(a, b):
+            length /= 2
+        a, b = a - length * step[0], b - length * step[1]
     return float(a), float(b)

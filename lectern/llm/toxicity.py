@@ -24,11 +24,14 @@ from .common import cut, fit_platt, held_out, sigmoid, training_rows
 
 #: Bound on the labelled documents that the model is fitted to, and on the tokens that it keeps a score for.
 MAX_TRAINING_DOCS, MAX_TOKENS = 12_000, 50_000
+#: Below so many training documents no part is held back for calibration.
+FEW_TRAINING_DOCS = 400
 PREDICT_AT = 0.3
-#: Weight of the prior as a share of the tokens, the least log-odds and z of a scored token, and what any other costs.
-PRIOR, MIN_LOG_ODDS, MIN_Z, DRIFT = 0.05, 2.0, 7.0, 0.1
-#: Toxic texts that a scored token occurs in at least.
-MIN_TEXTS = 5
+#: Weight of the prior as a share of the tokens, the least log-odds of a scored token, and what any other costs.
+PRIOR, MIN_LOG_ODDS, DRIFT = 0.05, 2.0, 0.1
+#: A token is scored if the log-likelihood ratio of its texts' labels exceeds the log of the number of tokens by this
+#: much: at 0, about one token is scored by chance.
+MARGIN = 0.0
 #: Segments whose chance under the negatives is below this count.
 SIGNIFICANT = 0.5
 
@@ -44,8 +47,8 @@ def tokens(text: str) -> list[str]:
 
 
 def units(word: str) -> list[str]:
-    """What a token is counted under: itself, and its beginnings (marked by a hyphen)."""
-    return [word, *(word[:n] + "-" for n in STEMS if len(word) > n)]
+    """What a token is counted under: its beginnings (marked by a hyphen), the shortest first, and itself."""
+    return [*(word[:n] + "-" for n in STEMS if len(word) > n), word]
 
 
 def maximal_segments(scores) -> list[tuple[int, int, float]]:
@@ -104,13 +107,13 @@ class Model:
         self.known: dict[str, float | None] = {}
 
     def token_score(self, word: str) -> float | None:
-        """The highest of the word's scored units, if any.  Answers are kept for at most 1 << 18 words."""
+        """The odds of the word's first scored unit, which has the most evidence, if any.  Answers are kept for at most 1 << 18 words."""
         try:
             return self.known[word]
         except KeyError:
             if len(self.known) >= 1 << 18:
                 self.known.clear()
-            answer = self.known[word] = max((self.odds[u] for u in units(word) if u in self.odds), default=None)
+            answer = self.known[word] = next((self.odds[u] for u in units(word) if u in self.odds), None)
             return answer
 
     def segments(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
@@ -126,7 +129,7 @@ class Model:
     def evidence(self, text: str) -> float:
         n, segments = self.segments(text)
         least = -math.log(SIGNIFICANT)
-        return math.log1p(sum(s for s in (self.surprise(score, n) for *_, score in segments) if s >= least))
+        return math.sqrt(sum(s for s in (self.surprise(score, n) for *_, score in segments) if s >= least))
 
     def probability(self, evidence: float) -> float:
         return float(sigmoid(self.slope * evidence + self.intercept))
@@ -137,9 +140,12 @@ class Model:
         return [(a, b, s) for a, b, score in segments if (s := self.surprise(score, n)) >= -math.log(SIGNIFICANT)]
 
 
-def token_odds(counts: DataFrame) -> dict[str, float]:
-    """The at most MAX_TOKENS most significant of tokens with counts (w, pos, neg, texts)."""
-    totals = counts.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
+def token_odds(counts: DataFrame, rate: float) -> dict[str, float]:
+    """The at most MAX_TOKENS most significant of tokens with counts of occurrences (pos, neg) and texts (toxic, other).
+
+    ``rate`` is the share of toxic texts.  Significance is by texts, as one text may repeat a token often.
+    """
+    totals = counts.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count("*").alias("n")).first()
     pos, neg = float(totals["pos"] or 0), float(totals["neg"] or 0)
     if not pos or not neg:
         return {}
@@ -147,8 +153,12 @@ def token_odds(counts: DataFrame) -> dict[str, float]:
     prior = (F.col("pos") + F.col("neg")) * F.lit(PRIOR)
     a, b = F.col("pos") + prior, F.col("neg") + prior
     odds = F.log(a / (F.lit(pos + weight) - a)) - F.log(b / (F.lit(neg + weight) - b))
-    scored = counts.filter(F.col("texts") >= MIN_TEXTS).select("w", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
-    top = scored.filter((F.col("odds") >= MIN_LOG_ODDS) & (F.col("z") >= MIN_Z)).orderBy(F.desc("z"), "w").limit(MAX_TOKENS)
+    texts = F.col("toxic") + F.col("other")
+    part = lambda k, share: F.when(k > 0, k * F.log(k / (texts * share))).otherwise(0.0)
+    ratio = part(F.col("toxic"), rate) + part(F.col("other"), 1 - rate)
+    scored = counts.filter("toxic >= 2").select("w", odds.alias("odds"), ratio.alias("ratio"))
+    least = math.log(totals["n"]) + MARGIN
+    top = scored.filter((F.col("odds") >= MIN_LOG_ODDS) & (F.col("ratio") >= least)).orderBy(F.desc("ratio"), "w").limit(MAX_TOKENS)
     return {r["w"]: float(r["odds"]) for r in top.collect()}
 
 
@@ -156,6 +166,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -
     """Learns from rows outside the held-out fold only; a quarter of them, by text, calibrates and gives no token odds."""
     train = cut(training_rows(docs, labels, "toxic", max_docs).select("text", "y", (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("calibrates")))
 
+    if train.count() < FEW_TRAINING_DOCS:  # too few to part: all give odds, and all calibrate
+        learns, calibrates = train, train
+    else:
+        learns, calibrates = train.filter("not calibrates"), train.filter("calibrates")
+
     def counted(batches):
         for pdf in batches:
             sums: dict[str, list[int]] = {}
@@ -165,13 +180,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -
                     for u in units(w):
                         found[u] += k
                 for w, k in found.items():
-                    row = sums.setdefault(w, [0, 0, 0])
+                    row = sums.setdefault(w, [0, 0, 0, 0])
                     row[int(y > 0)] += k
-                    row[2] += int(y > 0)
-            yield pd.DataFrame([(w, p, n, d) for w, (n, p, d) in sums.items()], columns=["w", "pos", "neg", "texts"])
+                    row[2 + int(y > 0)] += 1
+            yield pd.DataFrame([(w, p, n, a, b) for w, (n, p, b, a) in sums.items()], columns=["w", "pos", "neg", "toxic", "other"])
 
-    counts = train.filter("not calibrates").mapInPandas(counted, "w string, pos long, neg long, texts long").groupBy("w").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("texts").alias("texts"))
-    model = Model(token_odds(cut(counts)), DRIFT, 0.0, 1.0, 0.0, 0.0)
+    counts = learns.select("text", "y").mapInPandas(counted, "w string, pos long, neg long, toxic long, other long").groupBy("w").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "toxic", "other")])
+    rate = learns.agg(F.avg((F.col("y") > 0).cast("double"))).first()[0] or 0.0
+    model = Model(token_odds(cut(counts), rate), DRIFT, 0.0, 1.0, 0.0, 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scanned(batches):
@@ -183,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -
             yield pd.DataFrame(out, columns=["y", "n", "segments"])
 
     # Short rows, of at most max_docs documents; ordered, so that the fit doesn't depend on how rows came.
-    got = sorted((r["y"], r["n"], tuple(r["segments"])) for r in train.filter("calibrates").select("text", "y").mapInPandas(scanned, "y int, n long, segments array<double>").collect())
+    got = sorted((r["y"], r["n"], tuple(r["segments"])) for r in calibrates.select("text", "y").mapInPandas(scanned, "y int, n long, segments array<double>").collect())
     y = np.array([r[0] for r in got], float)
     best = np.array([max(r[2], default=0.0) for r in got])
     length = np.log(np.maximum(1, [r[1] for r in got])) if got else np.zeros(0)
@@ -192,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -
         # For a segment score S, S / scale - log n - location / scale is standard Gumbel: moments of the clean texts.
         model.scale = max(0.5, float(clean.std()) * math.sqrt(6) / math.pi)
         model.location = float(clean.mean() - 0.5772 * model.scale - model.scale * length[y == 0].mean())
-    evidence = [math.log1p(sum(s for s in (model.surprise(x, r[1]) for x in r[2]) if s >= -math.log(SIGNIFICANT))) for r in got]
+    evidence = [math.sqrt(sum(s for s in (model.surprise(x, r[1]) for x in r[2]) if s >= -math.log(SIGNIFICANT))) for r in got]
     model.slope, model.intercept = fit_platt(evidence, y) if got else (0.0, 0.0)
     return model
 
