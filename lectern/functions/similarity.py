@@ -57,6 +57,20 @@ def best_window(needle: list, hay: list) -> tuple[int, int, int]:
     return cost[end], start[end], end
 
 
+WINDOW = "distance int, first int, after int, exact boolean"
+
+
+def nearest_window(needle: Column, hay: Column) -> Column:
+    """best_window of the words of two texts; null and empty texts have no words."""
+
+    @F.pandas_udf(WINDOW)
+    def run(needles: pd.Series, hays: pd.Series) -> pd.DataFrame:
+        found = [best_window((a or "").split(), (b or "").split()) for a, b in zip(needles, hays)]
+        return pd.DataFrame([(*w, w[0] == 0) for w in found], columns=["distance", "first", "after", "exact"])
+
+    return run(needle, hay)
+
+
 def matching_tokens(a: list, b: list) -> int:
     return sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
 

@@ -68,6 +68,27 @@ def isotonic_value(blocks: list[tuple[float, float, float]], x: float) -> float:
     return float(np.interp(x, [e for e, _ in ends], [v for _, v in ends]))
 
 
+def isotonic_fit(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """(keys, x, fitted) for each distinct x of a key; equal x are pooled before the rows of a key come together."""
+    known = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pooled = known.groupBy(*keys, x).agg(F.avg(y).alias("__y"), F.count("*").cast("double").alias("__w"))
+    types = ", ".join(f"{c} {pooled.schema[c].dataType.simpleString()}" for c in (*keys, x))
+
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+        blocks = isotonic(pdf[x], pdf["__y"], pdf["__w"])
+        return pdf[[*keys, x]].assign(fitted=[isotonic_value(blocks, v) for v in pdf[x]])
+
+    return pooled.groupBy(*keys).applyInPandas(fitted, f"{types}, fitted double")
+
+
+def logistic_value(weights: dict[str, float], bias: float) -> Column:
+    """Probability from saved coefficients: a plain column expression."""
+    z = F.lit(bias)
+    for name, weight in weights.items():
+        z = z + F.col(name) * weight
+    return 1 / (1 + F.exp(-z))
+
+
 def leave_one_group_out(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """(group, x, y, predicted): an isotonic map fitted to the other groups; their mean where they have under 3 rows.
 

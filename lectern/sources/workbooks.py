@@ -5,6 +5,7 @@ import io
 import re
 import zipfile
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -50,16 +51,62 @@ def sheet_cells(content: bytes) -> list[tuple]:
     return out
 
 
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each cell of each workbook; a workbook is one file, read by one task."""
+def cells(files: DataFrame) -> DataFrame:
+    """A row for each cell of each workbook of (path, content); a workbook is read by one task."""
 
     def rows(batches):
         for pdf in batches:
             for file, content in zip(pdf["path"], pdf["content"]):
-                cells = sheet_cells(content)
-                yield pd.DataFrame([(file, *c) for c in cells], columns=[x.split()[0] for x in CELL.split(", ")])
+                yield pd.DataFrame([(file, *c) for c in sheet_cells(content)], columns=[x.split()[0] for x in CELL.split(", ")])
+
+    return files.select("path", "content").mapInPandas(rows, CELL)
+
+
+def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
+    return cells(spark.read.format("binaryFile").load(path))
+
+
+def column_letters(number: int) -> str:
+    out = ""
+    while number:
+        number, rest = divmod(number - 1, 26)
+        out = chr(65 + rest) + out
+    return out
+
+
+def workbook(sheets: dict[str, list[list]]) -> bytes:
+    """An .xlsx file of rows of numbers, texts and None (no cell)."""
+    package = "http://schemas.openxmlformats.org/package/2006"
+    office = _REL[1:].split("}")[0]
+
+    def cell(row: int, col: int, value) -> str:
+        at = f"{column_letters(col)}{row}"
+        if isinstance(value, (int, float)):
+            return f'<c r="{at}"><v>{value}</v></c>'
+        return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
+
+    out, names = io.BytesIO(), list(sheets)
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(names) + 1))
+        z.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{parts}</Types>')
+        z.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1)) + "</Relationships>")
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN[1:-1]}" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name={quoteattr(n)} sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(names, 1)) + "</sheets></workbook>")
+        for i, name in enumerate(names, 1):
+            rows = "".join(f'<row r="{r}">' + "".join(cell(r, c, v) for c, v in enumerate(values, 1) if v is not None) + "</row>" for r, values in enumerate(sheets[name], 1) if len(values))
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{_MAIN[1:-1]}"><sheetData>{rows}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def written(rows: DataFrame, path_col: str, rows_col: str, lay) -> DataFrame:
+    """(path, content): a workbook for each row, of the sheets that ``lay`` makes of its array of structs."""
+
+    def books(batches):
+        for pdf in batches:
+            made = [workbook(lay([list(r.values()) for r in many])) for many in pdf["__rows"]]
+            yield pd.DataFrame({"path": pdf["path"], "content": made})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, CELL)
+    return rows.select(F.col(path_col).alias("path"), F.col(rows_col).alias("__rows")).mapInPandas(books, "path string, content binary")
 
 
 def detect_tables(cells: DataFrame, gap: int = 2) -> DataFrame:
