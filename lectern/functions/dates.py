@@ -11,16 +11,19 @@ def parse(text: Column) -> Column:
     """ISO text of a date written as ISO, d/m/y or m/d/y where only one reading is possible, ``4 March 2024`` or
     ``March 4, 2024`` (ordinals allowed); null for anything ambiguous or impossible."""
     t = F.regexp_replace(F.lower(F.trim(text)), r"(?<=[0-9])(st|nd|rd|th)\b", "")
-    made = lambda y, m, d: F.try_to_timestamp(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd"))
-    iso = made(*(F.regexp_extract(t, r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$", i) for i in (1, 2, 3)))
-    a, b, y = (F.regexp_extract(t, r"^([0-9]{1,2})[/.]([0-9]{1,2})[/.]([0-9]{4})$", i) for i in (1, 2, 3))
+    # Bound once as a lambda's argument: inlined, it would be worked out again at each use.
+    return F.transform(F.array(t), _iso)[0]
+
+
+def _iso(t: Column) -> Column:
+    a, b, c = (F.get(F.split(t, "[-/., ]+"), i) for i in range(3))
     first, second = a.try_cast("int"), b.try_cast("int")
-    slashed = F.when((first > 12) | (first == second), made(y, b, a)).when(second > 12, made(y, a, b))
     names = "|".join(MONTHS)
     number = lambda name: F.array_position(F.array(*map(F.lit, MONTHS)), name).cast("string")
-    d1, n1, y1 = (F.regexp_extract(t, rf"^([0-9]{{1,2}}) ({names}),? ([0-9]{{4}})$", i) for i in (1, 2, 3))
-    n2, d2, y2 = (F.regexp_extract(t, rf"^({names}) ([0-9]{{1,2}}),? ([0-9]{{4}})$", i) for i in (1, 2, 3))
-    return F.date_format(F.coalesce(iso, slashed, made(y1, number(n1), d1), made(y2, number(n2), d2)), "yyyy-MM-dd")
+    dated = lambda y, m, d: F.concat_ws("-", y, m, d).try_cast("date").cast("string")
+    slashed = F.when((first > 12) | (first == second), dated(c, b, a)).when(second > 12, dated(c, a, b))
+    return (F.when(t.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), dated(a, b, c)).when(t.rlike("^[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4}$"), slashed)
+            .when(t.rlike(f"^[0-9]{{1,2}} ({names}),? [0-9]{{4}}$"), dated(c, number(b), a)).when(t.rlike(f"^({names}) [0-9]{{1,2}},? [0-9]{{4}}$"), dated(c, number(a), b)))
 
 
 def period(text: Column) -> Column:

@@ -8,33 +8,35 @@ K1, B = 1.5, 0.75
 
 def terms(text: Column) -> Column:
     """Lower-cased runs of ASCII letters and digits, as an array."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), "")
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, length): the length goes along, so that no second pass over the texts is needed."""
+def postings(docs: DataFrame, key: str, text: str, vocabulary: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf, length): the length goes along, so that no second pass over the texts is needed.  Given a
+    ``vocabulary`` (term), only its terms are posted; the others are dropped before they are counted."""
     t = docs.select(key, terms(F.col(text)).alias("__t")).select(key, F.size("__t").cast("long").alias("length"), F.explode("__t").alias("term"))
+    t = t if vocabulary is None else t.join(vocabulary, "term", "left_semi")
     return t.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int, max_broadcast: int = 200_000) -> DataFrame:
     """(query_key, key, score, rank): the k best documents of each query, score > 0, ties by the least key.
 
-    Statistics are those of ``docs``: filter first to rank within a subset.  Only terms of queries are posted: they
-    are broadcast if their number, which is counted, is at most ``max_broadcast``, else shuffled.
+    Statistics are those of ``docs``: filter first to rank within a subset.  Only terms of queries are posted.  The
+    terms and pairs of query and term are counted: up to ``max_broadcast`` they are broadcast, so that a frequent term
+    makes no hot partition, else shuffled.
     """
     words = queries.select(F.col(query_key), F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
-    vocabulary = words.select("term").distinct()
-    if vocabulary.count() <= max_broadcast:
-        vocabulary = F.broadcast(vocabulary)
+    counted = words.agg(F.count("*").alias("pairs"), F.countDistinct("term").alias("terms")).first()
+    small = lambda rows, n: F.broadcast(rows) if n <= max_broadcast else rows
     size = docs.agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col(text)))).alias("mean")).first()
     n, mean = size["n"] or 0, size["mean"] or 1.0
-    posted = postings(docs, key, text).join(vocabulary, "term")
+    posted = postings(docs, key, text, small(words.select("term").distinct(), counted["terms"]))
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(mean) or 1.0)))
-    weighted = posted.join(df, "term").select("term", key, weight.alias("w"))
-    scored = weighted.join(words, "term").groupBy(query_key, key).agg(F.round(F.sum("w"), 6).alias("score")).filter("score > 0")
+    weighted = posted.join(small(df, counted["terms"]), "term").select("term", key, weight.alias("w"))
+    scored = weighted.join(small(words, counted["pairs"]), "term").groupBy(query_key, key).agg(F.round(F.sum("w"), 6).alias("score")).filter("score > 0")
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(key))
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

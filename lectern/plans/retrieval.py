@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, similarity, text
 from ..operators import chunks, ranking
-from .registry import query, table
+from .registry import query, spread, table
 
 _TERMS = "list_filter(string_split_regex(lower(coalesce({0}, '')), '[^a-z0-9]+'), lambda x: x <> '')"
 
@@ -25,13 +25,13 @@ SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION
 
 @query(_bm25_sql())
 def bm25_topk(spark, d):
-    return ranking.bm25(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", 3)
+    return ranking.bm25(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", 3)
 
 
 @query(_bm25_sql("lang = 'en'"))
 def bm25_filtered_lang(spark, d):
     """The filter comes first: statistics are those of the eligible documents."""
-    return ranking.bm25(table(spark, d, "documents").filter("lang = 'en'"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", 3)
+    return ranking.bm25(spread(table(spark, d, "documents").filter("lang = 'en'").select("doc_id", "text")), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", 3)
 
 
 @query("SELECT doc_id, trim(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ') AS norm FROM documents")
@@ -136,18 +136,18 @@ def token_wer(spark, d):
 @query("SELECT doc_id, length(coalesce(text, ''))::BIGINT AS n_chars, true AS lossless FROM documents WHERE length(coalesce(text, '')) > 0")
 def chunk_lossless(spark, d):
     """Chunk lengths sum to the text's, and each chunk starts where the one before ended."""
-    c = chunks.chunk_documents(table(spark, d, "documents"), "doc_id", "text")
+    c = chunks.chunk_documents(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
     per = c.groupBy("doc_id").agg(F.sum(F.length("content")).alias("n_chars"), F.max("end").alias("e"), F.sum(F.col("end") - F.col("start")).alias("s"), F.min("start").alias("b"))
     return per.select("doc_id", "n_chars", ((F.col("b") == 0) & (F.col("e") == F.col("s")) & (F.col("s") == F.col("n_chars"))).alias("lossless"))
 
 
 @query()
 def chunk_sections(spark, d):
-    return chunks.chunk_documents(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "ordinal", "start", "end", "content_tokens", "indexable", "chunk_id")
+    return chunks.chunk_documents(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text").select("doc_id", "ordinal", "start", "end", "content_tokens", "indexable", "chunk_id")
 
 
 @query()
 def budget_pack(spark, d):
-    top = ranking.bm25(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", 10)
+    top = ranking.bm25(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", 10)
     sized = top.join(table(spark, d, "documents").select("doc_id", (F.octet_length("text") / 4).cast("int").alias("tokens")), "doc_id")
     return chunks.pack(sized, "item_id", "rank", "tokens", 3072)

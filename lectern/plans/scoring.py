@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import grids
 from ..operators import bags, intervals, joins, metrics, ranking, rules, stats
 from ..streaming import sessions
-from .registry import query, table
+from .registry import query, spread, table
 
 r6 = lambda c: F.round(c, 6)
 
@@ -315,7 +315,7 @@ r AS (SELECT doc_id, field, count(DISTINCT value) AS n_values, min(value) AS v F
 SELECT d.doc_id, f.field, CASE WHEN n_values IS NULL THEN 'not_found' WHEN n_values = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN n_values = 1 THEN v END AS value, coalesce(n_values, 0) AS n_values
 FROM (SELECT DISTINCT doc_id FROM documents) d CROSS JOIN (VALUES ('license'), ('mail')) f(field) LEFT JOIN r ON r.doc_id = d.doc_id AND r.field = f.field""")
 def rule_candidates(spark, d):
-    return rules.decisions(table(spark, d, "documents"), "doc_id", "text", _RULES)
+    return rules.decisions(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", _RULES)
 
 
 @query("SELECT doc_id, CASE WHEN quality = 1 THEN 'rule' WHEN toxic = 0 THEN 'model' ELSE 'abstain' END AS method, CASE WHEN quality = 1 THEN 'q1' WHEN toxic = 0 THEN 't0' END AS value, quality = 1 AND toxic = 0 AS conflict FROM labels")
