@@ -19,7 +19,7 @@ def average_rank(rows: DataFrame, keys: list[str], value: str, name: str) -> Dat
 
 def correlation(x: str, y: str) -> Column:
     """Pearson; null for under three pairs or zero variance."""
-    value = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    value = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)) + F.lit(0.0)
     return F.when(F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)) >= 3, value)
 
 

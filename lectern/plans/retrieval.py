@@ -99,7 +99,7 @@ def extract_numbers(spark, d):
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, case when day(o_orderdate) > 12 or day(o_orderdate) = month(o_orderdate) then strftime(o_orderdate, '%Y-%m-%d') end AS slashed, strftime(o_orderdate, '%Y-%m-%d') AS named, strftime(o_orderdate, '%Y-%m-%d') AS american FROM orders")
 def parse_dates_ambiguous(spark, d):
-    o, day = table(spark, d, "orders"), F.col("o_orderdate")
+    o, day = spread(table(spark, d, "orders").select("o_orderkey", "o_orderdate")), F.col("o_orderdate")
     shown = {"day": "yyyy-MM-dd", "slashed": "dd/MM/yyyy", "named": "d MMMM yyyy", "american": "MMMM d, yyyy"}
     return o.select("o_orderkey", *[dates.parse(F.date_format(day, f)).alias(c) for c, f in shown.items()])
 
