@@ -1,8 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds join texts to test items; Smith-Waterman alignment scores each meeting.
+"""Benchmark decontamination: n-gram seeds join texts to test items; Smith-Waterman alignment scores each meeting.
 
-A seed is a word n-gram of an item that is unlikely by chance: the sum of its words' surprise, from their counts in
-all documents, is at least MIN_SURPRISE.  Documents are read twice and never shuffled: once to count the words that
-items use, once to meet the seeds and align.  Items are the query set; they go in blocks of bounded size.
+Every word n-gram of an item is a seed, however common its words and however often the item was copied, so each copy
+that keeps SEED_WORDS words in a row is met.  (A bar on rarity lost items of common words and much-copied ones.)
+Seeds by chance are cheap: windows that hold too few of the item's words to count as a copy aren't aligned, which
+changes no result.  Documents are read once and never shuffled.  Items are the query set; they go in blocks of
+bounded size.  A copy with every third word changed keeps no seed and isn't met.
 
 Defined results: null or empty texts and items meet nothing; an item shorter than a seed takes its whole word
 sequence as its seed; repeated rows and ties give a row each; very long texts are scanned whole, and only windows
@@ -10,7 +12,6 @@ around seeds are aligned; empty tables give empty results; other columns are not
 """
 from __future__ import annotations
 
-import math
 import re
 from itertools import repeat
 
@@ -18,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-SEED_WORDS, MIN_SURPRISE = 3, 16.0
+SEED_WORDS = 3
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 #: Share of the best possible score at which a text counts as a copy.
 LEAK_AT = 0.5
@@ -66,18 +67,18 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
 class Index:
     """Seeds of a block of items, over numbers of their words."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], surprise: dict[str, float]):
+    def __init__(self, items: list[tuple[int, list[str]]]):
         self.number = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
         # Repeated items count once; different texts under one id are kept apart by their places.
         items = [(key, list(ws)) for key, ws in dict.fromkeys((key, tuple(ws)) for key, ws in items)]
         self.ids = [key for key, _ in items]
         self.items = [np.array([self.number[w] for w in ws], np.int64) for _, ws in items]
+        self.sets = [np.unique(x) for x in self.items]
         self.seeds: dict[tuple, list[tuple[int, int]]] = {}
         for key, (_, ws) in enumerate(items):
             size = min(SEED_WORDS, len(ws))
             for at in range(len(ws) - size + 1 if ws else 0):
-                if len(ws) <= SEED_WORDS or sum(surprise.get(w, math.inf) for w in ws[at : at + size]) >= MIN_SURPRISE:
-                    self.seeds.setdefault(tuple(self.number[w] for w in ws[at : at + size]), []).append((key, at))
+                self.seeds.setdefault(tuple(self.number[w] for w in ws[at : at + size]), []).append((key, at))
         base = len(self.number) + 1
         self.base = base
         self.codes = {size: np.unique(np.array([self.code(s) for s in self.seeds if len(s) == size], np.int64)) for size in range(1, SEED_WORDS + 1)}
@@ -88,6 +89,11 @@ class Index:
             out = out * self.base + x
         return out
 
+    def bound(self, key: int, window: np.ndarray) -> float:
+        """No alignment scores more: each word of the window that the item has is a match."""
+        known = self.sets[key]
+        return MATCH * float(np.count_nonzero(known[np.minimum(np.searchsorted(known, window), len(known) - 1)] == window))
+
     def leaks(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """(item, share of the best score, first word, last word + 1) of each item that the text holds a copy of."""
         get = self.number.get
@@ -123,6 +129,8 @@ class Index:
                     upto = begins[at]
                     at += 1
                 low, high = max(0, first - reach), min(len(ids), upto + len(item) + reach)
+                if self.bound(key, ids[low:high]) < LEAK_AT * MATCH * len(item):
+                    continue
                 got, a, b = align(item, ids[low:high])
                 if got > best[0]:
                     best = (got, low + a, low + b)
@@ -148,33 +156,13 @@ def item_blocks(benchmark: DataFrame):
         yield block
 
 
-def word_surprise(docs: DataFrame, vocabulary: set[str]) -> dict[str, float]:
-    """Minus log of each word's share of the words of all documents."""
-    names = sorted(vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast(names)
-
-    def counted(batches):
-        get = {w: i + 1 for i, w in enumerate(shared.value)}.get
-        sums = np.zeros(len(shared.value) + 1, np.int64)
-        for pdf in batches:
-            for text in pdf["text"]:
-                sums += np.bincount(np.array(list(map(get, words(text), repeat(0))), np.int64), minlength=len(sums))
-        rows = [("", int(sums.sum()))] + [(w, int(n)) for w, n in zip(shared.value, sums[1:]) if n]
-        yield pd.DataFrame(rows, columns=["w", "n"])
-
-    counts = docs.select("text").mapInPandas(counted, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    got = {r["w"]: r["n"] for r in counts.collect()}
-    total = got.pop("", 0) + 1
-    return {w: -math.log((n + 1) / (total + 1)) for w, n in got.items()}
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word): one row for each document row and item that it holds a copy of."""
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, score double, first_word long, end_word long"
     out = docs.sparkSession.createDataFrame([], schema)
     for block in item_blocks(benchmark):
-        index = docs.sparkSession.sparkContext.broadcast(index_of(docs, block))
+        index = docs.sparkSession.sparkContext.broadcast(Index(block))
 
         def met(batches, index=index):
             for pdf in batches:
@@ -185,15 +173,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def index_of(docs: DataFrame, block: list[tuple[int, list[str]]]) -> Index:
-    return Index(block, word_surprise(docs, {w for _, ws in block for w in ws}))
-
-
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows that hold no copy of any item, with their own columns."""
     clean = docs
     for block in item_blocks(benchmark):
-        clean = clean.filter(~holds_leak(docs.sparkSession.sparkContext.broadcast(index_of(docs, block)))("text"))
+        clean = clean.filter(~holds_leak(docs.sparkSession.sparkContext.broadcast(Index(block)))("text"))
     return clean
 
 

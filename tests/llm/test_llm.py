@@ -186,6 +186,23 @@ def test_leaks_of_edited_copies(spark):
     assert decontam.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_much_copied_items_and_of_common_words(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    hot, common = [word() for _ in range(20)], "it is in the end that which was to be of the and for it all".split()
+    stop = lambda n: [rng.choice(common + ["on", "as", "by", "or"]) for _ in range(n)]
+    rows = [(i, " ".join([word() for _ in range(15)] + (hot if i % 3 == 0 else []) + [word() for _ in range(15)])) for i in range(60)]
+    rows += [(100 + i, " ".join(stop(40) + (common if i % 3 == 0 else []) + [word() for _ in range(5)])) for i in range(30)]
+    bench = spark.createDataFrame([(1, " ".join(hot)), (2, " ".join(common))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs_of(spark, rows), bench).collect()}
+    assert {(i, 1) for i in range(0, 60, 3)} | {(100 + i, 2) for i in range(0, 30, 3)} <= got and {i for i, k in got if k == 1} == set(range(0, 60, 3))
+    # Windows left out by their bound would not have scored: the same as aligning each of them.
+    index = decontam.Index([(r.item_id, decontam.words(r.text)) for r in bench.collect()])
+    pruned = [index.leaks(t) for _, t in rows]
+    index.bound = lambda key, window: float("inf")
+    assert [index.leaks(t) for _, t in rows] == pruned
+
+
 def test_links_connect_what_all_pairs_do(spark):
     rng = random.Random(7)
     base = [rng.getrandbits(64) for _ in range(40)]
