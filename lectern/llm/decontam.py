@@ -6,6 +6,10 @@ Seeds by chance are cheap: windows that hold too few of the item's words to coun
 changes no result.  Documents are read once and never shuffled.  Items are the query set; they go in blocks of
 bounded size.  A copy with every third word changed keeps no seed and isn't met.
 
+A text holds a copy if an alignment reaches LEAK_AT of the best score of the whole item; or, however long the item,
+scores as EXCERPT_WORDS matched words do; or scores as SHORT_WORDS do and reaches LEAK_AT of the best score that the
+whole text could have, which is then an excerpt itself.  The score column is the share of the item in each case.
+
 Defined results: null or empty texts and items meet nothing; an item shorter than a seed takes its whole word
 sequence as its seed; repeated rows and ties give a row each; very long texts are scanned whole, and only windows
 around seeds are aligned; empty tables give empty results; other columns are not read.
@@ -23,6 +27,8 @@ SEED_WORDS = 3
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 #: Share of the best possible score at which a text counts as a copy.
 LEAK_AT = 0.5
+#: Matched words that count as a copy by themselves, and within a text that is mostly such an excerpt.
+EXCERPT_WORDS, SHORT_WORDS = 32, 13
 #: Words of all items that one block may hold: the bound of what is broadcast at once.
 BLOCK_WORDS = 2_000_000
 
@@ -64,6 +70,11 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
     return best, *at
 
 
+def least_score(item_words: int, text_words: int) -> float:
+    """The alignment score at which a text of so many words holds a copy of an item of so many."""
+    return MATCH * min(LEAK_AT * item_words, EXCERPT_WORDS, max(SHORT_WORDS, LEAK_AT * text_words))
+
+
 class Index:
     """Seeds of a block of items, over numbers of their words."""
 
@@ -129,13 +140,13 @@ class Index:
                     upto = begins[at]
                     at += 1
                 low, high = max(0, first - reach), min(len(ids), upto + len(item) + reach)
-                if self.bound(key, ids[low:high]) < LEAK_AT * MATCH * len(item):
+                if self.bound(key, ids[low:high]) < least_score(len(item), len(ids)):
                     continue
                 got, a, b = align(item, ids[low:high])
                 if got > best[0]:
                     best = (got, low + a, low + b)
             share = best[0] / (MATCH * len(item))
-            if share >= LEAK_AT:
+            if best[0] >= least_score(len(item), len(ids)):
                 name = self.ids[key]
                 out[name] = max(out.get(name, (0.0, 0, 0)), (share, best[1], best[2]))
         return [(name, *found) for name, found in sorted(out.items())]

@@ -203,6 +203,20 @@ def test_leaks_of_much_copied_items_and_of_common_words(spark):
     assert [index.leaks(t) for _, t in rows] == pruned
 
 
+def test_leaks_of_parts_of_long_items(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    long, huge = [word() for _ in range(200)], [word() for _ in range(500)]
+    filler = lambda n: [word() for _ in range(n)]
+    edited = [w if i % 6 else word() for i, w in enumerate(huge[200:300])]
+    rows = [(1, filler(300) + long[50:145] + filler(300)), (2, filler(20) + huge[:240]), (3, long[20:40]), (4, filler(100) + edited), (5, filler(300) + long[:20] + filler(300)), (6, long[:8]), (7, filler(400))]
+    docs = docs_of(spark, [(i, " ".join(ws)) for i, ws in rows])
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(huge))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.first_word, r.end_word) for r in decontam.find_leaks(docs, bench).collect()}
+    assert sorted(got) == [(1, 1), (2, 2), (3, 1), (4, 2)] and got[1, 1] == (300, 395) and got[2, 2] == (20, 260)
+    assert sorted(r.doc_id for r in decontam.drop_leaks(docs, bench).collect()) == [5, 6, 7]
+
+
 def test_links_connect_what_all_pairs_do(spark):
     rng = random.Random(7)
     base = [rng.getrandbits(64) for _ in range(40)]
