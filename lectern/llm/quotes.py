@@ -1,12 +1,15 @@
 """Chat formatting by quotation linking.
 
-Nested quote levels are parsed from ``>`` marks; each quoted passage (a run of lines of one level) and each passage of
-a message's own is normalised and hashed; quoted passages are joined to the message of the conversation that wrote
-them; messages come back without quotes, in reply order.  Built from DataFrame functions only.
+Nested quote levels are parsed from ``>`` marks.  A quoted passage is a run of lines of one level, joined and
+normalised to words, so it doesn't matter where its lines were broken; lines that announce a quote aren't part of it,
+and a line of dots alone parts it.  Passages are hashed and joined to the runs of as many words of the messages' own
+texts, so a passage may be any part of a message.  Its author is the latest earlier message that holds it whole; if
+none does, the latest that holds its longest line that any holds.  Messages come back without quotes, in reply order.
+Built from DataFrame functions only.
 
-A hash of a conversation stands for its earliest author only, so the join is many-to-one and common lines don't
-multiply.  No conversation is gathered: reply order is given by (conv_id, root_turn, depth, turn), in which a message
-follows the one that it answers.
+Each quoted hash meets its author as of its turn (`latest_authors`), so the join is many-to-one and common lines don't
+multiply.  Own texts are hashed only in conversations that quote, at the lengths quoted there.  No conversation is
+gathered: reply order is given by (conv_id, root_turn, depth, turn), in which a message follows the one that it answers.
 
 Defined results: null texts are empty; a null conv_id or turn links to nothing; a quote whose author isn't earlier in
 the conversation is no link; of several quotes the latest author counts; repeated rows each give a row; an empty table
@@ -14,11 +17,15 @@ gives an empty table; other columns are not read.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import cut, skew_lookup
 
+#: Turns of one bucket of `latest_authors`.
+TURNS = 1024
+
 _MARKS = r"^[ \t]*((?:>[ \t]?)*)"
+_ELISION = r"^[\[(]?[ .…]*(?:\.{3}|…)[ .…]*[\])]?$"
 _ATTRIBUTION = r"^(?:On .* wrote|.* (?:wrote|said|schrieb|escribió|a écrit)) ?:$"
 
 
@@ -40,25 +47,59 @@ def own_text(parsed: Column) -> Column:
     return F.trim(F.array_join(F.filter(F.transform(own, lambda x: x["line"]), lambda s: ~s.rlike(_ATTRIBUTION)), "\n"))
 
 
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(normalised(text), " "), lambda w: w != "")
+
+
+def passages(parsed: Column) -> Column:
+    """array<array<string>> of the quoted runs of lines of one level; lines of dots alone part them."""
+    lines = F.transform(F.filter(parsed, lambda x: ~x["line"].rlike(_ATTRIBUTION)), lambda x: F.struct(F.when(x["line"].rlike(_ELISION), 0).otherwise(x["level"]).alias("level"), x["line"].alias("line")))
+    starts = F.filter(F.transform(lines, lambda x, i: F.when((i == 0) | (F.get(lines, i - 1)["level"] != x["level"]), i)), lambda i: i.isNotNull())
+    runs = F.transform(starts, lambda i, k: F.slice(lines, i + 1, F.coalesce(F.get(starts, k + 1), F.size(lines)) - i))
+    return F.transform(F.filter(runs, lambda r: F.get(r, F.lit(0))["level"] > 0), lambda r: F.transform(r, lambda x: x["line"]))
+
+
+def latest_authors(quoted: DataFrame, authors: DataFrame) -> DataFrame:
+    """Adds to (conv_id, turn, hash) rows the latest turn of ``authors`` (conv_id, turn, hash) before theirs, or null.
+
+    Turns go in buckets, so that a hash that everyone writes isn't sorted in one task; what earlier buckets hold is
+    carried over by a window over one row a bucket.
+    """
+    bucket = F.floor(F.col("turn") / TURNS).alias("__b")
+    # At equal turns the quote comes first: an author is strictly earlier.
+    events = quoted.select("conv_id", "turn", "hash", bucket, F.lit(0).alias("__own")).union(authors.select("conv_id", "turn", "hash", bucket, F.lit(1))).distinct()
+    wrote = F.when(F.col("__own") == 1, F.col("turn"))
+    within = Window.partitionBy("conv_id", "hash", "__b").orderBy("turn", "__own").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("conv_id", "hash").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    found = events.withColumn("author", F.max(wrote).over(within)).filter("__own = 0")
+    carried = events.groupBy("conv_id", "hash", "__b").agg(F.max(wrote).alias("__last")).withColumn("__last", F.max("__last").over(over))
+    return found.join(carried, ["conv_id", "hash", "__b"]).select("conv_id", "turn", "hash", F.coalesce("author", "__last").alias("author"))
+
+
 def link_quotes(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text, quote_levels, parent_turn, root_turn, depth, formatted) of every row."""
     base = conversations.select("conv_id", "turn", "role", F.col("text").alias("__raw")).withColumn("__p", parsed_lines(F.col("__raw")))
     rows = base.select("conv_id", "turn", "role", own_text(F.col("__p")).alias("text"), F.coalesce(F.array_max(F.transform("__p", lambda x: x["level"])), F.lit(0)).alias("quote_levels"), "__p")
     known = rows.filter("conv_id is not null and turn is not null")
-    lines = known.select("conv_id", "turn", F.explode("__p").alias("l")).select("conv_id", "turn", "l.level", F.xxhash64(normalised(F.col("l.line"))).alias("hash"), F.length(normalised(F.col("l.line"))).alias("__size"))
-    lines = lines.filter("__size > 0")
-    quoted = cut(lines.filter("level > 0").select("conv_id", "turn", "hash").distinct())
-    # Authors are looked for only where something is quoted.
-    authors = lines.filter("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("author"))
-    wanted = quoted.groupBy("conv_id", "hash").agg(F.count("*").alias("n"))
-    authors = authors.join(wanted, ["conv_id", "hash"])
-    total = quoted.count()
-    met = skew_lookup(quoted, authors, ["conv_id", "hash"], total, "n", F.xxhash64("turn")).filter("author < turn")
-    parents = met.groupBy("conv_id", "turn").agg(F.max("author").alias("parent_turn"))
+    runs = known.filter("quote_levels > 0").select("conv_id", "turn", F.explode(passages(F.col("__p"))).alias("__r")).withColumn("run", F.xxhash64("__r"))
+    whole = runs.select("conv_id", "turn", "run", F.lit(True).alias("whole"), words_of(F.array_join("__r", " ")).alias("__w"))
+    alone = runs.select("conv_id", "turn", "run", F.explode("__r").alias("__l")).select("conv_id", "turn", "run", F.lit(False), words_of(F.col("__l")))
+    quoted = cut(whole.union(alone).select("conv_id", "turn", "run", "whole", F.size("__w").alias("n_words"), F.xxhash64(F.array_join("__w", " ")).alias("hash")).filter("n_words > 0").distinct())
+    if quoted.limit(1).count():
+        lengths = quoted.groupBy("conv_id").agg(F.collect_set("n_words").alias("__lengths"))
+        own = known.select("conv_id", "turn", words_of(F.col("text")).alias("__w")).join(lengths, "conv_id")
+        own = own.select("conv_id", "turn", "__w", F.explode("__lengths").alias("__n")).filter("size(__w) >= __n")
+        places = F.sequence(F.lit(1), F.size("__w") - F.col("__n") + 1)
+        hashes = F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice("__w", i, F.col("__n")), " "))))
+        authors = own.select("conv_id", "turn", F.explode(hashes).alias("hash")).join(quoted.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
+        met = quoted.join(latest_authors(quoted.select("conv_id", "turn", "hash").distinct(), authors), ["conv_id", "turn", "hash"]).filter("author is not null")
+    else:
+        met = quoted.withColumn("author", F.col("turn"))
+    best = met.groupBy("conv_id", "turn", "run").agg(F.max(F.struct("whole", "n_words", "author"))["author"].alias("author"))
+    parents = best.groupBy("conv_id", "turn").agg(F.max("author").alias("parent_turn"))
     tree = cut(roots(cut(parents)))
-    each = tree.withColumn("n", F.lit(1))
     # (conv_id, turn) is nearly unique in the rows, so it needs no salt; repeated turns get the same parent.
-    out = rows.drop("__p").join(each.drop("n"), ["conv_id", "turn"], "left")
+    out = rows.drop("__p").join(tree, ["conv_id", "turn"], "left")
     out = out.withColumn("root_turn", F.coalesce("root_turn", "turn")).withColumn("depth", F.coalesce("depth", F.lit(0)).cast("int"))
     shown = F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), F.col("text"), F.lit("\n<|end|>\n"))
     return out.select("conv_id", "turn", "role", "text", "quote_levels", "parent_turn", "root_turn", "depth", shown.alias("formatted"))

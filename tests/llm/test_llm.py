@@ -283,6 +283,24 @@ def test_quotes_link_to_their_authors(spark):
     assert quotes.link_quotes(conv).count() == len(rows) and quotes.link_quotes(conv.limit(0)).count() == 0
 
 
+def test_quotes_rewrapped_in_part_and_of_repeated_lines(spark):
+    rows = [(1, 0, "OK"), (1, 1, "one two three\nfour five six\nseven eight nine"), (1, 2, "> one two\n> three four five\n> six seven\nrewrapped"), (1, 3, "> four, FIVE\npart of a line"), (1, 5, "OK"), (1, 6, "> OK\nlatest"),
+            (1, 7, "five of my own"), (1, 8, "> On Monday X wrote:\n> two three\n> [...]\n> eight nine\nelided"), (1, 9, "> seven eight nine\n> and never said\none line of it"), (1, 5000, "> OK\nfar later"), (2, 0, "OK"), (2, 1, "> > OK\n> never said")]
+    conv = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.root_turn, r.depth) for r in quotes.link_quotes(conv).collect()}
+    assert {k: v[0] for k, v in got.items() if v[0] is not None} == {(1, 2): 1, (1, 3): 1, (1, 6): 5, (1, 8): 1, (1, 9): 1, (1, 5000): 5, (2, 1): 0}
+    assert got[1, 6] == (5, 5, 1) and got[1, 5000] == (5, 5, 1)
+
+
+def test_latest_authors_by_brute_force(spark):
+    rng = random.Random(11)
+    draw = lambda n: sorted({(rng.randint(0, 1), rng.randint(0, 4000), rng.randint(0, 3)) for _ in range(n)})
+    quoted, authors = draw(300), draw(40)
+    schema = "conv_id long, turn long, hash long"
+    got = quotes.latest_authors(spark.createDataFrame(quoted, schema), spark.createDataFrame(authors, schema)).collect()
+    assert sorted((r.conv_id, r.turn, r.hash, r.author) for r in got) == [(c, t, h, max((u for d, u, g in authors if (d, g) == (c, h) and u < t), default=None)) for c, t, h in quoted]
+
+
 def test_shards_fit_and_equal_the_sql(spark):
     rng = random.Random(8)
     rows = [(i, "x" * rng.randint(0, 400)) for i in range(400)] + [(1, "y" * 300)] * 5 + [(None, "n"), (500, None)]
