@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity
 from ..operators import pairing, stats
 from ..sources import workbooks
-from .registry import query, table
+from .registry import counterparts, query, spread, table
 
 
 @query("SELECT p_partkey, round(levenshtein(p_name, p_type) / length(p_name), 6) AS cer FROM part")
@@ -21,9 +21,8 @@ def seq_similarity(spark, d):
 
 @query()
 def semi_global_window(spark, d):
-    """The window of each document that comes nearest to the benchmark item of the same number, in words."""
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("needle"))
-    met = table(spark, d, "documents").select("doc_id", "text").join(items, "doc_id")
+    """The window of each document that comes nearest to the benchmark item dealt to it, in words."""
+    met = counterparts(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "benchmark"))
     return met.select("doc_id", similarity.nearest_window(F.col("needle"), F.col("text")).alias("w")).select("doc_id", "w.*")
 
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def counterparts(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, text, item_id, needle) of every document: items are numbered by item_id and dealt out by doc_id, which
+    has no relation to theirs; a null doc_id takes the first."""
+    numbered = items.select("item_id", F.col("text").alias("needle"), (F.row_number().over(Window.orderBy("item_id", "text")) - 1).alias("__n"))
+    counted = docs.select("doc_id", "text").crossJoin(F.broadcast(items.agg(F.count("*").alias("__items"))))
+    dealt = counted.withColumn("__n", F.expr("pmod(coalesce(doc_id, 0), nullif(__items, 0))"))
+    return dealt.join(F.broadcast(numbered), "__n").select("doc_id", "text", "item_id", "needle")
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A plain scan whose files hold fewer splits than there are cores, dealt out to all of them before heavy work on
     its texts.  Large tables have splits enough and pass unchanged, without a shuffle."""

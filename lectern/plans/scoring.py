@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import grids
 from ..operators import bags, intervals, joins, metrics, ranking, rules, stats
 from ..streaming import sessions
-from .registry import query, spread, table
+from .registry import counterparts, query, spread, table
 
 r6 = lambda c: F.round(c, 6)
 
@@ -113,6 +113,16 @@ def bag_prf_tokens(spark, d):
     return bags.scores(bags.overlap(tokens(items, "item_id"), tokens(paired, "doc_id"), ["item_id"], "t")).select("item_id", "tp", "n_expected", "n_predicted", r6("f1").alias("f1"))
 
 
+@query()
+def bag_prf_documents(spark, d):
+    """Every document against the item dealt to it, where bag_prf_tokens pairs equal numbers only; rows of one doc_id
+    are one bag."""
+    paired = counterparts(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "benchmark"))
+    tokens = lambda df, c: df.select("doc_id", "item_id", F.explode(ranking.terms(F.col(c))).alias("t"))
+    expected = tokens(paired.select("doc_id", "item_id", "needle").distinct(), "needle")
+    return bags.scores(bags.overlap(expected, tokens(paired, "text"), ["doc_id", "item_id"], "t")).select("doc_id", "item_id", "tp", "n_expected", "n_predicted", r6("f1").alias("f1"))
+
+
 @query(f"""WITH n AS (SELECT t, sum(x)::BIGINT AS d FROM (SELECT unnest({_T.format('text')}) AS t, 1 AS x FROM benchmark UNION ALL SELECT unnest({_T.format('text')}), -1 FROM documents) GROUP BY t HAVING sum(x) <> 0)
 SELECT t, greatest(d, 0) AS missing, greatest(-d, 0) AS extra FROM n ORDER BY extra DESC, t LIMIT 10""")
 def bag_missing_extra_top10(spark, d):

@@ -100,3 +100,21 @@ def test_workbooks_are_read_as_written(spark, tmp_path):
 @pytest.mark.parametrize("number, letters", [(1, "A"), (26, "Z"), (27, "AA"), (703, "AAA")])
 def test_columns(number, letters):
     assert workbooks.column_letters(number) == letters and workbooks.column_number(letters) == number
+
+
+def test_every_document_is_scored_against_an_item(spark, tmp_path):
+    from collections import Counter
+
+    from lectern.functions.similarity import best_window
+    from lectern.plans import pairs, scoring  # noqa: F401  (they register their queries)
+    from lectern.plans.registry import QUERIES
+
+    items = [(7, "alpha beta gamma"), (9, "delta beta"), (40, "eta theta iota")]
+    docs = [(i, t) for i, t in enumerate(["x alpha beta gamma y", "delta q beta", "eta theta", "", "beta beta delta", "nothing here", "alpha", "delta beta"])]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.distance, r.first, r.after) for r in QUERIES["semi_global_window"](spark, str(tmp_path)).collect()}
+    assert got == {i: best_window(items[i % 3][1].split(), t.split()) for i, t in docs}
+    got = {r.doc_id: (r.item_id, r.tp, r.n_expected, r.n_predicted) for r in QUERIES["bag_prf_documents"](spark, str(tmp_path)).collect()}
+    e, p = (lambda i: Counter(items[i % 3][1].split())), (lambda t: Counter(t.split()))
+    assert got == {i: (items[i % 3][0], (e(i) & p(t)).total(), e(i).total(), p(t).total()) for i, t in docs}
