@@ -27,6 +27,10 @@ REGION_COST, NEIGHBOUR, SIBLING = 4.0, 0.3, 0.8
 # Elements that never hold text of a page, that split text into blocks, and that name a region.
 SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "head", "title", "textarea", "select", "button", "option", "datalist"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template"}
+#: Elements that leave an open head open, that are closed by "/>", and that end those where they have no place.
+OF_HEAD = {"head", "html", "base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "template"}
+FOREIGN = {"svg", "math"}
+BREAKS_OUT = {"body", "blockquote", "center", "dd", "div", "dl", "dt", "embed", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "img", "li", "menu", "ol", "p", "pre", "table", "ul"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 AWAY_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
@@ -36,6 +40,9 @@ MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story)(
 AWAY_ROLES = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|alert|dialog|menu|form)\b", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*+(?:[\"'][^>]*)?)>|<[!?][^>]*>", re.S)
+#: The attributes of a tag that ends in "/>"; a slash in an unquoted value belongs to that.
+_CLOSED = re.compile(r"(?<!=)/\s*\Z")
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]+/\Z")
 _NAMES = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
@@ -59,7 +66,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     out: list[tuple[str, int, int, int, int]] = []
     stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, region, number of the element
     parts: list[str] = []
-    linked = links = silent = serial = 0
+    silent: list[tuple[str, int]] = []  # open silent elements: tag, height of the stack
+    linked = links = serial = 0
     kind = 0
     lower = None
 
@@ -75,6 +83,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     while at < len(page):
         m = _TOKEN.search(page, at)
         upto = m.start() if m else len(page)
+        if upto > at and silent and silent[-1][0] == "head" and page[at:upto].strip():
+            silent.pop()  # text ends a head
         if upto > at and not silent:
             piece = page[at:upto]
             parts.append(piece)
@@ -86,6 +96,18 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), bool(m[1])
+        if silent and not closing:
+            top, height = silent[-1]
+            if top == "head" and tag not in OF_HEAD:
+                silent.pop()  # its end tag may be left out
+            elif top == "option" and tag in ("option", "optgroup", "hr"):
+                silent.pop()
+            elif top in FOREIGN:
+                if _CLOSED.search(m[3]) and not _UNQUOTED.search(m[3]):
+                    continue
+                if tag in BREAKS_OUT and not any(x[0] in ("foreignobject", "desc", "annotation-xml") for x in stack[height:]):
+                    silent.pop()
+                    del stack[height:]
         if tag == "br":
             parts.append(" ")
             continue
@@ -103,10 +125,15 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         if tag in SILENT:
             if tag in RAW:
                 continue
-            silent = max(0, silent + (-1 if closing else 1))
+            if closing:
+                where = next((i for i in range(len(silent) - 1, -1, -1) if silent[i][0] == tag), -1)
+                if where >= 0:
+                    del stack[silent[where][1] :], silent[where:]
+            elif tag not in FOREIGN or not _CLOSED.search(m[3]) or _UNQUOTED.search(m[3]):
+                silent.append((tag, len(stack)))
             continue
         if tag == "body" and not closing:
-            silent = 0  # a head that was never closed
+            silent.clear()  # a head that was never closed
         flush()
         links = 0
         if tag in ("p", "hr", "html", "body"):
@@ -115,6 +142,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             where = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if where:
                 del stack[where:]
+                while silent and silent[-1][1] > where:  # an end tag closes what is open within its element
+                    silent.pop()
         else:
             serial += 1
             if tag == "li" and stack[-1][0] == "li" or tag in ("dt", "dd") and stack[-1][0] in ("dt", "dd") or tag == "tr" and stack[-1][0] in ("td", "th", "tr") or tag in ("td", "th") and stack[-1][0] in ("td", "th"):

@@ -153,6 +153,20 @@ def test_page_text():
     assert html_mincut.main_text(None, weights, -1.5) == html_mincut.main_text("<p", weights, -1.5) == ""
 
 
+@pytest.mark.parametrize("page", [
+    "<body><select><option>A<option>B</select>{}", "<body><select><optgroup label=x><option>A<optgroup label=y><option>B</select>{}",
+    "<body><svg width='1' />{}", "<body><svg/>{}", "<body><svg><title/><path d='x'/><g><circle r=1 /></g></svg>{}", "<body><math display=block />{}",
+    "<head><title>T</title><meta charset=x>{}", "<html><head><link rel=x href=/a/>{}", "<body><div><button>x</div>{}", "<body><datalist><option>A</option><option>B</datalist>{}",
+    "<body><svg><foreignObject><div>in</div></foreignObject></svg>{}", "<body><svg width=10/><text>no</text></svg>{}"])
+def test_silent_elements_end_where_they_must(page):
+    kept = [b[0] for b in html_mincut.blocks(page.format("<article><p>Some text. <svg><text>no</text></svg>More.</p><select><option>no</option></select></article>"))]
+    assert " ".join(kept) == "Some text. More."
+
+
+def test_text_ends_a_head():
+    assert [b[0] for b in html_mincut.blocks("<head><title>T</title>Words at once<p>and more")] == ["Words at once", "and more"]
+
+
 def test_long_and_repeated_pages(spark):
     page = "<article>" + "<p>Some words of a paragraph.</p>" * 3000 + "</article><footer>f</footer>"
     pages = spark.createDataFrame([(1, "u", page), (1, "u", page), (2, None, None), (None, "u", "")], "page_id long, url string, html string")
