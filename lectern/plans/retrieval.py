@@ -126,6 +126,14 @@ def levenshtein_titles(spark, d):
     return a.join(o, "item_id").select("item_id", "other_id", F.levenshtein("a", "b").alias("distance"), F.round(similarity.edit_ratio(F.col("a"), F.col("b")), 6).alias("similarity"), F.round(similarity.error_rate(F.col("a"), F.col("b")), 6).alias("cer"))
 
 
+@query()
+def levenshtein_texts(spark, d):
+    """levenshtein_titles over the whole texts, in characters of any script, which DuckDB's byte counts can't express."""
+    b = table(spark, d, "benchmark")
+    a, o = b.select("item_id", F.col("text").alias("a")), b.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("other_id"), F.col("text").alias("b"))
+    return a.join(o, "item_id").select("item_id", "other_id", F.levenshtein("a", "b").alias("distance"), F.round(similarity.edit_ratio(F.col("a"), F.col("b")), 6).alias("similarity"), F.round(similarity.error_rate(F.col("a"), F.col("b")), 6).alias("cer"))
+
+
 @query()
 def token_wer(spark, d):
     b = table(spark, d, "benchmark")
