@@ -33,7 +33,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxic), ("quality_rules", rules), ("simhash_near_dedup", near_duplicates), ("decontamination", decontaminate), ("byte_bpe", tokens)]
 
-#: Learned scores, alignment and 64-bit hashes have no SQL; tests hold the pipeline against a brute-force version.
+#: Learned scores, alignment and 64-bit hashes have no SQL.  No test holds the whole pipeline against a brute-force version yet.
 ORACLE_SQL = None
 
 
