@@ -8,6 +8,7 @@ repeated rows each give a row; an empty table gives an empty table; other column
 from __future__ import annotations
 
 import base64
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +18,14 @@ from pyspark.sql import DataFrame, functions as F
 CHUNK, OVERLAP = 16_384, 512
 
 
+def identified(ranks: dict[bytes, int]) -> tuple[bytes, dict[bytes, int]]:
+    """The ranks with a digest of all of them."""
+    digest = hashlib.sha256()
+    for token, rank in sorted(ranks.items()):
+        digest.update(b"%d %d " % (rank, len(token)) + token)
+    return digest.digest(), ranks
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
@@ -63,7 +72,7 @@ def stitch(chunks: list[tuple[int, str]], ends: list[list[int]], pattern: str, c
 
 
 class Codec:
-    """The ranks as an encoder and a table of bytes; made once in each Python worker."""
+    """The ranks as an encoder and a table of bytes; made once in each Python worker for each vocabulary and pattern."""
 
     _made: dict = {}
 
@@ -76,10 +85,11 @@ class Codec:
             self.bytes[rank] = token
 
     @classmethod
-    def of(cls, ranks: dict[bytes, int], pattern: str) -> "Codec":
-        key = (len(ranks), hash(pattern), hash(frozenset(list(ranks.items())[:64])))
+    def of(cls, vocabulary: tuple[bytes, dict[bytes, int]], pattern: str) -> "Codec":
+        """``vocabulary`` is the digest of the ranks and the ranks themselves."""
+        key = (vocabulary[0], pattern)
         if key not in cls._made:
-            cls._made[key] = cls(ranks, pattern)
+            cls._made[key] = cls(vocabulary[1], pattern)
         return cls._made[key]
 
     def encode(self, pieces: list[str]) -> bytes:
@@ -98,7 +108,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     stitched and encoded.  ``ranks`` is a vocabulary of fixed size, so it is broadcast.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(ranks)
+    shared = spark.sparkContext.broadcast(identified(ranks))
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     id_type = kind.simpleString()
@@ -127,7 +137,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                     some = chunks[at : at + 64]
                     n = len(some)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([one.as_py()] * n, batch.column(0).type), pa.array([batch.column(2)[i].as_py()] * n, pa.int64()), pa.array([c[0] for c in some], pa.int64()), pa.array([c[1] for c in some], pa.string())],
+                        [pa.array([one.as_py()] * n, batch.column(0).type), pa.array([batch.column(2)[i].as_py()] * n, pa.string()), pa.array([c[0] for c in some], pa.int64()), pa.array([c[1] for c in some], pa.string())],
                         ["__id", "__row", "__at", "__chunk"],
                     )
 
@@ -140,26 +150,24 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
     def join(table: pa.Table) -> pa.Table:
         table = table.sort_by("__at")
-        # A repeated row repeats each of its chunks.
-        times = table.column("__at").to_pylist()
-        copies = times.count(times[0])
-        chunks = list(dict(zip(times, table.column("__chunk").to_pylist())).items())
-        ends = list(dict(zip(times, table.column("__ends").to_pylist())).values())
-        batch = packed(Codec.of(shared.value, pattern), table.column("__id").combine_chunks().slice(0, 1), [stitch(chunks, ends, pattern, chunk)])
-        return pa.concat_tables([pa.Table.from_batches([batch])] * copies)
+        chunks = list(zip(table.column("__at").to_pylist(), table.column("__chunk").to_pylist()))
+        batch = packed(Codec.of(shared.value, pattern), table.column("__id").combine_chunks().slice(0, 1), [stitch(chunks, table.column("__ends").to_pylist(), pattern, chunk)])
+        return pa.Table.from_batches([batch])
 
     one = rows.filter(F.length("__text") <= chunk).mapInArrow(short, out_schema)
-    long_rows = rows.filter(F.length("__text") > chunk).withColumn("__row", F.xxhash64("__text"))
-    parts = long_rows.mapInArrow(cut, f"__id {id_type}, __row long, __at long, __chunk string")
+    # Repeats of one row are told apart by their numbers, so that each comes together in a task of its own.  If a lost
+    # task numbers them anew, only equal rows can change places, as the text's hash is part of the number.
+    long_rows = rows.filter(F.length("__text") > chunk).withColumn("__no", F.monotonically_increasing_id()).withColumn("__row", F.concat_ws(":", F.xxhash64("__text"), "__no")).drop("__no")
+    parts = long_rows.mapInArrow(cut, f"__id {id_type}, __row string, __at long, __chunk string")
     parts = parts.repartition(F.xxhash64("__id", "__row", "__at"))
-    parts = parts.mapInArrow(pretokenise, f"__id {id_type}, __row long, __at long, __chunk string, __ends array<int>")
+    parts = parts.mapInArrow(pretokenise, f"__id {id_type}, __row string, __at long, __chunk string, __ends array<int>")
     many = parts.groupBy("__id", "__row").applyInArrow(join, out_schema)
     return one.unionByName(many).withColumnRenamed("__id", id_col)
 
 
 def decode(coded: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id_col, decoded): the concatenated bytes of packed ids; null ids give no bytes."""
-    shared = coded.sparkSession.sparkContext.broadcast(ranks)
+    shared = coded.sparkSession.sparkContext.broadcast(identified(ranks))
     kind = coded.schema[id_col].dataType.simpleString()
 
     def run(batches):

@@ -20,12 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
 
-    Only where that setting is absent (tests on one machine) is a folder of our own set.
+    Where that setting is absent, a folder of our own is set in local mode (tests on one machine); a cluster is refused,
+    as its executors couldn't read what the driver's disk holds.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -34,7 +38,9 @@ def skew_lookup(left: DataFrame, right: DataFrame, keys: list[str], total: int,
 
     ``right[count]`` is the number of left rows of a key.  Keys that hold HOT_SHARE of the rows or more number at
     most 1 / HOT_SHARE, so they are broadcast; rows of the other keys are shuffled, each key to one task with less
-    than HOT_SHARE of the rows.  Rows of hot keys are dealt out evenly by ``salt_from`` in that shuffle.
+    than HOT_SHARE of the rows.  Rows of hot keys, and those with a null in a key, are dealt out evenly by ``salt_from``
+    in that shuffle: a hash that differs from row to row, or the row number where ``left`` is a scan or a checkpoint,
+    which come in the same order again if a task is repeated.
     """
     values = [c for c in right.columns if c not in keys and c != count]
     least = max(2, int(total * HOT_SHARE))
@@ -46,7 +52,8 @@ def skew_lookup(left: DataFrame, right: DataFrame, keys: list[str], total: int,
     cold = cold.select(*[F.col(k).alias(f"__c_{k}") for k in keys], unsalted.alias("__c_salt"), F.struct(*values).alias("__cold"))
     on_hot = [left[k] == hot[f"__h_{k}"] for k in keys]
     step = left.join(F.broadcast(hot), on_hot, "left")
-    step = step.withColumn("__salt", F.when(F.col("__hot").isNotNull(), 1 + F.pmod(salt_from, F.lit(1 << 20))).otherwise(F.lit(0)).cast("int"))
+    alone = F.col("__hot").isNotNull() | F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    step = step.withColumn("__row", salt_from).withColumn("__salt", F.when(alone, 1 + F.pmod(F.xxhash64("__row"), F.lit(1 << 20))).otherwise(F.lit(0)).cast("int"))
     on_cold = [step[k] == cold[f"__c_{k}"] for k in keys] + [step["__salt"] == cold["__c_salt"]]
     step = step.join(cold, on_cold, "left").withColumn("__got", F.coalesce("__hot", "__cold"))
     return step.select(*left.columns, *[F.col("__got")[v].alias(v) for v in values])
@@ -57,42 +64,107 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == HELD_FOLD, F.lit(False))
 
 
+def first_ids(ids: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` distinct ids of the column ``__id``, the first by their hash.
+
+    The number of ids is estimated in a pass without a shuffle; only ids whose hash lies in the share of the hash range
+    that surely holds ``limit`` of them are made distinct and ordered.
+    """
+    known = ids.select("__id").filter("__id is not null")
+    share = min(1.0, 2 * limit / max(1, known.agg(F.approx_count_distinct("__id")).first()[0]))
+    if share < 1:
+        known = known.filter(F.xxhash64("__id") < int(share * 2**64) - 2**63)
+    return known.distinct().orderBy(F.xxhash64("__id"), "__id").limit(limit)
+
+
+def one_row_each(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row of each of a bounded number of ``ids``, with what they bring but without the id: that of the least hash, so that an id with any
+    number of rows brings one.  Rows of an id are combined before they are shuffled."""
+    met = rows.join(F.broadcast(ids), "__id")
+    what = [c for c in met.columns if c != "__id"]
+    met = met.select("__id", F.struct(*what).alias("__what"), F.xxhash64(*what).alias("__hash"))
+    return met.groupBy("__id").agg(F.min_by("__what", "__hash").alias("__what")).select("__what.*")
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, any_fold: bool = False) -> DataFrame:
-    """(text, y) of at most ``limit`` labelled documents, the first by a hash of doc_id.
+    """(text, y) of at most ``limit`` labelled documents, the first by a hash of doc_id, and one row of each.
 
-    Null labels and null ids are left out; of an id with several labels the largest counts.  At most ``limit`` ids
-    are broadcast.
+    Null labels and null ids are left out; of an id with several labels the largest counts, of an id with several texts
+    that of the least hash.  At most ``limit`` ids are broadcast.
     """
-    ids = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__y")).filter("__id is not null and __y is not null")
+    known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("y")).filter("__id is not null and y is not null")
     if not any_fold:
-        ids = ids.filter(~held_out(F.col("__id")))
-    ids = ids.groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(limit)
-    rows = docs.select(F.col("doc_id").alias("__doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.join(F.broadcast(ids), rows["__doc"] == ids["__id"]).select("text", F.col("__y").alias("y"))
+        known = known.filter(~held_out(F.col("__id")))
+    ids = known.groupBy("__id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("__id"), "__id").limit(limit)
+    rows = docs.select(F.col("doc_id").alias("__id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return one_row_each(rows, ids)
 
 
 def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_logistic(row, col, val, y, dim: int, l2: float = 1e-4, steps: int = 120, rate: float = 0.3):
-    """Full-batch Adam on a sparse design; y is (n,) or (n, k) of 0/1.  Returns (dim, k) weights and k biases."""
+def fit_logistic(row, col, val, y, dim: int, l2: float = 1e-4, steps: int = 60):
+    """L-BFGS on a sparse design, all targets at once; y is (n,) or (n, k) of 0/1.  Returns (dim, k) weights and k biases."""
     y = np.atleast_2d(np.asarray(y, np.float64).T).T
     n, k = y.shape
-    w, b = np.zeros((dim, k)), np.log((y.mean(0) * n + 1) / (n - y.mean(0) * n + 1))
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros(k), np.zeros(k)
-    for t in range(1, steps + 1):
+    row, col, val = np.asarray(row), np.asarray(col), np.asarray(val, np.float64)
+    used, place = np.unique(col, return_inverse=True)  # buckets that no row has keep weight zero
+    by_col = np.argsort(place, kind="stable")
+    row_starts = np.flatnonzero(np.diff(row, prepend=-1))
+    row_ids, col_starts = row[row_starts], np.flatnonzero(np.diff(place[by_col], prepend=-1))
+    back_row, back_val = row[by_col], val[by_col]
+
+    def loss(x):
+        w, b = x[:-1], x[-1]
+        z = np.tile(b, (n, 1))
+        g = np.empty_like(x)
+        for j in range(k):
+            if len(val):
+                z[row_ids, j] += np.add.reduceat(w[place, j] * val, row_starts)
+        error = (sigmoid(z) - y) / n
         for j in range(k):
-            z = np.bincount(row, weights=w[col, j] * val, minlength=n) + b[j]
-            g = (sigmoid(z) - y[:, j]) / n
-            gw = np.bincount(col, weights=g[row] * val, minlength=dim) + l2 * w[:, j]
-            gb = g.sum()
-            m[:, j] = 0.9 * m[:, j] + 0.1 * gw
-            v[:, j] = 0.999 * v[:, j] + 0.001 * gw * gw
-            mb[j], vb[j] = 0.9 * mb[j] + 0.1 * gb, 0.999 * vb[j] + 0.001 * gb * gb
-            w[:, j] -= rate * (m[:, j] / (1 - 0.9**t)) / (np.sqrt(v[:, j] / (1 - 0.999**t)) + 1e-8)
-            b[j] -= rate * (mb[j] / (1 - 0.9**t)) / (np.sqrt(vb[j] / (1 - 0.999**t)) + 1e-8)
-    return w, b
+            if len(val):
+                g[:-1, j] = np.add.reduceat(error[back_row, j] * back_val, col_starts)
+        g[:-1] += l2 * w
+        g[-1] = error.sum(0)
+        return float((np.logaddexp(0, z) - y * z).sum() / n + l2 / 2 * (w * w).sum()), g
+
+    x = np.zeros((len(used) + 1, k))
+    x[-1] = np.log((y.mean(0) * n + 1) / (n - y.mean(0) * n + 1))
+    now, g = loss(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        # Two loops over the last differences give the direction.
+        d, shares = g.copy(), []
+        for s, t, r in reversed(past):
+            a = r * np.vdot(s, d)
+            shares.append(a)
+            d -= a * t
+        if past:
+            s, t, r = past[-1]
+            d *= 1 / (r * np.vdot(t, t))
+        else:
+            d /= max(1.0, np.abs(g).sum())
+        for (s, t, r), a in zip(past, reversed(shares)):
+            d += s * (a - r * np.vdot(t, d))
+        slope, length = np.vdot(g, d), 1.0
+        while True:
+            new = x - length * d
+            value, gradient = loss(new)
+            if value <= now - 1e-4 * length * slope or length < 1e-8:
+                break
+            length /= 2
+        s, t = new - x, gradient - g
+        done = now - value < 1e-7 * max(1.0, abs(now))
+        x, now, g = new, value, gradient
+        if done:
+            break
+        if np.vdot(s, t) > 1e-12:
+            past = [*past[-7:], (s, t, 1 / np.vdot(s, t))]
+    w = np.zeros((dim, k))
+    w[used] = x[:-1]
+    return w, x[-1]
 
 
 def fit_platt(z, y, steps: int = 60):

@@ -7,7 +7,6 @@ in alphabetical order and are flagged ``ambiguous``; repeated rows are judged al
 """
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -15,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fit_logistic, held_out
+from .common import first_ids, fit_logistic, held_out, one_row_each
 
 BITS = 13
 #: Bound on the labelled documents that the classifiers are fitted to.
@@ -23,7 +22,10 @@ MAX_TRAINING_DOCS = 3_000
 SCALE = 20.0
 AMBIGUOUS_BELOW = 0.2
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    """Whether a character is of a Unicode letter category; digits, fractions and superscripts are not."""
+    return any(map(str.isalpha, text))
 
 
 def codewords(n: int) -> np.ndarray:
@@ -60,7 +62,7 @@ class Model:
     importance: np.ndarray  # of each bit: its share of right answers in the fit, over chance
 
     def judge(self, text: str | None) -> tuple[str, float, bool]:
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return "und", 0.0, False
         at = grams(text)
         share = np.bincount(at, minlength=1 << BITS) * (SCALE / len(at))
@@ -76,18 +78,16 @@ class Model:
 
 
 def fit(docs: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -> Model:
-    """Learns from rows with a language outside the held-out fold only: at most max_docs, the same share of each
-    language's rows by a hash of doc_id; sparse vectors of bounded width come to the driver."""
-    rows = docs.select("doc_id", "text", "lang").filter("doc_id is not null and lang is not null and text is not null").filter(~held_out(F.col("doc_id")))
-    # Ids only are ordered; the few that are chosen are broadcast.
-    ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).distinct().withColumnRenamed("doc_id", "__id")
-    chosen = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("text", "lang")
+    """Learns from rows with a language outside the held-out fold only: at most max_docs, the first by a hash of doc_id
+    and one row of each; sparse vectors of bounded width come to the driver."""
+    rows = docs.select(F.col("doc_id").alias("__id"), "text", "lang").filter("__id is not null and lang is not null and text is not null").filter(~held_out(F.col("__id")))
+    chosen = one_row_each(rows, first_ids(rows, max_docs))
 
     def vectors(batches):
         for pdf in batches:
             out = []
             for text, lang in zip(pdf["text"], pdf["lang"]):
-                if _LETTER.search(text):
+                if has_letter(text):
                     at, n = np.unique(grams(text), return_counts=True)
                     out.append((lang, at.astype("<u4").tobytes(), (n / n.sum()).astype("<f4").tobytes(), zlib.crc32(text.encode("utf-8", "surrogatepass"))))
             yield pd.DataFrame(out, columns=["lang", "cols", "vals", "crc"])
@@ -102,7 +102,7 @@ def fit(docs: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -> Model:
     vals = [np.frombuffer(x, "<f4").astype(float) * SCALE for x in got["vals"]]
     row, col, val = np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate(cols), np.concatenate(vals)
     target = code[[languages.index(x) for x in got["lang"]]]
-    w, b = fit_logistic(row, col, val, target, 1 << BITS, steps=40)
+    w, b = fit_logistic(row, col, val, target, 1 << BITS)
     margin = np.stack([np.bincount(row, weights=w[col, j] * val, minlength=len(target)) for j in range(code.shape[1])], 1) + b
     right = ((margin > 0) == (target > 0)).mean(0)
     return Model(languages, code, w, b, np.maximum(2 * right - 1, 0.05))

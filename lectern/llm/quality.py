@@ -100,7 +100,11 @@ SCALE = 20.0
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -> Model | None:
-    """Features of whole texts are made on the executors; at most max_docs sparse vectors of bounded width come here."""
+    """Features of whole texts are made on the executors; at most max_docs sparse vectors of bounded width come here.
+
+    The labelled rows are halved by a hash of their texts, so that copies stay together.  Each half is scored by a
+    regression fitted to the other one, and those scores calibrate; the model has the mean weights of both.
+    """
 
     def vectors(batches):
         for pdf in batches:
@@ -123,18 +127,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -
         return None
     cols = [np.frombuffer(x, "<u4").astype(np.int64) for x in got["cols"]]
     vals = [np.frombuffer(x, "<f4").astype(float) * SCALE for x in got["vals"]]
-    fold = np.arange(len(y)) % 4 == 3 if len(y) >= 40 else np.zeros(len(y), bool)
+    half = got["crc"].to_numpy() // 8 % 2 == 0
+    z, weights, bias = np.zeros(len(y)), np.zeros(2 << BITS), 0.0
 
     def flat(which):
         which = np.flatnonzero(which)
-        return np.repeat(np.arange(len(which)), [len(cols[i]) for i in which]), np.concatenate([cols[i] for i in which]), np.concatenate([vals[i] for i in which]), y[which]
-
-    row, col, val, target = flat(~fold)
-    w, b = fit_logistic(row, col, val, target, 2 << BITS)
-    row, col, val, target = flat(fold if fold.any() else ~fold)
-    z = np.bincount(row, weights=w[col, 0] * val, minlength=len(target)) + b[0]
-    slope, intercept = fit_platt(z, target)
-    return Model(w[:, 0].astype(np.float32), float(b[0]), slope, intercept)
+        none = [np.zeros(0, np.int64)]
+        return np.repeat(np.arange(len(which)), [len(cols[i]) for i in which]), np.concatenate([cols[i] for i in which] or none), np.concatenate([vals[i] for i in which] or none)
+
+    for part in (half, ~half):
+        w, b = fit_logistic(*flat(part), y[part], 2 << BITS) if part.any() else (np.zeros((2 << BITS, 1)), np.zeros(1))
+        row, col, val = flat(~part)
+        z[~part] = np.bincount(row, weights=w[col, 0] * val, minlength=int((~part).sum())) + b[0]
+        weights, bias = weights + w[:, 0] / 2, bias + float(b[0]) / 2
+    return Model(weights.astype(np.float32), bias, *fit_platt(z, y))
 
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality double, kept boolean"

@@ -63,7 +63,7 @@ def assign(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id", te
     cells = found.groupBy("cell").agg(F.count("*").alias("n"))
     keyed = cells.select("cell", "n", F.explode(F.array(*[F.substring("cell", 1, d) for d in depths]) if depths else F.array(F.lit(""))).alias("shard"))
     of_cell = keyed.join(leaves, "shard").select("cell", "n", "shard", "depth", F.col("bytes").alias("shard_bytes"), "oversized")
-    out = skew_lookup(found, of_cell, ["cell"], total, "n", F.xxhash64("__id", "n_bytes"))
+    out = skew_lookup(found, of_cell, ["cell"], total, "n", F.monotonically_increasing_id())
     return out.select(F.col("__id").alias(id_col), "shard", "depth", "n_bytes", "shard_bytes", "oversized")
 
 

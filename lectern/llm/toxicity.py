@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import cut, fit_platt, held_out, sigmoid, training_rows
 
-#: Bound on the labelled documents that the model is fitted to, and on the tokens that it keeps a score for.
-MAX_TRAINING_DOCS, MAX_TOKENS = 12_000, 50_000
-#: Below so many training documents no part is held back for calibration.
-FEW_TRAINING_DOCS = 400
+#: Bound on the labelled documents that the model is fitted to.
+MAX_TRAINING_DOCS = 12_000
+#: Parts of the labelled documents, by text, that are each scored by what the others say, to calibrate.
+PARTS = 4
 PREDICT_AT = 0.3
 #: Weight of the prior as a share of the tokens, the least log-odds of a scored token, and what any other costs.
 PRIOR, MIN_LOG_ODDS, DRIFT = 0.05, 2.0, 0.1
@@ -141,66 +141,75 @@ class Model:
         return [(a, b, s) for a, b, score in segments if (s := self.surprise(score, n)) >= -math.log(SIGNIFICANT)]
 
 
-def token_odds(counts: DataFrame, rate: float) -> dict[str, float]:
-    """The at most MAX_TOKENS most significant of tokens with counts of occurrences (pos, neg) and texts (toxic, other).
+COUNTED = ("pos", "neg", "toxic", "other")
 
-    ``rate`` is the share of toxic texts.  Significance is by texts, as one text may repeat a token often.
+
+def token_odds(counts: DataFrame, sizes: dict[int, tuple[int, int]]) -> dict[int, dict[str, float]]:
+    """Odds of the significant tokens for each part left out, and for none (-1).
+
+    ``counts`` has a row for each token, with its occurrences (pos, neg) and texts (toxic, other) in each part;
+    ``sizes`` tells the toxic and other texts of each part.  Significance is by texts, as one text may repeat a token
+    often.  What comes to the driver is bounded by the bounded number of labelled documents.
     """
-    totals = counts.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count("*").alias("n")).first()
-    pos, neg = float(totals["pos"] or 0), float(totals["neg"] or 0)
-    if not pos or not neg:
-        return {}
-    weight = PRIOR * (pos + neg)
-    prior = (F.col("pos") + F.col("neg")) * F.lit(PRIOR)
-    a, b = F.col("pos") + prior, F.col("neg") + prior
-    odds = F.log(a / (F.lit(pos + weight) - a)) - F.log(b / (F.lit(neg + weight) - b))
-    texts = F.col("toxic") + F.col("other")
-    part = lambda k, share: F.when(k > 0, k * F.log(k / (texts * share))).otherwise(0.0)
-    ratio = part(F.col("toxic"), rate) + part(F.col("other"), 1 - rate)
-    scored = counts.filter("toxic >= 2").select("w", odds.alias("odds"), ratio.alias("ratio"))
-    least = math.log(totals["n"]) + MARGIN
-    top = scored.filter((F.col("odds") >= MIN_LOG_ODDS) & (F.col("ratio") >= least)).orderBy(F.desc("ratio"), "w").limit(MAX_TOKENS)
-    return {r["w"]: float(r["odds"]) for r in top.collect()}
+    whole = {c: sum((F.col(f"{c}{k}") for k in range(PARTS)), F.lit(0)) for c in COUNTED}
+    views = {-1: whole} | {k: {c: whole[c] - F.col(f"{c}{k}") for c in COUNTED} for k in range(PARTS)}
+    sums = counts.agg(*[F.sum(v[c]).alias(f"{c}{k}") for k, v in views.items() for c in ("pos", "neg")], *[F.count_if(v["pos"] + v["neg"] > 0).alias(f"n{k}") for k, v in views.items()]).first().asDict()
+    columns = []
+    for k, v in views.items():
+        pos, neg = float(sums[f"pos{k}"] or 0), float(sums[f"neg{k}"] or 0)
+        toxic, other = (sum(s[i] for j, s in sizes.items() if j != k) for i in (0, 1))
+        if not pos or not neg or not toxic or not other:
+            columns.append(F.lit(None).cast("double").alias(f"odds{k}"))
+            continue
+        rate, weight = toxic / (toxic + other), PRIOR * (pos + neg)
+        prior = (v["pos"] + v["neg"]) * F.lit(PRIOR)
+        a, b = v["pos"] + prior, v["neg"] + prior
+        odds = F.log(a / (F.lit(pos + weight) - a)) - F.log(b / (F.lit(neg + weight) - b))
+        texts = v["toxic"] + v["other"]
+        part = lambda n, share: F.when(n > 0, n * F.log(n / (texts * share))).otherwise(0.0)
+        ratio = part(v["toxic"], rate) + part(v["other"], 1 - rate)
+        scored = (v["toxic"] >= 2) & (odds >= MIN_LOG_ODDS) & (ratio >= math.log(sums[f"n{k}"]) + MARGIN)
+        columns.append(F.when(scored, odds).alias(f"odds{k}"))
+    found = counts.select("w", *columns).filter(F.coalesce(*[F.col(f"odds{k}") for k in views]).isNotNull()).collect()
+    return {k: {r["w"]: float(r[f"odds{k}"]) for r in found if r[f"odds{k}"] is not None} for k in views}
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -> Model:
-    """Learns from rows outside the held-out fold only; a quarter of them, by text, calibrates and gives no token odds."""
-    train = cut(training_rows(docs, labels, "toxic", max_docs).select("text", "y", (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("calibrates")))
-
-    if train.count() < FEW_TRAINING_DOCS:  # too few to part: all give odds, and all calibrate
-        learns, calibrates = train, train
-    else:
-        learns, calibrates = train.filter("not calibrates"), train.filter("calibrates")
+    """Learns from rows outside the held-out fold only.  They go in PARTS by a hash of their texts: each part is scanned
+    with the odds that the other parts give, which calibrates; the model has the odds of all."""
+    train = cut(training_rows(docs, labels, "toxic", max_docs).select("text", (F.col("y") > 0).cast("int").alias("y"), F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int").alias("part")))
+    sizes = {r["part"]: (r["toxic"], r["n"] - r["toxic"]) for r in train.groupBy("part").agg(F.sum("y").alias("toxic"), F.count("*").alias("n")).collect()}
 
     def counted(batches):
         for pdf in batches:
-            sums: dict[str, list[int]] = {}
-            for text, y in zip(pdf["text"], pdf["y"]):
+            sums: dict[tuple, list[int]] = {}
+            for text, y, k in zip(pdf["text"], pdf["y"], pdf["part"]):
                 found = Counter()
-                for w, k in Counter(tokens(text)).items():
+                for w, n in Counter(tokens(text)).items():
                     for u in units(w):
-                        found[u] += k
-                for w, k in found.items():
-                    row = sums.setdefault(w, [0, 0, 0, 0])
-                    row[int(y > 0)] += k
-                    row[2 + int(y > 0)] += 1
-            yield pd.DataFrame([(w, p, n, a, b) for w, (n, p, b, a) in sums.items()], columns=["w", "pos", "neg", "toxic", "other"])
-
-    counts = learns.select("text", "y").mapInPandas(counted, "w string, pos long, neg long, toxic long, other long").groupBy("w").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "toxic", "other")])
-    rate = learns.agg(F.avg((F.col("y") > 0).cast("double"))).first()[0] or 0.0
-    model = Model(token_odds(cut(counts), rate), DRIFT, 0.0, 1.0, 0.0, 0.0)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+                        found[u] += n
+                for w, n in found.items():
+                    row = sums.setdefault((w, k), [0, 0, 0, 0])
+                    row[1 - y] += n
+                    row[3 - y] += 1
+            yield pd.DataFrame([(w, k, *row) for (w, k), row in sums.items()], columns=["w", "part", *COUNTED])
+
+    counts = train.mapInPandas(counted, "w string, part int, " + ", ".join(f"{c} long" for c in COUNTED))
+    of_part = [F.sum(F.when(F.col("part") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for c in COUNTED for k in range(PARTS)]
+    odds = token_odds(cut(counts.groupBy("w").agg(*of_part)), sizes)
+    model = Model(odds.pop(-1), DRIFT, 0.0, 1.0, 0.0, 0.0)
+    shared = docs.sparkSession.sparkContext.broadcast({k: Model(v, DRIFT, 0.0, 1.0, 0.0, 0.0) for k, v in odds.items()})
 
     def scanned(batches):
         for pdf in batches:
             out = []
-            for text, y in zip(pdf["text"], pdf["y"]):
-                n, segments = shared.value.segments(text)
-                out.append((int(y > 0), n, [float(s) for *_, s in segments]))
+            for text, y, k in zip(pdf["text"], pdf["y"], pdf["part"]):
+                n, segments = shared.value[k].segments(text)
+                out.append((y, n, [float(s) for *_, s in segments]))
             yield pd.DataFrame(out, columns=["y", "n", "segments"])
 
     # Short rows, of at most max_docs documents; ordered, so that the fit doesn't depend on how rows came.
-    got = sorted((r["y"], r["n"], tuple(r["segments"])) for r in calibrates.select("text", "y").mapInPandas(scanned, "y int, n long, segments array<double>").collect())
+    got = sorted((r["y"], r["n"], tuple(r["segments"])) for r in train.mapInPandas(scanned, "y int, n long, segments array<double>").collect())
     y = np.array([r[0] for r in got], float)
     best = np.array([max(r[2], default=0.0) for r in got])
     length = np.log(np.maximum(1, [r[1] for r in got])) if got else np.zeros(0)

@@ -126,6 +126,6 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     counts = cut(templates(rows.select("host", "path", (F.col("__said") == "block").alias("blocked"))))
     found = cut(judged_templates(counts))
     keyed = rows.withColumn("template", F.to_json(template_of(F.col("path"))))
-    out = skew_lookup(keyed, found, ["host", "template"], rows.count(), "n", F.xxhash64("__id", "path"))
+    out = skew_lookup(keyed, found, ["host", "template"], rows.count(), "n", F.monotonically_increasing_id())
     return out.select(F.col("__id").alias(id_col), "host", "path", "rule", F.coalesce("__said", "template_verdict", F.lit("allow")).alias("verdict"), "pattern", "purity")
 
