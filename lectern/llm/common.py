@@ -53,7 +53,7 @@ def skew_lookup(left: DataFrame, right: DataFrame, keys: list[str], total: int,
     on_hot = [left[k] == hot[f"__h_{k}"] for k in keys]
     step = left.join(F.broadcast(hot), on_hot, "left")
     alone = F.col("__hot").isNotNull() | F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
-    step = step.withColumn("__row", salt_from).withColumn("__salt", F.when(alone, 1 + F.pmod(F.xxhash64("__row"), F.lit(1 << 20))).otherwise(F.lit(0)).cast("int"))
+    step = step.withColumn("__number", salt_from).withColumn("__salt", F.when(alone, 1 + F.pmod(F.xxhash64("__number"), F.lit(1 << 20))).otherwise(F.lit(0)).cast("int"))
     on_cold = [step[k] == cold[f"__c_{k}"] for k in keys] + [step["__salt"] == cold["__c_salt"]]
     step = step.join(cold, on_cold, "left").withColumn("__got", F.coalesce("__hot", "__cold"))
     return step.select(*left.columns, *[F.col("__got")[v].alias(v) for v in values])

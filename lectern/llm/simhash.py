@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut, skew_lookup
 
@@ -135,24 +135,28 @@ def links(fingerprints: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(1)).view(np.int64)), pa.array(who.view(np.int64)), pa.array((keys & np.uint64(1)) == 0)], ["key", "fp", "plain"])
 
     def search(batches):
-        held_keys, held_fps, held_plain = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # parts of the last key, which may go on
 
         def batch_of(rows):
             u, v = (np.array([r[i] for r in rows], np.uint64).view(np.int64) for i in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
+        def joined():
+            return (np.concatenate([part[i] for part in held]) for i in range(3))
+
         for batch in batches:
-            keys = np.concatenate([held_keys, batch.column(0).to_numpy()])
-            fps = np.concatenate([held_fps, batch.column(1).to_numpy().view(np.uint64)])
-            plain = np.concatenate([held_plain, batch.column(2).to_numpy(zero_copy_only=False)])
-            if not len(keys):
+            if not batch.num_rows:
                 continue
-            at = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
-            if at:
-                if out := key_links(keys[:at], fps[:at], plain[:at]):
-                    yield batch_of(out)
-            held_keys, held_fps, held_plain = keys[at:], fps[at:], plain[at:]
-        if len(held_keys) and (out := key_links(held_keys, held_fps, held_plain)):
+            rows = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)
+            held.append(rows)
+            if held[0][0][0] == rows[0][-1]:
+                continue  # one key so far: its parts are put together once, when it ends
+            keys, fps, plain = joined()
+            at = int(np.searchsorted(keys, keys[-1]))
+            if out := key_links(keys[:at], fps[:at], plain[:at]):
+                yield batch_of(out)
+            held[:] = [(keys[at:], fps[at:], plain[at:])]
+        if held and (out := key_links(*joined())):
             yield batch_of(out)
 
     rows = fingerprints.select("fp").mapInArrow(expand, "key long, fp long, plain boolean")
@@ -177,26 +181,48 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the least doc_id that links lead to."""
-    prints = cut(docs.select("doc_id", fingerprint_of("text").alias("fp")))
-    total = prints.count()
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+def component_of(prints: DataFrame, total: int, first: Column) -> DataFrame:
+    """(fp, least, n) of every fingerprint of ``prints``: the least ``first`` of its component, and its number of rows."""
+    classes = cut(prints.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")))
     member = cut(components(links(classes)))
     named = member.join(classes.select(F.col("fp").alias("node"), "first"), "node")
     roots = named.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n"))
     of_node = skew_lookup(named, roots, ["root"], total, "n", F.xxhash64("node")).select(F.col("node").alias("fp"), "least")
-    ids = classes.join(of_node, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"), "n")
-    return skew_lookup(prints, ids, ["fp"], total, "n", F.xxhash64("doc_id")).select("doc_id", "fp", "component_id")
+    return classes.join(of_node, "fp", "left").select("fp", F.coalesce("least", "first").alias("least"), "n")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of every row; component_id is the least doc_id that links lead to."""
+    prints = cut(docs.select("doc_id", fingerprint_of("text").alias("fp")))
+    total = prints.count()
+    ids = component_of(prints, total, F.col("doc_id")).select("fp", F.col("least").alias("component_id"), "n")
+    return skew_lookup(prints, ids, ["fp"], total, "n", F.monotonically_increasing_id()).select("doc_id", "fp", "component_id")
+
+
+#: A row is known by its doc_id and the digest of its text: rows equal in both are repeats of each other.
+_KEY = ["__id", "__text"]
+
+
+def _key_of(doc_id: Column, text: Column) -> list[Column]:
+    return [F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("")).alias("__id"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("__text")]
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of the least doc_id of each component, each id once, with their own columns.
+    """Exactly one row of each component, with its own columns: that of the least doc_id (nulls last), then of the least
+    digest of its text.  Of repeats of that row, equal in doc_id and text, one stays.
 
-    Of rows with equal ids the least by text stays; rows with a null doc_id can't be told apart and all stay.
+    Rows are told apart by doc_id and text, so texts that share an id, or have none, are each judged by themselves.
     """
-    keep = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    known = docs.filter("doc_id is not null")
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    once = known.withColumn("__rank", F.row_number().over(order)).filter("__rank = 1").drop("__rank")
-    return once.join(keep, once["doc_id"] == keep["__keep"], "left_semi").unionByName(docs.filter("doc_id is null"))
+    doc_id, text = docs["doc_id"], docs["text"]
+    prints = cut(docs.select(doc_id, *_key_of(doc_id, text), fingerprint_of(text).alias("fp")))
+    total = prints.count()
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *_KEY)
+    least = component_of(prints, total, place).select("least").distinct().select("least.*").select(*_KEY)
+    times = prints.groupBy(*_KEY).agg(F.count("*").alias("n"))
+    kept = cut(least.join(times, _KEY).withColumn("__times", F.col("n")))
+    # The row goes along as one struct, so that none of its columns can clash with ours.
+    rows = docs.select(F.struct("*").alias("__whole"), *_key_of(doc_id, text))
+    found = skew_lookup(rows, kept, _KEY, total, "n", F.monotonically_increasing_id()).filter("__times is not null")
+    # Repeats are combined before they are shuffled; a row without repeats isn't shuffled again.
+    again = found.filter("__times > 1").groupBy(*_KEY).agg(F.first("__whole").alias("__whole"))
+    return found.filter("__times = 1").select("__whole").union(again.select("__whole")).select("__whole.*")

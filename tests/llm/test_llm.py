@@ -269,7 +269,40 @@ def test_near_duplicates_of_odd_rows(spark):
     assert {(1, 1), (2, 1), (3, 1), (4, 4), (30, 20), (40, 20), (20, 20)} <= got and (None, None) in got
     kept = simhash.keep_one(docs)
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 4, 5, 6, 7, 20, None])) and kept.columns == docs.columns
-    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(80)) for c in "xyz")
+    rows = [(1, x), (4, x), (4, y), (4, y), (None, z), (None, z), (None, x), (9, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, __times int")
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns and sorted((str(r.doc_id), r.text or "") for r in got.collect()) == sorted([("1", x), ("4", y), ("None", z), ("8", "")])
+    assert len({r[2] for r in got.collect()}) == 4
+
+
+def test_fingerprints_by_the_rule(spark):
+    import xxhash
+
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["A", "bb", "Cé", "dd\t", "🙂"]) for _ in range(n)) for n in (0, 1, 3, 4, 5, 60, 700)] + ["Z" * 200_000, None]
+    for text in texts:
+        words = [w for w in regex.split(r"[\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if w]
+        hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 4]).encode(), 42) for i in range(max(1, len(words) - 3))] if words else []
+        wanted = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+        assert simhash.fingerprint(text) % (1 << 64) == wanted
+
+
+def test_links_of_a_key_over_many_batches(spark):
+    """One key holds many fingerprints, more than an Arrow batch: links are the same as those of one batch."""
+    fps = [(k << 40) | (1 << (14 + k % 12)) for k in range(64)]
+    frame = spark.createDataFrame([(f,) for f in fps], "fp long")
+    whole = {(r.u, r.v) for r in simhash.components(simhash.links(frame)).select("node", "root").toDF("u", "v").collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert {(r.u, r.v) for r in simhash.components(simhash.links(frame)).select("node", "root").toDF("u", "v").collect()} == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_url_templates_learn_from_labels(spark):
