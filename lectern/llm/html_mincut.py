@@ -1,8 +1,10 @@
 """Main-text extraction by minimum-cut labelling of a page's blocks.
 
-A trained classifier gives each block of text a cost for either label: those are the terminal capacities.  Blocks that
-follow each other, and blocks under one parent, are joined by smoothness edges.  The minimum cut separates content
-from boilerplate.
+A trained classifier gives each block of text a cost for either label: those are the terminal capacities, to which an
+element that says what it is (by its tag, or by a class or id that is a name of boilerplate as a whole) adds one that
+outweighs it; a class that only holds such a word among others (``side-effects``) adds little, and the classifier and
+the edges decide.  Blocks that follow each other, and blocks under one parent, are joined by smoothness edges.  The
+minimum cut separates content from boilerplate.
 
 Defined results: a null or empty page, and a page without content, has an empty text; very long pages are read whole;
 repeated rows give equal rows; an empty table gives an empty table; other columns are not read.
@@ -17,27 +19,32 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fit_logistic
+from .common import first_ids, fit_logistic, one_row_each
 
 #: Bounds on the pages, and on the blocks of a page, that the classifier is fitted to.
 MAX_TRAINING_PAGES, MAX_TRAINING_BLOCKS = 1_500, 64
-#: Capacities: of a block's region, and of edges between neighbours and siblings.
-REGION_COST, NEIGHBOUR, SIBLING = 4.0, 0.3, 0.8
+#: Capacities: the most that the classifier adds; of a block's region, by its strength; of edges between neighbours and siblings.
+CLASSIFIER_COST, REGION_COST, NEIGHBOUR, SIBLING = 2.0, {0: 0.0, 1: 0.6, 2: 4.0}, 0.3, 0.8
 
 # Elements that never hold text of a page, that split text into blocks, and that name a region.
-SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "head", "title", "textarea", "select", "button", "option", "datalist"}
+SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "head", "title", "textarea", "select", "button", "option", "datalist", "annotation", "annotation-xml"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template"}
 #: Elements that leave an open head open, that are closed by "/>", and that end those where they have no place.
 OF_HEAD = {"head", "html", "base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "template"}
-FOREIGN = {"svg", "math"}
+FOREIGN = {"svg"}
 BREAKS_OUT = {"body", "blockquote", "center", "dd", "div", "dl", "dt", "embed", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "img", "li", "menu", "ol", "p", "pre", "table", "ul"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+#: Elements of formulas, whose text is that of the paragraph.
+FORMULA = {"math", "semantics", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "merror", "mpadded", "mphantom", "mfenced", "menclose", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mprescripts", "none", "mtable", "mtr", "mtd"}
 AWAY_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 MAIN_TAGS = {"article", "main"}
-AWAY_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|popup|modal|nav\w*|menu|breadcrumbs?|sidebar|side|footer|header|masthead|comments?|respond|disqus|related|share|social|subscribe|newsletter|login|signup|search|widget|pagination|pager|toolbar|skip)(?:$|[\s_-])", re.I)
-MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story)(?:$|[\s_-]|-?body)", re.I)
+AWAY_WORDS = re.compile(r"ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|popup|modal|nav\w*|menu|breadcrumbs?|sidebar|side|footer|header|masthead|comments?|respond|disqus|related|share|social|subscribe|newsletter|login|signup|search|widgets?|pagination|pager|toolbar|skip")
+MAIN_WORDS = {"article", "main", "content", "post", "entry", "story", "body"}
+#: Words that add nothing to a name.
+FRAME_WORDS = {"site", "page", "global", "top", "bottom", "left", "right", "primary", "secondary", "container", "wrapper", "wrap", "box", "area", "list", "section", "block", "bar", "inner", "outer", "row", "col", "column", "item", "items", "links", "link", "buttons", "media", "bottom", "the", "js", "ui"}
 AWAY_ROLES = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|alert|dialog|menu|form)\b", re.I)
+MAIN_ROLES = re.compile(r"\brole\s*=\s*[\"']?(?:main|article)\b", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*+(?:[\"'][^>]*)?)>|<[!?][^>]*>", re.S)
 #: The attributes of a tag that ends in "/>"; a slash in an unquoted value belongs to that.
@@ -46,18 +53,30 @@ _UNQUOTED = re.compile(r"=\s*[^\s\"'>]+/\Z")
 _NAMES = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
+def name_strength(name: str, inside_main: bool = False) -> int:
+    """Of a class or id: 2 or -2 if all its words but those of FRAME_WORDS name content or boilerplate, 1 or -1 if some
+    do, else 0.  Boilerplate comes first where both are named; a header within the content isn't boilerplate."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w and w not in FRAME_WORDS]
+    away = sum(bool(AWAY_WORDS.fullmatch(w)) and not (inside_main and w == "header") for w in words)
+    main = sum(w in MAIN_WORDS for w in words)
+    strength = 2 if away + main == len(words) else 1
+    return -strength if away else strength if main else 0
+
+
 def region(tag: str, attributes: str, inside_main: bool) -> int:
-    """1 if an element says that its text is content, -1 if it says that it isn't, else 0."""
+    """What an element says of its text: 2 or 1 content, -1 or -2 boilerplate, strongly or weakly, else 0."""
     if tag in MAIN_TAGS:
-        return 1
+        return 2
     if tag in AWAY_TAGS or tag == "header" and not inside_main:
-        return -1
+        return -2
     if attributes:
-        names = " ".join(next(filter(None, m.groups()), "") for m in _NAMES.finditer(attributes))
-        if AWAY_NAMES.search(names) or AWAY_ROLES.search(attributes):
-            return -1
-        if MAIN_NAMES.search(names):
-            return 1
+        if AWAY_ROLES.search(attributes):
+            return -2
+        said = [name_strength(n, inside_main) for m in _NAMES.finditer(attributes) for n in next(filter(None, m.groups()), "").split()]
+        if MAIN_ROLES.search(attributes):
+            said.append(2)
+        low, high = min(said, default=0), max(said, default=0)
+        return low if low == -2 or low < 0 and high < 2 else high
     return 0
 
 
@@ -114,7 +133,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         if tag == "a":
             links = 0 if closing else 1
             continue
-        if tag in INLINE or tag in VOID and tag != "hr":
+        if tag in INLINE or tag in FORMULA or tag in VOID and tag != "hr":
             continue
         if tag in RAW and not closing:
             lower = lower if lower is not None else page.lower()
@@ -149,6 +168,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             if tag == "li" and stack[-1][0] == "li" or tag in ("dt", "dd") and stack[-1][0] in ("dt", "dd") or tag == "tr" and stack[-1][0] in ("td", "th", "tr") or tag in ("td", "th") and stack[-1][0] in ("td", "th"):
                 stack.pop()
             own = region(tag, m[3], stack[-1][1] > 0)
+            if abs(own) == 1 and abs(stack[-1][1]) == 2:
+                own = 0  # a weak name doesn't leave a region that is strongly named
             # Items and cells share their list's or row's number, so that siblings meet.
             number = stack[-1][2] if tag in ("li", "dt", "dd", "td", "th") or tag[0] == "h" and tag[1:].isdigit() else serial
             stack.append((tag, own or stack[-1][1], number))
@@ -265,8 +286,8 @@ def main_text(page: str | None, weights: np.ndarray, bias: float) -> str:
         return ""
     x = np.array([traits(text, linked, kind) for text, linked, _, _, kind in parts])
     regions = [r for _, _, r, _, _ in parts]
-    # With no region named as content, what isn't named as boilerplate is open to the classifier.
-    pull = np.clip(x @ weights + bias, -2, 2) + REGION_COST * np.array(regions)
+    # What isn't named is open to the classifier.
+    pull = np.clip(x @ weights + bias, -CLASSIFIER_COST, CLASSIFIER_COST) + np.array([REGION_COST[abs(r)] * (r > 0) - REGION_COST[abs(r)] * (r < 0) for r in regions])
     edges, last = [], {}
     for i, (_, _, r, parent, _) in enumerate(parts):
         if i:
@@ -279,25 +300,26 @@ def main_text(page: str | None, weights: np.ndarray, bias: float) -> str:
 
 
 def fit(pages: DataFrame, max_pages: int = MAX_TRAINING_PAGES) -> tuple[np.ndarray, float]:
-    """Weights of the block classifier.  Blocks in a named region are its labelled rows; the name is no input."""
-    ids = pages.select("page_id").filter("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages).distinct().withColumnRenamed("page_id", "__id")
-    chosen = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")).join(F.broadcast(ids), F.col("page_id") == F.col("__id")).select("html")
+    """Weights of the block classifier.  Blocks in a strongly named region are its labelled rows; the name is no input.
+    With no such blocks of both kinds nothing is learned, and all that isn't named as boilerplate is content."""
+    known = pages.select(F.col("page_id").alias("__id"), F.coalesce("html", F.lit("")).alias("html"))
+    chosen = one_row_each(known, first_ids(known, max_pages))
 
     def rows(batches):
         for pdf in batches:
             out = []
             for page in pdf["html"]:
-                named = [b for b in blocks(page) if b[2]]
+                named = [b for b in blocks(page) if abs(b[2]) == 2]
                 named = named[:: max(1, -(-len(named) // MAX_TRAINING_BLOCKS))]
                 out += [(int(r > 0), zlib.crc32(text.encode("utf-8", "surrogatepass")), traits(text, linked, kind)) for text, linked, r, _, kind in named]
             yield pd.DataFrame(out, columns=["y", "crc", "x"])
 
     got = chosen.mapInPandas(rows, "y int, crc long, x array<double>").toPandas().sort_values(["crc", "y"], ignore_index=True)
     if got["y"].nunique() < 2:
-        return np.array([1.5, -4.0, 1.0, 0.5, 0.5, 1.0]), -1.5
+        return np.zeros(WIDTH), CLASSIFIER_COST
     x = np.stack(got["x"].to_numpy())
     n = len(x)
-    w, b = fit_logistic(np.repeat(np.arange(n), WIDTH), np.tile(np.arange(WIDTH), n), x.ravel(), got["y"].to_numpy(float), WIDTH, l2=1e-3, steps=200, rate=0.1)
+    w, b = fit_logistic(np.repeat(np.arange(n), WIDTH), np.tile(np.arange(WIDTH), n), x.ravel(), got["y"].to_numpy(float), WIDTH, l2=1e-3)
     return w[:, 0], float(b[0])
 
 

@@ -163,6 +163,24 @@ def test_silent_elements_end_where_they_must(page):
     assert " ".join(kept) == "Some text. More."
 
 
+def test_names_outweigh_only_where_they_are_whole():
+    prose = "A paragraph of some length, with commas, that says a thing or two."
+    weights = np.array([1.5, -4.0, 1.0, 0.5, 0.5, 1.0])
+    inside = f"<article><header class=entry-header><h1>Title</h1></header><p>{prose}</p><div class='side-effects'><p>Nausea, or fever.</p></div><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> be.</p></article>"
+    assert html_mincut.main_text(f"<body><div class='main-nav'>Home</div>{inside}<div id=commentList><p>{prose}</p></div></body>", weights, -1.5) == f"Title {prose} Nausea, or fever. Let x=1 be."
+    assert [html_mincut.name_strength(x) for x in ("nav", "siteFooter", "cookie-notice", "side-effects", "post-content", "headerless", "entry-header")] == [-2, -2, -2, -1, 2, 0, -2]
+
+
+def test_the_cut_alone_separates_a_page_that_names_nothing():
+    """No element says what it is: the classifier's capacities and the edges decide; a short line amid prose is kept by
+    its edges, which the classifier alone would drop."""
+    prose = "A paragraph of some length, with commas, that says a thing or two about its matter, and ends."
+    page = "<div>" + "".join(f"<div><a href=x>Link {i}</a></div>" for i in range(6)) + f"</div><div><p>{prose}<p>{prose}<p>See<p>{prose}</div><div><a href=a>About</a><br><a href=b>Terms</a></div>"
+    weights = np.array([1.5, -4.0, 1.0, 0.5, 0.5, 1.0])
+    assert html_mincut.main_text(page, weights, -1.5) == f"{prose} {prose} See {prose}"
+    assert html_mincut.traits("See", 0, 0) @ weights - 1.5 < 0
+
+
 def test_text_ends_a_head():
     assert [b[0] for b in html_mincut.blocks("<head><title>T</title>Words at once<p>and more")] == ["Words at once", "and more"]
 
