@@ -357,6 +357,82 @@ def test_quotes_rewrapped_in_part_and_of_repeated_lines(spark):
     assert got[1, 6] == (5, 5, 1) and got[1, 5000] == (5, 5, 1)
 
 
+def test_own_lines_are_not_lost(spark):
+    rows = [(1, 0, "user", "My teacher said:\nlisten.\n    indented code\nend"), (1, 1, "assistant", "She wrote:\n> listen.\nYes <|end|> and <\\|x"), (None, None, "user", "> a quote\nShe wrote:"), (1, None, None, "x wrote:\n\n> y"), (2, 0, "a<|b", "\r\nline\r\n")]
+    conv = spark.createDataFrame(rows * 2, "conv_id long, turn long, role string, text string")
+    got = quotes.link_quotes(conv).collect()
+    assert len(got) == 2 * len(rows)
+    by = {(r.conv_id, r.turn): r for r in got}
+    assert by[1, 0].text == rows[0][3] and by[1, 1].text == "Yes <|end|> and <\\|x" and by[1, 1].parent_turn == 0
+    assert by[None, None].text == "She wrote:" and by[1, None].text == "" and by[1, None].parent_turn is None
+    assert by[1, 1].formatted == "<|assistant|>\nYes <\\|end|> and <\\\\|x\n<|end|>\n" and by[2, 0].formatted == "<|a<\\|b|>\nline\n<|end|>\n"
+    assert regex.sub(r"<\\(\\*)\|", r"<\1|", by[1, 1].formatted[len("<|assistant|>\n") : -len("\n<|end|>\n")]) == by[1, 1].text
+
+
+def plain_links(conversation):
+    """{turn: (text, parent, root, depth)} of one conversation by definition, in plain loops."""
+    word = lambda s: regex.findall(r"[\p{L}\p{N}]+", s.lower())
+    own, quoted = {}, {}
+    for turn, text in conversation:
+        lines = []
+        for raw in text.split("\n"):
+            m = regex.match(r"[ \t]*((?:>[ \t]?)*)(.*)", raw)
+            lines.append((m[1].count(">"), m[2].strip(" "), raw))
+        keep, runs = [], []
+        for i, (level, line, raw) in enumerate(lines):
+            rest = lines[i + 1 : i + 3]
+            follows = bool(rest) and (rest[0][0] > level or rest[0][1] == "" and rest[0][0] <= level and len(rest) > 1 and rest[1][0] > level)
+            if follows and regex.fullmatch(r"(?:On .* wrote|.* (?:wrote|said)) ?:", line):
+                continue
+            if level == 0:
+                keep.append(raw)
+            level = 0 if regex.fullmatch(r"\[?\.{3}\]?", line) else level
+            if runs and runs[-1][0] == level:
+                runs[-1][1].append(line)
+            else:
+                runs.append((level, [line]))
+        own[turn] = regex.sub(r"^(?:[ \t]*\n)+|\s+$", "", "\n".join(keep))
+        quoted[turn] = [r for level, r in runs if level]
+    holds = lambda t, ws: any(word(own[t])[i : i + len(ws)] == ws for i in range(len(word(own[t])) - len(ws) + 1))
+    parent = {}
+    for turn, runs in quoted.items():
+        found = []
+        for run in runs:
+            options = [(True, word(" ".join(run)))] + [(False, word(x)) for x in run]
+            met = [(whole, len(ws), max(earlier)) for whole, ws in options if ws and (earlier := [t for t in own if t < turn and holds(t, ws)])]
+            found += [max(met)[2]] if met else []
+        if found:
+            parent[turn] = max(found)
+    out = {}
+    for turn in own:
+        root, depth = turn, 0
+        while root in parent:
+            root, depth = parent[root], depth + 1
+        out[turn] = (own[turn], parent.get(turn), root, depth)
+    return out
+
+
+def test_quotes_by_brute_force(spark):
+    rng = random.Random(21)
+    rows = []
+    for conv in range(40):
+        texts = []
+        for turn in range(rng.randint(2, 9)):
+            fresh = ["\n".join(" ".join(rng.choices("one two three Four five, six. Ünd".split(), k=rng.randint(1, 5))) for _ in range(rng.randint(1, 3)))]
+            if texts and rng.random() < 0.8:
+                body = regex.sub(r"\s+", " ", rng.choice(texts)) if rng.random() < 0.5 else rng.choice(texts)
+                ws = body.split(" ")
+                if rng.random() < 0.4 and "\n" not in body:
+                    cut = sorted(rng.sample(range(len(ws) + 1), 2)) if len(ws) > 1 else [0, len(ws)]
+                    body = "\n".join(" ".join(ws[k : k + 3]) for k in range(cut[0], cut[1], 3))
+                fresh = rng.choice([["He said:"], ["He wrote:", ""], []]) + ["> " + x for x in body.split("\n")] + (["> ..."] if rng.random() < 0.2 else []) + fresh
+            texts.append("\n".join(fresh))
+        rows += [(conv, turn, "user", t) for turn, t in enumerate(texts)]
+    got = {(r.conv_id, r.turn): (r.text, r.parent_turn, r.root_turn, r.depth) for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    wanted = {(conv, turn): x for conv in range(40) for turn, x in plain_links([(t, s) for c, t, _, s in rows if c == conv]).items()}
+    assert got == wanted and sum(x[1] is not None for x in wanted.values()) > 50 and max(x[3] for x in wanted.values()) > 2
+
+
 def test_latest_authors_by_brute_force(spark):
     rng = random.Random(11)
     draw = lambda n: sorted({(rng.randint(0, 1), rng.randint(0, 4000), rng.randint(0, 3)) for _ in range(n)})
