@@ -1,9 +1,12 @@
 """URL filters: a path-template tree per host.
 
-Variable segments become wildcards, first by their shape and then where a parent has many different children; sibling
-branches whose labels are statistically alike are merged; a template is rejected if the smoothed share of its labelled
-urls that are to be blocked is high.  Every step aggregates (host, template) counts, so that a host with any share of
-the rows costs a row for each of its templates; verdicts come back to the rows by a lookup that deals out hot keys.
+Variable segments become wildcards, first by their shape and then where a parent has many different children.  Then
+branches are merged from the leaves to the host: children of a parent whose own children are distributed alike
+(chi-square of two samples) and whose labels don't differ significantly become one branch, which pools their labels, so
+that a label reaches unlabelled siblings of the same make.  A template is rejected if the smoothed share of its
+labelled urls that are to be blocked is high.  Every step aggregates (host, template) counts, so that a host with any
+share of the rows costs a row for each of its templates; verdicts come back to the rows by a lookup that deals out hot
+keys.
 
 Defined results: a null url, or one without ``://``, has an empty host and path; templates without labels are allowed;
 repeated rows are judged alike; an empty table gives an empty table; other columns are kept only where asked for.
@@ -12,7 +15,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut, skew_lookup
 
@@ -28,11 +32,12 @@ class Rule:
         return self.host + self.path
 
 
-#: Levels of the tree; what lies deeper is one wildcard.
+#: Levels of the tree; what lies deeper is one segment of the last level, told apart by its whole shape.
 DEPTH = 6
 #: A parent with more literal children than this gets a wildcard in their place.
 MAX_CHILDREN = 12
-#: Siblings are merged if the z of their blocked shares differs less; rejection needs this share and so many labels.
+#: Siblings are merged if their blocked shares differ by less than this z, and the distributions of their children by
+#: less than the chi-square that this z stands for; rejection needs this share and so many labels.
 MERGE_Z, REJECT_AT, LEAST_LABELS, PRIOR_WEIGHT = 1.64, 0.8, 3, 4.0
 
 
@@ -62,10 +67,11 @@ def shape(segment: Column) -> Column:
 
 
 def template_of(path: Column) -> Column:
-    """Shaped segments of a path, at most DEPTH and one for the rest; a slash at the end makes a last empty one."""
+    """Shaped segments of a path, at most DEPTH, the last of which holds all the rest; a slash at the end makes a last
+    empty one."""
     shaped = F.transform(F.split(F.substring(path, 2, 1 << 30), "/"), shape)
-    head = F.slice(shaped, 1, DEPTH)
-    return F.when(F.size(shaped) > DEPTH, F.concat(head, F.array(F.lit("**")))).otherwise(head)
+    rest = F.array(F.array_join(F.slice(shaped, DEPTH, 1 << 30), "/"))
+    return F.when(F.size(shaped) > DEPTH, F.concat(F.slice(shaped, 1, DEPTH - 1), rest)).otherwise(shaped)
 
 
 def templates(urls: DataFrame) -> DataFrame:
@@ -78,8 +84,8 @@ def templates(urls: DataFrame) -> DataFrame:
 def generalise(counts: DataFrame) -> DataFrame:
     """Adds ``node``: the template with wildcards where its parent node has more than MAX_CHILDREN children."""
     out = counts.withColumn("node", F.array().cast("array<string>"))
-    total = counts.count()
-    for level in range(DEPTH):
+    total, deepest = counts.agg(F.count("*"), F.max(F.size("template"))).first()
+    for level in range(deepest or 0):
         here = F.get(F.col("template"), F.lit(level))
         parents = out.filter(here.isNotNull()).groupBy("host", "node", here.alias("__s")).agg(F.count("*").alias("__k"))
         wide = parents.groupBy("host", "node").agg(F.count("*").alias("__children"), F.sum("__k").alias("__n"))
@@ -93,28 +99,86 @@ def generalise(counts: DataFrame) -> DataFrame:
     return out
 
 
+def alike(a: dict[str, int], b: dict[str, int]) -> bool:
+    """Whether two counts of children may come from one distribution: chi-square of two samples (Wilson-Hilferty)."""
+    n, m = sum(a.values()), sum(b.values())
+    free = len(a | b) - 1
+    if not n or not m or not free:
+        return True
+    r = (m / n) ** 0.5
+    chi = sum((r * a.get(k, 0) - b.get(k, 0) / r) ** 2 / (a.get(k, 0) + b.get(k, 0)) for k in a | b)
+    return chi <= free * (1 - 2 / (9 * free) + MERGE_Z * (2 / (9 * free)) ** 0.5) ** 3
+
+
+def agree(l: int, b: int, m: int, c: int) -> bool:
+    """Whether two blocked shares, b of l labels and c of m, don't differ significantly; no labels agree with any."""
+    if not l or not m:
+        return True
+    pooled = (b + c + 1) / (l + m + 2)
+    return abs((b + 0.5) / (l + 1) - (c + 0.5) / (m + 1)) < MERGE_Z * (pooled * (1 - pooled) * (1 / l + 1 / m)) ** 0.5
+
+
+def merged(children: list[tuple[str, int, int, dict[str, int]]]) -> dict[str, str]:
+    """The branch of each child (name, labelled, blocked, counts of its children): each joins the first branch, from the
+    largest child on, that it is like."""
+    branches: list[tuple[list[str], list[int], dict[str, int]]] = []
+    for name, l, b, below in sorted(children, key=lambda c: (-sum(c[3].values()), c[0])):
+        for names, labels, counts in branches:
+            if alike(counts, below) and agree(*labels, l, b):
+                names.append(name)
+                labels[:] = [labels[0] + l, labels[1] + b]
+                for k, n in below.items():
+                    counts[k] = counts.get(k, 0) + n
+                break
+        else:
+            branches.append(([name], [l, b], dict(below)))
+    return {name: names[0] if len(names) == 1 else f"({'|'.join(sorted(names))})" for names, *_ in branches for name in names}
+
+
+def branches(leaves: DataFrame) -> DataFrame:
+    """Adds ``pattern`` to (host, node, n, l, b) leaves: the node with merged branches, from the last level to the first.
+
+    Children are compared by the next two levels below them.  A parent has at most MAX_CHILDREN literal children and a
+    few wildcards, and so has each of them, so that what a parent gathers is bounded, whatever its rows.
+    """
+    out = leaves.withColumn("pattern", F.col("node"))
+    total = leaves.count()
+    last = leaves.agg(F.max(F.size("node"))).first()[0] or 0
+    for level in range(last - 1, -1, -1):
+        up, here, below = F.to_json(F.slice("node", 1, level)), F.get("node", F.lit(level)), F.to_json(F.slice("pattern", level + 2, 2))
+        keyed = out.withColumns({"__up": up, "__here": here})
+        counts = keyed.filter("__here is not null").groupBy("host", "__up", "__here", below.alias("__below")).agg(*[F.sum(c).alias(c) for c in "nlb"], F.count("*").alias("rows"))
+
+        def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+            groups = [(str(name), int(g["l"].sum()), int(g["b"].sum()), dict(zip(g["__below"], map(int, g["n"])))) for name, g in pdf.groupby("__here")]
+            into = merged(groups)
+            rows = pdf.groupby("__here", as_index=False)["rows"].sum()
+            return pd.DataFrame({"host": pdf["host"].iloc[0], "__up": pdf["__up"].iloc[0], "__here": rows["__here"], "__into": rows["__here"].map(into), "rows": rows["rows"]})
+
+        chosen = counts.groupBy("host", "__up").applyInPandas(choose, "host string, __up string, __here string, __into string, rows long")
+        step = skew_lookup(keyed, chosen, ["host", "__up", "__here"], total, "rows", F.xxhash64("node"))
+        renamed = F.concat(F.slice("pattern", 1, level), F.array("__into"), F.slice("pattern", level + 2, DEPTH))
+        out = cut(step.withColumn("pattern", F.when(F.col("__into").isNotNull(), renamed).otherwise(F.col("pattern"))).select("host", "node", "n", "l", "b", "pattern"))
+    return out
+
+
 def judged_templates(counts: DataFrame) -> DataFrame:
-    """(host, template, n, pattern, purity, verdict) of every template."""
-    nodes = generalise(counts).withColumn("pattern", F.concat(F.lit("/"), F.array_join(F.concat("node", F.when(F.element_at("template", -1) == "**", F.array(F.lit("**"))).otherwise(F.array().cast("array<string>"))), "/")))
-    leaf = nodes.groupBy("host", "pattern").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-    everything = leaf.agg(F.sum("l").alias("l"), F.sum("b").alias("b")).first()
+    """(host, template, n, pattern, purity, template_verdict) of every template."""
+    nodes = generalise(counts)
+    leaves = cut(nodes.groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.count("*").alias("rows")))
+    everything = leaves.agg(F.sum("l").alias("l"), F.sum("b").alias("b")).first()
     prior = float((everything["b"] or 0) + 1) / float((everything["l"] or 0) + 2)
-    # Siblings: equal but for the last segment.  A parent has at most MAX_CHILDREN and a few wildcard children.
-    parent = F.regexp_extract("pattern", r"^(.*/)[^/]*$", 1)
-    share = (F.col("b") + 0.5) / (F.col("l") + 1)
-    order = Window.partitionBy("host", "__parent", "__known").orderBy("__share", "pattern")
-    leaf = leaf.withColumn("__parent", parent).withColumn("__known", F.col("l") > 0).withColumn("__share", share)
-    l0, b0 = F.lag("l").over(order), F.lag("b").over(order)
-    pooled = (F.col("b") + b0 + 1) / (F.col("l") + l0 + 2)
-    z = F.abs(F.col("__share") - (b0 + 0.5) / (l0 + 1)) / F.sqrt(pooled * (1 - pooled) * (1 / F.col("l") + 1 / l0))
-    starts = F.when(F.col("__known") & l0.isNotNull() & (z < MERGE_Z), 0).otherwise(1)
-    leaf = leaf.withColumn("__start", starts).withColumn("__branch", F.sum("__start").over(order))
-    branch = Window.partitionBy("host", "__parent", "__known", "__branch")
-    leaf = leaf.withColumn("__l", F.sum("l").over(branch)).withColumn("__b", F.sum("b").over(branch))
-    purity = (F.col("__b") + PRIOR_WEIGHT * prior) / (F.col("__l") + PRIOR_WEIGHT)
-    reject = (purity >= REJECT_AT) & (F.col("__l") >= LEAST_LABELS)
-    leaf = leaf.select("host", "pattern", purity.alias("purity"), F.when(reject, "block").otherwise("allow").alias("template_verdict"))
-    return nodes.select("host", F.to_json("template").alias("template"), "n", "pattern").join(leaf, ["host", "pattern"]).select("host", "template", "n", "pattern", "purity", "template_verdict")
+    # Prefixes of merged branches are equal texts, so that equal patterns pool their labels.
+    named = branches(leaves.drop("rows")).withColumn("pattern", F.concat(F.lit("/"), F.array_join("pattern", "/")))
+    pooled = named.groupBy("host", "pattern").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.count("*").alias("k"))
+    purity = (F.col("b") + PRIOR_WEIGHT * prior) / (F.col("l") + PRIOR_WEIGHT)
+    reject = (purity >= REJECT_AT) & (F.col("l") >= LEAST_LABELS)
+    pooled = pooled.select("host", "pattern", purity.alias("purity"), F.when(reject, "block").otherwise("allow").alias("template_verdict"), "k")
+    total = leaves.count()
+    keyed = named.select("host", F.to_json("node").alias("__key"), "pattern", F.xxhash64("node").alias("__node"))
+    judged = skew_lookup(keyed, pooled, ["host", "pattern"], total, "k", F.col("__node")).drop("__node").join(leaves.select("host", F.to_json("node").alias("__key"), "rows"), ["host", "__key"])
+    rows = nodes.select("host", F.to_json("template").alias("template"), "n", F.to_json("node").alias("__key"))
+    return skew_lookup(rows, judged, ["host", "__key"], counts.count(), "rows", F.xxhash64("template")).drop("__key")
 
 
 def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:

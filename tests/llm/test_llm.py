@@ -328,12 +328,34 @@ def test_url_templates_learn_from_labels(spark):
     rules = [urls.Rule("com", f"/bad/{i}", "block") for i in range(8)] + [urls.Rule("com", "/good/", "allow")]
     pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'x' AS host", "'x' AS n", "'x' AS verdict")
     got = {r.page_id: r for r in urls.judge(pages, rules).collect()}
-    assert got[9].verdict == "block" and got[9].rule is None and got[9].pattern == "/bad/{n}"
+    assert got[9].verdict == "block" and got[9].rule is None and got[9].pattern == "/bad/(abc|{n})" and got[90].verdict == "block"
     assert got[3].rule == "com/bad/3" and got[15].verdict == "allow" and got[91].verdict == "allow"
     assert (got[92].host, got[92].path, got[93].host, got[94].host, got[94].path, got[90].host) == ("", "", "", "h.com", "", "h.com")
     assert urls.judge(pages.limit(0), rules).count() == 0
 
 
+def test_branches_merge_by_make_and_labels_by_brute_force(spark):
+    """Sections of one make pool their labels; a section of another make, or with other labels, stays apart."""
+    rows = [(s, f"http://h.com/{s}/{i}") for s in ("en", "fr", "ok") for i in range(40)] + [("p", f"http://h.com/p/{i}/edit") for i in range(40)] + [("login", "http://h.com/login")]
+    deep = [("d", f"http://h.com/a/b/c/d/e/f/g/{x}") for x in ("one", "two/three")]
+    pages = spark.createDataFrame([(k, u) for k, (_, u) in enumerate(rows + deep)] * 2, "page_id long, url string")
+    rules = [urls.Rule("com", f"/en/{i}", "block") for i in range(1, 10)] + [urls.Rule("com", f"/ok/{i}", "allow") for i in range(1, 10)]
+    got = urls.judge(pages, rules).collect()
+    assert len(got) == 2 * len(rows + deep)
+    said = {}
+    for r in got:
+        if r.rule is None:
+            said.setdefault((rows + deep)[r.page_id][0], set()).add((r.pattern, r.verdict))
+    assert said["en"] == said["fr"] == {("/(en|fr)/{n}", "block")} and said["ok"] == {("/ok/{n}", "allow")}
+    assert said["p"] == {("/p/{n}/edit", "allow")} and said["login"] == {("/login", "allow")} and len(said["d"]) == 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.sampled_from("abc"), st.integers(1, 60)), st.dictionaries(st.sampled_from("abc"), st.integers(1, 60)))
+def test_alike_is_symmetric_and_equal_counts_are_alike(a, b):
+    assert urls.alike(a, b) == urls.alike(b, a) and urls.alike(a, a) and urls.alike(a, {k: 7 * n for k, n in a.items()})
+
+
 def test_many_children_become_a_wildcard(spark):
     rows = [(i, f"http://h.com/post/{chr(97 + i % 26)}{chr(97 + i // 26)}title.html") for i in range(60)]
     got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), []).collect()
