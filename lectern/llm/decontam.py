@@ -90,13 +90,16 @@ class Index:
             size = min(SEED_WORDS, len(ws))
             for at in range(len(ws) - size + 1 if ws else 0):
                 self.seeds.setdefault(tuple(self.number[w] for w in ws[at : at + size]), []).append((key, at))
-        base = len(self.number) + 1
-        self.base = base
-        self.codes = {size: np.unique(np.array([self.code(s) for s in self.seeds if len(s) == size], np.int64)) for size in range(1, SEED_WORDS + 1)}
-
-    def code(self, seed: tuple) -> int:
-        out = 0
-        for x in seed:
+        self.base = np.uint64(len(self.number) + 1)
+        self.codes = {}
+        for size in range(1, SEED_WORDS + 1):
+            some = np.array([s for s in self.seeds if len(s) == size], np.uint64).reshape(-1, size)
+            self.codes[size] = np.unique(self.code(some.T))
+
+    def code(self, columns) -> np.ndarray:
+        """A number for each seed.  It wraps beyond 2 million words, so that seeds may share one: `seeds` tells them apart."""
+        out = np.zeros(len(columns[0]), np.uint64)
+        for x in columns:
             out = out * self.base + x
         return out
 
@@ -119,12 +122,10 @@ class Index:
             for k in range(1, size):
                 known = known & (ids[k : k + n] > 0)
             where = np.flatnonzero(known)
-            code = np.zeros(len(where), np.int64)
-            for k in range(size):
-                code = code * self.base + ids[where + k]
+            code = self.code([ids[where + k].astype(np.uint64) for k in range(size)])
             hit = codes[np.minimum(np.searchsorted(codes, code), len(codes) - 1)] == code
             for at in where[hit].tolist():
-                for key, offset in self.seeds[tuple(ids[at : at + size].tolist())]:
+                for key, offset in self.seeds.get(tuple(ids[at : at + size].tolist()), ()):
                     places.setdefault(key, []).append(at - offset)
         out: dict[int, tuple[float, int, int]] = {}
         for key, begins in places.items():

@@ -8,6 +8,7 @@ import pytest
 import regex
 from hypothesis import given, settings, strategies as st
 
+from lectern.llm.common import first_ids, one_row_each, training_rows
 from lectern.llm import bpe, decontam, html_mincut, langid, quality, queries, quotes, sharding, simhash, toxicity, urls
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -55,6 +56,21 @@ def test_encoding_equals_the_library_and_round_trips(spark, ranks):
     assert sorted((str(r.doc_id), bytes(r.decoded)) for r in again.collect()) == sorted((i, d) for i, _, d in expected)
 
 
+def test_codecs_of_vocabularies_of_one_size(spark, ranks):
+    base = {bytes([i]): i for i in range(256)}
+    docs = spark.createDataFrame([(1, "abcd"), (2, None)], "doc_id long, text string").coalesce(1)
+    one, two = (bpe.encode(docs, base | {pair: 256}, ".+").select("n_tokens", "ids").collect() for pair in (b"ab", b"cd"))
+    assert [r.n_tokens for r in one] == [r.n_tokens for r in two] == [3, 0] and one[0].ids != two[0].ids
+    coded = spark.createDataFrame([(1, None), (2, bytearray(b"\x61\x00\x00\x00"))], "doc_id long, ids binary")
+    assert {r.doc_id: bytes(r.decoded) for r in bpe.decode(coded, base, ".+").collect()} == {1: b"", 2: b"a"}
+
+
+def test_repeats_of_long_texts(spark, ranks):
+    docs = docs_of(spark, [(1, "word and " * 400)] * 7 + [(None, "word and " * 400)] * 2).repartition(3)
+    got = bpe.encode(docs, ranks, public_tokenizers.PATTERN, chunk=500, overlap=50).collect()
+    assert len(got) == 9 and len({(r.n_tokens, bytes(r.ids)) for r in got}) == 1
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="ab \n#", max_size=80))
 def test_text_counts_by_brute_force(text):
@@ -115,6 +131,52 @@ def test_toxicity_finds_passages_and_leaves_clean_texts(spark):
     assert toxicity.rate(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_rows_of_one_id_bring_one_row_to_the_fits(spark):
+    docs = docs_of(spark, [(1, f"text {i}") for i in range(10_000)] + [(2, "other"), (None, "none")])
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (2, 0, 0), (None, 1, 1)] * 50, "doc_id long, quality int, toxic int")
+    assert sorted(r.y for r in training_rows(docs, labels, "quality", 10, any_fold=True).collect()) == [0, 1]
+    ids = docs.withColumnRenamed("doc_id", "__id").select("__id", "text")
+    assert one_row_each(ids, first_ids(ids, 5)).count() == 2 and first_ids(ids.limit(0), 5).count() == 0
+    assert first_ids(spark.range(5000).withColumnRenamed("id", "__id"), 700).count() == 700
+
+
+def test_calibration_at_every_size(spark):
+    """Two labelled rows, or a label of one kind only, give every text a score, without another rule for small tables."""
+    docs = docs_of(spark, [(i, "good clean words " * 30 if i % 2 else "zork zork bad " * 30) for i in range(8)])
+    for n in (0, 1, 2, 8):
+        labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(n)], "doc_id long, quality int, toxic int")
+        assert all(0 <= r.score <= 1 for r in toxicity.rate(docs, labels).collect())
+        assert quality.judge(docs, labels).count() == 8
+
+
+def test_long_and_repeated_texts(spark):
+    words = "the quick brown fox jumps over a lazy dog and then rests".split()
+    rng = random.Random(14)
+    long_text = " ".join(rng.choices(words, k=60_000))
+    rows = [(1, long_text), (1, long_text), (2, "x" * 400_000), (3, long_text + " end")]
+    docs = docs_of(spark, rows)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    for out, column in ((quality.judge(docs, labels), "quality"), (toxicity.rate(docs, labels), "score"), (langid.identify(docs), "score"), (simhash.near_duplicates(docs), "fp")):
+        got = [(r.doc_id, r[column]) for r in out.collect()]
+        assert len(got) == 4 and len({x for i, x in got if i == 1}) == 1
+    assert {r.n_words for r in quality.judge(docs, labels).collect()} == {60_000, 1, 60_001}
+
+
+def test_decoding_by_brute_force_and_ties():
+    rng = np.random.default_rng(15)
+    for n in (2, 4, 9):
+        code = langid.codewords(n)
+        model = langid.Model([f"l{i}" for i in range(n)], code, rng.normal(size=(1 << langid.BITS, code.shape[1])), rng.normal(size=code.shape[1]), rng.random(code.shape[1]) + 0.1)
+        for text in ("abc def", "żółw", "x" * 50):
+            at = langid.grams(text)
+            margin = [sum(model.weights[g, j] for g in at) * langid.SCALE / len(at) + model.bias[j] for j in range(code.shape[1])]
+            costs = [sum(model.importance[j] * np.log1p(np.exp(-m if code[i, j] else m)) for j, m in enumerate(margin)) for i in range(n)]
+            assert model.judge(text)[0] == f"l{int(np.argmin(costs))}"
+    even = langid.Model(["a", "b"], langid.codewords(2), np.zeros((1 << langid.BITS, 1)), np.zeros(1), np.ones(1))
+    assert even.judge("text") == ("a", 0.5, True)
+    assert [even.judge(t)[0] for t in ("½ ² 3", "Ⅷ", None, "", "é")] == ["und", "und", "und", "und", "a"]
+
+
 def test_codewords_tell_languages_apart():
     for n in (2, 3, 5, 7, 12):
         code = langid.codewords(n)
@@ -249,6 +311,32 @@ def test_leaks_of_parts_of_long_items(spark):
     assert sorted(r.doc_id for r in decontam.drop_leaks(docs, bench).collect()) == [5, 6, 7]
 
 
+def test_seeds_find_what_aligning_every_pair_finds():
+    """Recall against the alignment of every item with every whole text, for copies with any share of words changed."""
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(400)]
+    items = [(k, rng.choices(vocabulary, k=rng.randint(12, 40))) for k in range(15)]
+    texts = []
+    for _ in range(120):
+        _, ws = rng.choice(items)
+        share = rng.random() * 0.35
+        texts.append(rng.choices(vocabulary, k=rng.randint(0, 60)) + [rng.choice(vocabulary) if rng.random() < share else w for w in ws if rng.random() > share / 4] + rng.choices(vocabulary, k=rng.randint(0, 60)))
+    index = decontam.Index(items)
+    every, found = set(), set()
+    for i, ws in enumerate(texts):
+        numbers = np.array([index.number.get(w, 0) for w in ws], np.int64)
+        every |= {(i, key) for key, item in enumerate(index.items) if decontam.align(item, numbers)[0] >= decontam.least_score(len(item), len(ws))}
+        found |= {(i, key) for key, *_ in index.leaks(" ".join(ws))}
+    assert found <= every and len(found) >= 0.97 * len(every) and len(every) > 90
+
+
+def test_seed_numbers_may_wrap():
+    index = decontam.Index([(1, ["a", "b", "c", "d", "e"]), (2, ["f", "g"])])
+    index.base = np.uint64(1 << 40)
+    index.codes = {size: np.unique(index.code(np.array([s for s in index.seeds if len(s) == size], np.uint64).reshape(-1, size).T)) for size in (1, 2, 3)}
+    assert [k for k, *_ in index.leaks("x a b c d e y")] == [1] and [k for k, *_ in index.leaks("f g")] == [2] and not index.leaks("a c e b d")
+
+
 def test_links_connect_what_all_pairs_do(spark):
     rng = random.Random(7)
     base = [rng.getrandbits(64) for _ in range(40)]
@@ -488,6 +576,91 @@ def test_shards_fit_and_equal_the_sql(spark):
     assert sharding.assign(docs.limit(0), 1000).count() == 0
 
 
+def test_written_shards(spark, tmp_path):
+    docs = docs_of(spark, [(i, "x" * 50) for i in range(40)] + [(None, None), (3, "again")])
+    sharding.write_shards(docs, str(tmp_path / "out"), 500)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((str(r.doc_id), r.text or "") for r in back.collect()) == sorted((str(r.doc_id), r.text or "") for r in docs.collect())
+    shard = {r.doc_id: "s" + r.shard for r in sharding.assign(docs, 500).collect()}
+    assert all(shard[r.doc_id] == r.shard for r in back.collect()) and len(set(shard.values())) > 3
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """run() over a planted corpus, against each stage's decision made plainly on what the stage before kept."""
+    import corpus_pipeline as p
+    import tiktoken
+
+    rng = random.Random(16)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(3, 8))) for _ in range(3000)]
+    clean = lambda n=90: rng.choices(vocabulary, k=n)
+    toxic = lambda: clean(40) + rng.choices(["zorkling", "zorkled", "quuxish", "vexfoul"], k=12) + clean(40)
+    junk = lambda: [rng.choice(["###", "%%%", "$$"]) if rng.random() < 0.5 else w for w in clean()]
+    items = [clean(30) for _ in range(8)]
+    kinds = {"clean": [clean() for _ in range(300)], "toxic": [toxic() for _ in range(80)], "junk": [junk() for _ in range(80)], "leak": [clean(60) + items[i % 8] + clean(60) for i in range(30)], "short": [clean(10) for _ in range(20)]}
+    texts = [(kind, " ".join(ws)) for kind, many in kinds.items() for ws in many]
+    rng.shuffle(texts)
+    rows = [(i, t) for i, (_, t) in enumerate(texts)]
+    copies = [t for k, t in texts if k == "clean"][:60]
+    rows += [(2000 + i, t) for i, t in enumerate(copies)] + [(3000 + i, t + " and more") for i, t in enumerate(copies)] + [(2000, copies[0]), (None, copies[1]), (None, None), (4000, ""), (4001, "word " * 60)]
+    kind_of = dict(enumerate(k for k, _ in texts))
+    docs_of(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(k not in ("junk", "short")), int(k == "toxic")) for i, k in kind_of.items() if i % 4 != 3], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(items)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    d = str(tmp_path)
+    got = p.run(spark, d).collect()
+
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    left = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    model = toxicity.fit(docs_of(spark, left), labels)
+    left = [(i, t) for i, t in left if model.probability(model.evidence(t or "")) < toxicity.PREDICT_AT]
+    assert not any(kind_of.get(i) == "toxic" for i, _ in left) and sum(kind_of.get(i) == "clean" for i, _ in left) == 300
+    rated = quality.fit(docs_of(spark, left), labels)
+
+    def good(text):
+        words, ids, *_, repeats = quality.text_counts(text or "")
+        return len(ids) >= 50 and 100 * repeats <= 50 * len(ids) and rated.probability(text, words, ids) >= quality.KEEP_AT
+
+    left = [(i, t) for i, t in left if good(t)]
+    assert not any(kind_of.get(i) in ("junk", "short") for i, _ in left) and sum(kind_of.get(i) == "clean" for i, _ in left) == 300
+    prints, group = [simhash.fingerprint(t) for _, t in left], list(range(len(left)))
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(left)):
+            for b in range(a):
+                if group[a] != group[b] and bin((prints[a] ^ prints[b]) % (1 << 64)).count("1") <= simhash.DISTANCE:
+                    old, new = max(group[a], group[b]), min(group[a], group[b])
+                    group, changed = [new if g == old else g for g in group], True
+    first = {}
+    for g, (i, t) in zip(group, left):
+        key = (i is None, i or 0, hashlib.md5((t or "").encode()).hexdigest(), t)
+        first[g] = min(first.get(g, key), key)
+    left = [(None if none else i, t) for none, i, _, t in first.values()]
+    assert len(left) < len(group) - 60
+    index = [decontam.words(" ".join(ws)) for ws in items]
+
+    def leaked(text):
+        ws = decontam.words(text)
+        number = {w: k + 1 for k, w in enumerate(sorted({w for item in index for w in item}))}
+        window = np.array([number.get(w, 0) for w in ws], np.int64)
+        return any(decontam.align(np.array([number[w] for w in item]), window)[0] >= decontam.least_score(len(item), len(ws)) for item in index)
+
+    left = [(i, t) for i, t in left if not leaked(t)]
+    assert not any(kind_of.get(i) == "leak" for i, _ in left)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path(queries.RANKS)), special_tokens={})
+    wanted = [(str(i), len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in left for ids in [library.encode_ordinary(t)]]
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted(wanted)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline as p
+
+    docs_of(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert p.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline as p
 
