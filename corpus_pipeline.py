@@ -1,4 +1,11 @@
-"""A training-corpus pipeline: each stage calls one operator on all that its predecessor kept."""
+"""A training-corpus pipeline: each stage calls one operator on all that its predecessor kept.
+
+Defined results: null and empty texts fail the quality rules; rows are told apart by doc_id and text, so repeated rows
+and copies leave one row (the least doc_id, nulls last), and different texts under one id, or with none, are judged each
+by themselves; without labels no document is toxic or bad but by the base rules; without benchmark items nothing is
+taken out as a leak; very long texts are read whole; an empty table gives an empty table; columns beside doc_id and
+text go along unread, whatever their names.
+"""
 from __future__ import annotations
 
 import public_tokenizers
@@ -33,7 +40,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxic), ("quality_rules", rules), ("simhash_near_dedup", near_duplicates), ("decontamination", decontaminate), ("byte_bpe", tokens)]
 
-#: Learned scores, alignment and 64-bit hashes have no SQL.  No test holds the whole pipeline against a brute-force version yet.
+#: Learned scores, alignment and 64-bit hashes have no SQL; a test holds run() against each stage's decision made plainly.
 ORACLE_SQL = None
 
 
