@@ -13,7 +13,7 @@ from pyspark.sql import Column, functions as F
 # Characters that are folded, and the words that retrieval terms leave out.
 QUOTES = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"'}
 DASHES = "‐‑‒–—―−"
-STOP_WORDS = frozenset("a an and are as at be by for from in is it of on or that the to was were what which with".split())
+STOP_WORDS = "a an the of in on at for to and or is are was were what how which with by from its it".split()
 
 _FOLD = str.maketrans(QUOTES | dict.fromkeys(DASHES, "-") | {"­": None})
 

@@ -3,39 +3,62 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import STOP_WORDS
+
 K1, B = 1.5, 0.75
 
 
+#: Posted for every document beside its terms, so that one pass over the texts counts documents and lengths too.
+_EVERY = "\u0000"
+
+
 def terms(text: Column) -> Column:
-    """Lower-cased runs of ASCII letters and digits, as an array."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), "")
+    """Case-folded runs of letters and digits of any script without stop words, as an array."""
+    folded = F.translate(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss")), "ςſ", "σs")
+    return F.filter(F.regexp_extract_all(folded, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda t: ~t.isin(STOP_WORDS))
 
 
 def postings(docs: DataFrame, key: str, text: str, vocabulary: DataFrame | None = None) -> DataFrame:
     """(key, term, tf, length): the length goes along, so that no second pass over the texts is needed.  Given a
     ``vocabulary`` (term), only its terms are posted; the others are dropped before they are counted."""
-    t = docs.select(key, terms(F.col(text)).alias("__t")).select(key, F.size("__t").cast("long").alias("length"), F.explode("__t").alias("term"))
-    t = t if vocabulary is None else t.join(vocabulary, "term", "left_semi")
+    t = docs.select(key, terms(F.col(text)).alias("__t")).select(key, F.size("__t").cast("long").alias("length"), F.explode(F.array_append("__t", F.lit(_EVERY))).alias("term"))
+    if vocabulary is None:
+        t = t.filter(F.col("term") != _EVERY)
+    else:
+        t = t.join(vocabulary, "term", "left_semi")
     return t.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
 
 
+def eligible(chunks: DataFrame, document: str, wanted=None) -> DataFrame:
+    """The indexable chunks, of one document if one is wanted; an unknown one is an error."""
+    if wanted is not None:
+        chunks = chunks.filter(F.col(document) == wanted)
+        if not chunks.head(1):
+            raise ValueError(f"unknown document: {wanted}")
+    return chunks.filter(F.coalesce(F.col("indexable"), F.lit(True)))
+
+
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int, max_broadcast: int = 200_000) -> DataFrame:
     """(query_key, key, score, rank): the k best documents of each query, score > 0, ties by the least key.
 
     Statistics are those of ``docs``: filter first to rank within a subset.  Only terms of queries are posted.  The
     terms and pairs of query and term are counted: up to ``max_broadcast`` they are broadcast, so that a frequent term
-    makes no hot partition, else shuffled.
+    makes no hot partition, else shuffled.  Texts are read twice: for the statistics of terms, and for the weights.
     """
     words = queries.select(F.col(query_key), F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
     counted = words.agg(F.count("*").alias("pairs"), F.countDistinct("term").alias("terms")).first()
     small = lambda rows, n: F.broadcast(rows) if n <= max_broadcast else rows
-    size = docs.agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col(text)))).alias("mean")).first()
-    n, mean = size["n"] or 0, size["mean"] or 1.0
-    posted = postings(docs, key, text, small(words.select("term").distinct(), counted["terms"]))
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
+    every = docs.sparkSession.createDataFrame([(_EVERY,)], "term string")
+    vocabulary = words.select("term").distinct().union(every)
+    posted = postings(docs, key, text, small(vocabulary, counted["terms"]))
+    df = posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("total"))
+    if counted["terms"] <= max_broadcast:  # kept on the driver as rows, so that the pass isn't made again
+        df = docs.sparkSession.createDataFrame(df.collect(), df.schema)
+    size = df.filter(F.col("term") == _EVERY).first()
+    n, mean = (size["df"], max(1.0, size["total"] / size["df"])) if size else (0, 1.0)
     idf = F.ln(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(mean) or 1.0)))
-    weighted = posted.join(small(df, counted["terms"]), "term").select("term", key, weight.alias("w"))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
+    weighted = posted.join(small(df.select("term", "df"), counted["terms"]), "term").select("term", key, weight.alias("w"))
     scored = weighted.join(small(words, counted["pairs"]), "term").groupBy(query_key, key).agg(F.round(F.sum("w"), 6).alias("score")).filter("score > 0")
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(key))
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -4,16 +4,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, similarity, text
-from ..operators import chunks, ranking
+from ..operators import chunks, ranking, retrieval
 from .registry import query, spread, table
 
-_TERMS = "list_filter(string_split_regex(lower(coalesce({0}, '')), '[^a-z0-9]+'), lambda x: x <> '')"
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+_TERMS = "list_filter(regexp_extract_all(translate(replace(lower(coalesce({0}, '')), 'ß', 'ss'), 'ςſ', 'σs'), '[\\p{{L}}\\p{{N}}]+'), lambda x: x NOT IN (" + _STOP + "))"
 
 
 def _bm25_sql(where: str = "true", k: int = 3) -> str:
     return f"""
 WITH d AS (SELECT doc_id, {_TERMS.format('text')} AS t FROM documents WHERE {where}),
-s AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
+s AS (SELECT count(*) AS n, greatest(1, avg(len(t))) AS mean FROM d),
 p AS (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM d),
 tf AS (SELECT doc_id, length, term, count(*) AS tf FROM p GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -34,6 +35,52 @@ def bm25_filtered_lang(spark, d):
     return ranking.bm25(spread(table(spark, d, "documents").filter("lang = 'en'").select("doc_id", "text")), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", 3)
 
 
+_LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL)"
+_CHUNKS = f"(SELECT doc_id * 100000 + n AS chunk, doc_id, n, line AS text, length(line) + 1 AS size, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n) - length(line) - 1)::BIGINT AS start FROM {_LINES})"
+
+
+def _line_chunks(spark, d):
+    """(chunk, doc_id, text, start, end): the lines of a document as its chunks, which cover it without a gap."""
+    lines = spread(table(spark, d, "documents").select("doc_id", "text").filter("text is not null")).select("doc_id", F.split("text", "\n", -1).alias("l"))
+    ends = F.transform("l", lambda x: F.length(x).cast("long") + 1)
+    starts = F.slice(F.aggregate(ends, F.array(F.lit(0).cast("long")), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x)), F.lit(1), F.size("l"))
+    rows = lines.select("doc_id", F.posexplode(F.arrays_zip(F.col("l").alias("text"), starts.alias("start"))).alias("n", "c"))
+    return rows.select((F.col("doc_id") * 100000 + F.col("n") + 1).alias("chunk"), "doc_id", "c.text", "c.start", (F.col("c.start") + F.length("c.text") + 1).alias("end"))
+
+
+_TOP = f"""WITH c AS MATERIALIZED {_CHUNKS}, d AS (SELECT chunk AS doc_id, {_TERMS.format('text')} AS t FROM c),
+s AS (SELECT count(*) AS n, greatest(1, avg(len(t))) AS mean FROM d),
+p AS (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM d),
+tf AS (SELECT doc_id, length, term, count(*) AS tf FROM p GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS.format('text')}) AS term FROM benchmark),
+r AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6) AS score
+  FROM q JOIN tf USING (term) JOIN df USING (term), s GROUP BY ALL),
+top AS (SELECT item_id, doc_id AS chunk, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM r WHERE score > 0) WHERE rank <= 3),
+e AS (SELECT item_id, doc_id, (instr(d.text, b.text) - 1)::BIGINT AS first, length(b.text) AS size FROM documents d JOIN benchmark b ON contains(d.text, b.text)
+  WHERE instr(substr(d.text, instr(d.text, b.text) + 1), b.text) = 0),
+met AS (SELECT e.item_id, e.doc_id, e.size, rank, CASE WHEN c.chunk IS NULL THEN 0 ELSE greatest(0, least(first + e.size, start + c.size) - greatest(first, start)) END AS part FROM e LEFT JOIN top USING (item_id) LEFT JOIN c ON c.chunk = top.chunk AND c.doc_id = e.doc_id)
+SELECT item_id, doc_id, coalesce(sum(part) FILTER (rank = 1), 0) >= any_value(size) AS hit_at_1, coalesce(sum(part), 0) >= any_value(size) AS hit_at_3 FROM met GROUP BY item_id, doc_id"""
+
+
+@query(_TOP)
+def retrieval_hits(spark, d):
+    """Whether the best one and three line chunks of each item cover the place where a document holds its text once."""
+    chunks_, items = _line_chunks(spark, d), table(spark, d, "benchmark")
+    top = ranking.bm25(chunks_, "chunk", "text", items, "item_id", "text", 3)
+    probes = retrieval.sites(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", items.withColumnRenamed("text", "quote"), "item_id", "quote")
+    return retrieval.hits(probes, top.join(chunks_.select("chunk", "doc_id", "start", "end"), "chunk"), "item_id", "doc_id", [1, 3])
+
+
+@query(f"""WITH h AS ({_TOP}), r AS (SELECT h.*, d.lang AS cohort, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS scope FROM h JOIN documents d USING (doc_id))
+SELECT scope, cohort, count(*) AS queries, count(*) FILTER (hit_at_1) AS hit_at_1, count(*) FILTER (hit_at_3) AS hit_at_3 FROM r GROUP BY scope, cohort
+UNION ALL SELECT scope, 'all', count(*), count(*) FILTER (hit_at_1), count(*) FILTER (hit_at_3) FROM r GROUP BY scope""")
+def retrieval_by_cohort(spark, d):
+    """Hits by scope and by cohort, over which the cohort of all lies."""
+    rows = retrieval_hits(spark, d).join(table(spark, d, "documents").select("doc_id", F.col("lang").alias("cohort")), "doc_id")
+    return retrieval.by_cohort(rows.withColumn("scope", F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd")), ["scope"], "cohort", ["hit_at_1", "hit_at_3"])
+
+
 @query("SELECT doc_id, trim(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ') AS norm FROM documents")
 def normalize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", text.collapse(F.col("text")).alias("norm"))
