@@ -2,44 +2,64 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import Column, functions as F
 
-#: An amount: optional parenthesis or sign, currency, grouped digits, suffix.
-AMOUNT = r"\(?[-−–]?[$€£]?[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?\)?%?|\(?[-−–]?[$€£]?[0-9]+(?:\.[0-9]+)?\)?%?"
-DASH_ONLY = r"^[-−–—]+$"
+#: An amount in a text, which no word or number touches; Java's and Python's syntax alike.
+LEXICAL = r"(?<![\w.])(?:\(\s*)?[+\-−–]?\s*[$£€¥]?\s*[+\-−–]?\s*\d+(?:[,，]\d{3})*(?:\.\d+)?\s*(?:%|bn|mn|m|k|pts|p)?\s*\)?(?![\w]|[.,]\d)"
+#: The parts of a cell that is one amount: parenthesis, sign, currency, sign, digits, unit, parenthesis.
+CELL = r"^(\()?([+-]?)([$£€¥]?)([+-]?)([0-9][0-9,]*(?:\.[0-9]+)?)(%|bn|mn|m|k|pts|p)?(\))?$"
 
 
 def extract(text: Column) -> Column:
-    """All amounts of a text, as they are written."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({AMOUNT})"), F.lit(1))
+    """The amounts of a text, as they are written but without white space, any minus as a hyphen."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?iU)({LEXICAL})"), F.lit(1))
+    return F.transform(found, lambda x: F.regexp_replace(F.translate(x, "−–", "--"), r"\s+", ""))
 
 
-def kind(cell: Column) -> Column:
-    """blank, dash, number or text: blank, dash and zero are three different things."""
-    c = F.trim(F.coalesce(cell, F.lit("")))
-    return F.when(c == "", "blank").when(c.rlike(DASH_ONLY), "dash").when(c.rlike(f"^(?:{AMOUNT})$"), "number").otherwise("text")
+def _folded(cell: Column) -> Column:
+    """A cell in small letters without white space, any minus as a hyphen.  (Compatibility forms of digits stay.)"""
+    return F.translate(F.lower(F.regexp_replace(F.coalesce(cell, F.lit("")), r"[\s\u00a0]+", "")), "−–，", "--,")
+
+
+def _plain(digits: Column) -> Column:
+    """Digits without separators, and without zeros that add nothing."""
+    bare = F.regexp_replace(F.regexp_replace(digits, ",", ""), r"^0+(?=[0-9])", "")
+    return F.when(bare.contains("."), F.regexp_replace(bare, r"\.?0+$", "")).otherwise(bare)
+
 
+def number_key(cell: Column) -> Column:
+    """struct<kind,value,currency,suffix>: blank, dash, number or text; blank, dash and zero are three things.
 
-def value(cell: Column, scale: int = 4) -> Column:
-    """Signed exact value of a number cell: parentheses or any dash mean negative; both at once are invalid (null)."""
-    c = F.trim(F.coalesce(cell, F.lit("")))
-    opened, closed, signed = c.startswith("("), c.rlike(r"\)%?$"), c.rlike(r"^\(?[-−–]")
-    digits = F.regexp_replace(c, r"[^0-9.]", "").try_cast(f"decimal(38,{scale})")
-    number = F.when(opened | signed, -digits).otherwise(digits)
-    return F.when((kind(c) == "number") & (opened == closed) & ~(opened & signed), number)
+    The value is exact, signed, and in plain digits; parentheses that don't close make a text.
+    """
+    c = _folded(cell)
+    part = lambda i: F.regexp_extract(c, CELL, i)
+    number = c.rlike(CELL) & ((part(1) == "") == (part(7) == ""))
+    value = _plain(part(5))
+    negative = (part(1) != "") | (part(2) == "-") | (part(4) == "-")
+    kind_ = F.when(c == "", "blank").when(c.isin("-", "—"), "dash").when(number, "number").otherwise("text")
+    return F.struct(kind_.alias("kind"), F.when(number, F.when(negative & (value != "0"), F.concat(F.lit("-"), value)).otherwise(value)).when(kind_ == "text", c).alias("value"),
+                    F.when(number, part(3)).alias("currency"), F.when(number, part(6)).alias("suffix"))
+
+
+def kind(cell: Column) -> Column:
+    return number_key(cell)["kind"]
 
 
-def suffix(cell: Column) -> Column:
-    return F.when(F.trim(cell).endswith("%"), "%").otherwise("")
+def value(cell: Column) -> Column:
+    """The exact signed value of a number cell, in plain digits; null for any other, or for two minus signs at once."""
+    c = _folded(cell)
+    twice = (F.regexp_extract(c, CELL, 1) != "") & ((F.regexp_extract(c, CELL, 2) == "-") | (F.regexp_extract(c, CELL, 4) == "-"))
+    key = number_key(cell)
+    return F.when((key["kind"] == "number") & ~twice, key["value"])
 
 
 def amount_key(cell: Column) -> Column:
     """kind, value and suffix in one text; currency doesn't count, the suffix does."""
-    k = kind(cell)
-    number = F.regexp_replace(value(cell).cast("string"), r"\.?0+$", "")
-    return F.when(k == "number", F.concat_ws("|", k, F.coalesce(number, F.lit("invalid")), suffix(cell))).when(k == "text", F.concat_ws("|", k, F.lower(F.trim(cell)))).otherwise(k)
+    return F.transform(F.array(number_key(cell)), lambda k: F.when(k["kind"] == "number", F.concat_ws("|", k["kind"], k["value"], k["suffix"])).when(k["kind"] == "text", F.concat_ws("|", k["kind"], k["value"])).otherwise(k["kind"]))[0]
 
 
 def subtract(a: Column, b: Column, scale: int = 6) -> Column:
@@ -61,3 +81,91 @@ def parse_scaled(text: str) -> Decimal | None:
     except InvalidOperation:
         return None
     return -number if m[1] or m[2] else number
+
+
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec"
+_INVENTORY = re.compile(r"(?<![\w.])(\()?\s*([+-]?)(\d{1,3}(?:,\s*\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)(\s*(?:%|pts?|bn|m|k))?(\s*\))?(?![\w.])")
+
+
+def plain_decimal(number: Decimal) -> str:
+    """Digits without an exponent or needless zeros; no minus zero."""
+    return "0" if number == 0 else format(number.normalize(), "f")
+
+
+def inventory(text: str | None) -> list[str]:
+    """Canonical numbers that a reader sees in HTML or LaTeX: superscripts apart, compact dates parted, ranges as two
+    numbers, accounting parentheses as minus, units kept."""
+    from .canon import numeric_view
+
+    t = re.sub("[⁰¹²³⁴⁵⁶⁷⁸⁹]+", lambda m: f" {unicodedata.normalize('NFKC', m[0])} ", numeric_view(text))
+    t = re.sub("[−–—]", "-", unicodedata.normalize("NFKC", t))
+    for pattern, by in ((rf"(?i)(\d{{1,2}})\s*({MONTHS})\s*(\d{{4}})(?!\d)", r"\1 \2 \3"), (r"(?<=\d)-(?=\d)", " "), (r"[$£€](?=\s*[+-]?\d)", "")):
+        t = re.sub(pattern, by, t)
+    out = []
+    for opened, sign, digits, unit, closed in (m.groups() for m in _INVENTORY.finditer(t)):
+        number = Decimal(re.sub(r"[,\s]", "", digits))
+        unit = (unit or "").strip()
+        out.append(plain_decimal(-number if sign == "-" or opened and closed else number) + ("pts" if unit.startswith("pt") else unit))
+    return out
+
+
+_YEAR = re.compile(r"(?i)(?:FY\s*)?(?:19|20)\d{2}(?:\s*(?:[$£€¥]|m|bn|million|billion|number|numbers|thousands|millions))*")
+_LONG_MONTH = re.compile(rf"(?i)\b(?:{MONTHS.split('|Jan|')[0]})\b")
+_QUALIFIER = re.compile(r"(?i)(?:at least|at most|up to|approximately|approx\.?|towards|~|[<>≤≥])")
+_RANGE = re.compile(r"(?i)[\d\s,.$£€¥%()+−–-]+(?:\s*(?:to|bn|m|bps|ppt)\s*[\d\s,.$£€¥%()+−–-]*)?(?:\s*\(at the low-end\))?")
+
+
+def year_or_date(text: str | None) -> bool:
+    """Whether a header cell is a year (with units) or names a month."""
+    from .canon import tag_free
+
+    t = tag_free(text)
+    return bool(_YEAR.fullmatch(t) or _LONG_MONTH.search(t))
+
+
+def cell_value(text: str | None) -> str | None:
+    """A table cell's value in one text: DASH, a plain number with its unit, or QUALIFIED: and a guidance range; null if
+    it is none of these.  Currency doesn't count."""
+    from .canon import tag_free
+
+    whole = tag_free(text)
+    s = whole.replace("−", "-").replace("–", "-")
+    if len(s) > 2 and s[0] == s[-1] == "$":
+        s = s[1:-1].strip()
+    if s in ("-", "—"):
+        return "DASH"
+    s = re.sub(r"^[$£€¥]\s*", "", s)
+    outer = re.fullmatch(r"\((.*)\)", s, re.S)
+    s = outer[1].strip() if outer else s
+    unit = re.search(r"(?i)(bps|ppt|pts|bn|million|billion|m)$", s)
+    suffix, s = (unit[1].lower(), s[: unit.start()].strip()) if unit else ("", s)
+    if s.endswith("%"):
+        suffix, s = "%", s[:-1].strip()
+    if s in ("-", "—"):
+        return "DASH" + suffix
+    inner = re.fullmatch(r"\((.*)\)", s, re.S)
+    s = re.sub("[, ]", "", inner[1].strip() if inner else s)
+    if re.fullmatch(r"[+-]?\d+(?:\.\d+)?", s):
+        number = -Decimal(s) if outer or inner else Decimal(s)
+        return ("-" if number < 0 else "") + format(abs(number).normalize(), "f") + suffix
+    if len(whole) <= 120 and re.search(r"\d", whole) and (_QUALIFIER.match(whole) or _RANGE.fullmatch(whole)) and not year_or_date(whole):
+        said = re.sub("[−–]", "-", whole.lower().replace(",", ""))
+        return "QUALIFIED:" + re.sub(r"(?<=\d)\.0+(?!\d)", "", re.sub(r"\s*([-~%$£€¥])\s*", r"\1", said))
+    return None
+
+
+def twelve_digits(text: str) -> str:
+    """A number text to twelve significant digits, without separators and percent sign; other texts as they are."""
+    bare = text.replace(",", "").rstrip("%")
+    try:
+        return format(float(bare), ".12g")
+    except ValueError:
+        return bare
+
+
+def operands(kind: Column, derivation: Column) -> Column:
+    """The operands of an arithmetic question's derivation, to twelve digits; no other question has any."""
+    from .canon import mapped
+
+    found = mapped(lambda t: [twelve_digits(x) for x in re.findall(r"\d[\d,.]*%?", t or "")], derivation, "array<string>")
+    return F.when(kind == "arithmetic", found).otherwise(F.array().cast("array<string>"))

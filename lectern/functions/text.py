@@ -77,6 +77,17 @@ def contains_phrase(text: Column, phrase: Column) -> Column:
     return pad(text).contains(pad(phrase))
 
 
+def span_count(text: Column, span: str) -> Column:
+    """How often a span stands in a text: an amount by equal amounts, other spans where no word character, decimals or
+    percent sign follow."""
+    from .numbers import LEXICAL, extract
+
+    if re.fullmatch(LEXICAL, span, re.I):
+        bare = re.sub(r"\s+", "", span.translate(str.maketrans("−–", "--")))
+        return F.size(F.filter(extract(text), lambda x: x == bare))
+    return F.regexp_count(text, F.lit(rf"(?U)(?<!\w){re.escape(span)}(?!\w|[.,]\d|%)")) if span else F.lit(0)
+
+
 def lf_digest(content: Column) -> Column:
     return F.sha2(F.regexp_replace(content, "\r\n", "\n"), 256)
 

