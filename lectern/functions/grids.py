@@ -31,6 +31,7 @@ class _Tables(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[tuple[int, list]] = []
         self.errors: list[str] = []
+        self.nested: set[int] = set()
         self.depth = self.count = 0
         self.cell: list | None = None
 
@@ -42,6 +43,7 @@ class _Tables(HTMLParser):
                 self.rows.append((self.count - 1, []))
             else:
                 self.errors.append("nested table")
+                self.nested.add(self.count - 1)
         elif self.depth == 1 and tag == "tr":
             self.end_cell()
             if self.rows[-1][1]:
@@ -79,34 +81,64 @@ class _Tables(HTMLParser):
             self.cell[3].append(data)
 
 
-def place(rows: list[tuple[int, list]]) -> list[Cell]:
-    """Column of each cell: the first slot of its row that no span covers."""
-    out: list[Cell] = []
-    table, taken, r = -1, set(), 0
-    for number, cells in rows:
-        if not cells:
-            continue
-        r, taken = (0, set()) if number != table else (r + 1, taken)
-        table, c = number, 0
-        for rowspan, colspan, header, text in cells:
-            while (r, c) in taken:
-                c += 1
-            taken.update((r + i, c + j) for i in range(rowspan) for j in range(colspan))
-            if len(taken) > MAX_CELLS:
-                raise ValueError("table too large")
-            out.append(Cell(number, r, c, rowspan, colspan, header, text))
-            c += colspan
-    return out
+def place(rows: list[tuple[int, list]], strict: bool = False) -> tuple[list[Cell], list[str]]:
+    """Cells with their columns, each the first slot of its row that no span covers; and what is wrong with tables.
 
-
-def html_cells(source: str | None) -> tuple[list[Cell], list[str]]:
+    A table over MAX_CELLS slots is left out and noted.  ``strict`` also leaves out tables whose spans overlap, exceed
+    100, or reach below their last row, and those with over 1,000 rows.
+    """
+    by_table: dict[int, list[list]] = {}
+    for number, cells in rows:
+        if cells:
+            by_table.setdefault(number, []).append(cells)
+    out, errors = [], []
+    for number, lines in by_table.items():
+        taken: set[tuple[int, int]] = set()
+        found, wrong = [], "oversized table" if strict and len(lines) > 1000 else ""
+        for r, cells in enumerate(lines):
+            c = 0
+            for rowspan, colspan, header, text in cells:
+                while (r, c) in taken:
+                    c += 1
+                if len(taken) + rowspan * colspan > MAX_CELLS:
+                    wrong = "table too large"
+                    break
+                slots = {(r + i, c + j) for i in range(rowspan) for j in range(colspan)}
+                if strict and (max(rowspan, colspan) > 100 or r + rowspan > len(lines)):
+                    wrong = wrong or "invalid span"
+                if strict and slots & taken:
+                    wrong = wrong or "overlapping span"
+                taken |= slots
+                found.append(Cell(number, r, c, rowspan, colspan, header, text))
+                c += colspan
+            if wrong == "table too large":
+                break
+        if wrong:
+            errors.append(f"table {number}: {wrong}")
+        else:
+            out += found
+    return out, errors
+
+
+def html_cells(source: str | None, strict: bool = False) -> tuple[list[Cell], list[str]]:
     parser = _Tables()
     parser.feed(source or "")
     parser.goahead(True)
     parser.end_cell()
     if parser.depth:
         parser.errors.append("unclosed table")
-    return place(parser.rows), parser.errors
+    cells, errors = place(parser.rows, strict)
+    if strict and parser.nested:
+        cells = [c for c in cells if c.table not in parser.nested]
+    return cells, parser.errors + errors
+
+
+def tables_of(cells: list[Cell]) -> list[list[Cell]]:
+    """The cells of each table, in order."""
+    out: dict[int, list[Cell]] = {}
+    for c in cells:
+        out.setdefault(c.table, []).append(c)
+    return [out[k] for k in sorted(out)]
 
 
 def pipe_rows(source: str) -> list[list[str]]:
@@ -120,42 +152,72 @@ def pipe_rows(source: str) -> list[list[str]]:
     return out
 
 
-def otsl_cells(source: str) -> list[Cell]:
-    """Cells of <fcel>text<ecel><lcel><ucel><xcel><nl> tokens: l, u and x continue the cell left, above or both."""
+def otsl_cells(source: str | None) -> tuple[list[Cell], list[str]]:
+    """Cells of <fcel>text<ecel><lcel><ucel><xcel><nl> tokens: l, u and x continue the cell left, above or both.
+
+    A token that continues no cell, or an x whose neighbours aren't one rectangle, spoils the table, which is noted.
+    """
     grid: list[list[tuple[str, str]]] = [[]]
-    for tag, text in re.findall(r"<(fcel|ecel|ched|lcel|ucel|xcel|nl)>([^<]*)", source):
-        grid.append([]) if tag == "nl" else grid[-1].append((tag, text.strip()))
+    for tag, text in re.findall(r"<(fcel|ecel|ched|lcel|ucel|xcel|nl)>((?:(?!<(?:fcel|ecel|ched|lcel|ucel|xcel|nl)>).)*)", source or "", re.S):
+        grid.append([]) if tag == "nl" else grid[-1].append((tag, html.unescape(re.sub(r"<[^>]*>", "", text)).strip()))
     grid = [row for row in grid if row]
-    kind = lambda r, c: grid[r][c][0] if r < len(grid) and c < len(grid[r]) else ""
-    out = []
+    owner: dict[tuple[int, int], Cell] = {}
+    out: list[Cell] = []
     for r, row in enumerate(grid):
         for c, (tag, text) in enumerate(row):
-            if tag == "lcel" and not c or tag == "ucel" and not r or tag == "xcel" and not (r and c):
-                raise ValueError(f"no cell to continue at {r}, {c}")
             if tag in ("fcel", "ecel", "ched"):
-                wide = tall = 1
-                while kind(r, c + wide) == "lcel":
-                    wide += 1
-                while kind(r + tall, c) == "ucel":
-                    tall += 1
-                out.append(Cell(0, r, c, tall, wide, tag == "ched", html.unescape(text)))
-    return out
+                owner[r, c] = Cell(0, r, c, 1, 1, tag == "ched", text if tag != "ecel" else "")
+                out.append(owner[r, c])
+                continue
+            cell = owner.get((r, c - 1) if tag == "lcel" else (r - 1, c))
+            if cell is None or tag == "xcel" and owner.get((r, c - 1)) is not cell:
+                return [], [f"no cell to continue at {r}, {c}"]
+            owner[r, c] = cell
+            cell.rowspan, cell.colspan = max(cell.rowspan, r - cell.row + 1), max(cell.colspan, c - cell.col + 1)
+    return out, []
+
+
+def pipe_cells(source: str | None) -> tuple[list[Cell], list[str]]:
+    return [Cell(0, r, c, 1, 1, r == 0, t) for r, row in enumerate(pipe_rows(source or "")) for c, t in enumerate(row)], []
+
+
+def parsed(source: str | None) -> tuple[str, list[Cell], list[str]]:
+    """The form of a text (html, otsl, pipe or none), the cells of its tables, and what is wrong with them."""
+    s = source or ""
+    if "<table" in s.lower():
+        return "html", *html_cells(s)
+    if "<fcel>" in s or "<ecel>" in s:
+        return "otsl", *otsl_cells(s)
+    cells, errors = pipe_cells(s)
+    return "pipe" if cells else "none", cells, errors
+
+
+def parsed_tables(source: Column) -> Column:
+    """struct<form, cells, errors>: a bad table costs its own cells only, never the job."""
+
+    @F.pandas_udf(f"form string, cells {CELL}, errors array<string>")
+    def run(sources: pd.Series) -> pd.DataFrame:
+        found = [parsed(s) for s in sources]
+        return pd.DataFrame([(form, [vars(c) for c in cells], errors) for form, cells, errors in found], columns=["form", "cells", "errors"])
+
+    return run(source)
 
 
 def _as_cells(parse):
     def column(source: Column) -> Column:
         @F.pandas_udf(CELL)
         def run(sources: pd.Series) -> pd.Series:
-            return pd.Series([[vars(c) for c in parse(s or "")] for s in sources], dtype=object)
+            return pd.Series([[vars(c) for c in parse(s)[0]] for s in sources], dtype=object)
 
         return run(source)
 
     return column
 
 
-html_table = _as_cells(lambda s: html_cells(s)[0])
+html_table = _as_cells(html_cells)
+strict_html_table = _as_cells(lambda s: html_cells(s, strict=True))
 otsl_table = _as_cells(otsl_cells)
-pipe_table = _as_cells(lambda s: [Cell(0, r, c, 1, 1, r == 0, t) for r, row in enumerate(pipe_rows(s)) for c, t in enumerate(row)])
+pipe_table = _as_cells(pipe_cells)
 
 
 def cells(rows: DataFrame, keys: list[str], table: Column) -> DataFrame:
@@ -168,44 +230,6 @@ def spread(cells_: DataFrame) -> DataFrame:
     return rows.withColumn("slot_col", F.explode(F.sequence(F.col("col"), F.col("col") + F.col("colspan") - 1)))
 
 
-def facts(source: str) -> list[dict]:
-    """(section, row_label, occurrence, header, value) facts of the tables of an HTML text.
-
-    Leading rows of header cells, or the first row, are headers; a row with a label and no values opens a section.
-    """
-    found, errors = html_cells(source)
-    out = []
-    for table in sorted({c.table for c in found}):
-        grid: dict[tuple[int, int], Cell] = {(c.row + i, c.col + j): c for c in found if c.table == table for i in range(c.rowspan) for j in range(c.colspan)}
-        height, width = max(r for r, _ in grid) + 1, max(c for _, c in grid) + 1
-        heads = 0
-        while heads < height and all(grid[heads, c].header for c in range(width) if (heads, c) in grid):
-            heads += 1
-        heads, section, seen = max(heads, 1), "", {}
-        for r in range(heads, height):
-            text = [grid[r, c].text if (r, c) in grid else "" for c in range(width)]
-            if text[0] and not any(text[1:]):
-                section = text[0]
-                continue
-            seen[section, text[0]] = seen.get((section, text[0]), 0) + 1
-            for c in range(1, width):
-                if (r, c) in grid and grid[r, c].col == c and text[c]:
-                    path = list(dict.fromkeys(grid[h, c].text for h in range(heads) if (h, c) in grid and grid[h, c].text))
-                    out.append({"section": section, "row_label": text[0], "occurrence": seen[section, text[0]], "header": " / ".join(path), "value": text[c]})
-    return out
-
-
-FACT = "array<struct<section:string,row_label:string,occurrence:int,header:string,value:string>>"
-
-
-def fact_table(source: Column) -> Column:
-    @F.pandas_udf(FACT)
-    def run(sources: pd.Series) -> pd.Series:
-        return pd.Series([facts(s or "") for s in sources], dtype=object)
-
-    return run(source)
-
-
 def to_markdown(rows: list[list[str]]) -> str:
     line = lambda r: "| " + " | ".join(c.replace("|", "\\|") for c in r) + " |"
     return "\n".join([line(rows[0]), "|" + " --- |" * len(rows[0]), *map(line, rows[1:])]) if rows else ""

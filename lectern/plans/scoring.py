@@ -312,13 +312,6 @@ def span_expand_roundtrip(spark, d):
     return slots.filter("slot_col = 1").select("r_name", "slot_row", "text").join(label, ["r_name", "slot_row"]).select("r_name", "slot_row", "label", "text")
 
 
-@query("SELECT s_suppkey, h AS header, v AS value FROM (SELECT s_suppkey, unnest(['Nation', 'Balance']) AS h, unnest([s_nationkey::VARCHAR, floor(s_acctbal)::BIGINT::VARCHAR]) AS v FROM supplier)")
-def fact_extract_score(spark, d):
-    source = F.format_string("<table><tr><th></th><th>Nation</th><th>Balance</th></tr><tr><td>%s</td><td>%s</td><td>%s</td></tr></table>", "s_name", "s_nationkey", F.floor("s_acctbal"))
-    rows = table(spark, d, "supplier").select("s_suppkey", F.explode(grids.fact_table(source)).alias("f"))
-    return rows.select("s_suppkey", "f.header", "f.value")
-
-
 _RULES = [rules.Rule("license", r"(MIT|GNU General Public|CC BY[-A-Z]*)", 100), rules.Rule("license", r"(?:Licensed|licensed|Released) under (?:the )?([A-Za-z]+)", 50), rules.Rule("mail", r"([a-z0-9.]+@[a-z0-9.]+[a-z])", 80)]
 
 

@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import facts
 from ..operators import tables
-from .registry import query, table
+from .registry import query, spread, table
 
 
 def _html(spark, d) -> DataFrame:
@@ -25,10 +26,47 @@ _NATIONS = "SELECT r_name, count(*) AS n, count(*) FILTER (n_nationkey % 3 = 0)
 round((2 * n - m)::DOUBLE / (2 * n), 6) AS row_exact_accuracy, round((3 * n - m)::DOUBLE / (3 * n), 6) AS cell_precision, round((3 * n - m)::DOUBLE / (3 * n), 6) AS cell_recall, round((3 * n - m)::DOUBLE / (3 * n), 6) AS cell_f1, 1.0::DOUBLE AS numeric_cell_f1 FROM ({_NATIONS})""")
 def table_assignment_score(spark, d):
     """Two tables a region, predicted in the other order: the pairing must swap them back."""
-    scored = _html(spark, d).select("r_name", tables.table_scores(F.concat("wide", "narrow"), F.concat("narrow", "marked")).alias("s"))
-    return scored.select("r_name", *[F.round(f"s.{c}", 6).alias(c) for c in tables.SCORES])
+    scored = tables.table_scores(_html(spark, d), ["r_name"], F.concat("wide", "narrow"), F.concat("narrow", "marked"))
+    return scored.select("r_name", *[F.round(c, 6).alias(c) for c in tables.SCORES])
 
 
 @query(f"SELECT r_name, round((n + alike) / (2 * n), 6) AS similarity FROM ({_NATIONS})")
 def table_grid_similarity(spark, d):
     return _html(spark, d).select("r_name", F.round(tables.table_similarity(F.col("wide"), F.col("marked")), 6).alias("similarity"))
+
+
+def _statements(spark, d) -> DataFrame:
+    """(o_orderkey, expected, predicted): a statement of each order, a line for each of its own with quantity and price;
+    the prediction is off by one in the price of every third line."""
+    price, third = F.floor("l_extendedprice"), (F.col("l_linenumber") % 3 == 0).cast("int")
+    line = lambda p: F.format_string("<tr><th>Line %d</th><td>%d</td><td>%d</td></tr>", "l_linenumber", F.floor("l_quantity"), p)
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", line(price).alias("e"), line(price + third).alias("p"))
+    ordered = rows.groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "e", "p"))).alias("l"))
+    head = F.lit("<table><tr><th></th><th colspan=2>2024</th></tr><tr><th></th><th>Quantity</th><th>Price</th></tr>")
+    return ordered.select("o_orderkey", *[F.concat(head, F.array_join(F.col(f"l.{c}"), ""), F.lit("</table>")).alias(n) for c, n in (("e", "expected"), ("p", "predicted"))])
+
+
+_LINES = "SELECT l_orderkey AS o_orderkey, count(*) AS n, count(*) FILTER (l_linenumber % 3 = 0) AS off FROM lineitem GROUP BY l_orderkey"
+
+
+@query(f"SELECT o_orderkey, 2 * n - off AS tp, 2 * n AS n_expected, 2 * n AS n_predicted, round((2 * n - off) / (2 * n), 6) AS precision, round((2 * n - off) / (2 * n), 6) AS recall, round((2 * n - off) / (2 * n), 6) AS f1 FROM ({_LINES})")
+def fact_extract_score(spark, d):
+    """Facts of every order's statement, as bags: one fact a value, under its row and header path."""
+    scored = facts.fact_scores(spread(_statements(spark, d)), ["o_orderkey"], facts.facts_of(F.col("expected")), facts.facts_of(F.col("predicted")))
+    return scored.select("o_orderkey", "tp", "n_expected", "n_predicted", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("""SELECT l_orderkey AS o_orderkey, lower('Line ' || l_linenumber) AS row_label, h AS header, v AS value FROM (SELECT l_orderkey, l_linenumber, unnest(['2024 / quantity', '2024 / price']) AS h, unnest([floor(l_quantity)::BIGINT::VARCHAR, floor(l_extendedprice)::BIGINT::VARCHAR]) AS v FROM lineitem)""")
+def statement_facts(spark, d):
+    rows = spread(_statements(spark, d)).select("o_orderkey", F.explode(facts.facts_of(F.col("expected"))).alias("f"))
+    return rows.select("o_orderkey", "f.row_label", F.array_join("f.header", " / ").alias("header"), "f.value")
+
+
+@query("""WITH c AS (SELECT l_orderkey AS o_orderkey, unnest(['Line ' || l_linenumber, floor(l_quantity)::BIGINT::VARCHAR, floor(l_extendedprice)::BIGINT::VARCHAR]) AS e, unnest(['Line ' || l_linenumber, floor(l_quantity)::BIGINT::VARCHAR, (floor(l_extendedprice)::BIGINT + (l_linenumber % 3 = 0)::INT)::VARCHAR]) AS p FROM lineitem),
+t AS (SELECT o_orderkey, x, sum(ne)::BIGINT AS ne, sum(np)::BIGINT AS np FROM (SELECT o_orderkey, e AS x, 1 AS ne, 0 AS np FROM c UNION ALL SELECT o_orderkey, p, 0, 1 FROM c) GROUP BY ALL),
+s AS (SELECT o_orderkey, sum(least(ne, np)) + 5 AS tp, sum(ne) + 5 AS n FROM t GROUP BY o_orderkey)
+SELECT o_orderkey, round(tp / n, 6) AS cell_f1, round(tp / n, 6) AS cell_recall, 1.0::DOUBLE AS structure_similarity, 1.0::DOUBLE AS shape_accuracy, round((n_lines + 2 - off) / (n_lines + 2), 6) AS row_exact_accuracy, (off = 0)::INT::DOUBLE AS exact_match FROM s JOIN (SELECT o_orderkey AS k, n AS n_lines, off FROM (""" + _LINES + """)) ON k = o_orderkey""")
+def statement_table_scores(spark, d):
+    """Table scores of every order's statement, so that tables grow with the orders."""
+    scored = tables.table_scores(spread(_statements(spark, d)), ["o_orderkey"], F.col("expected"), F.col("predicted"))
+    return scored.select("o_orderkey", *[F.round(c, 6).alias(c) for c in ("cell_f1", "cell_recall", "structure_similarity", "shape_accuracy", "row_exact_accuracy", "exact_match")])

@@ -6,7 +6,7 @@ from itertools import permutations
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from lectern.functions import dates, grids, numbers, similarity, text
+from lectern.functions import dates, facts, grids, numbers, similarity, text
 from lectern.operators import chunks
 from lectern.sources import workbooks
 
@@ -74,13 +74,24 @@ def test_html_spans_and_errors():
 
 
 def test_otsl_spans():
-    cells = grids.otsl_cells("<fcel>a<lcel><nl><ucel><xcel><nl><fcel>c<fcel>d<nl>")
+    cells, errors = grids.otsl_cells("<fcel>a<lcel><nl><ucel><xcel><nl><fcel>c<fcel>d<nl>")
+    assert not errors and grids.otsl_cells("<fcel>a<fcel>b<nl><ucel><xcel><nl>") == ([], ["no cell to continue at 1, 1"])
     assert (cells[0].rowspan, cells[0].colspan) == (2, 2) and [c.text for c in cells] == ["a", "c", "d"]
 
 
 def test_facts_keep_sections_and_repeats():
     source = "<table><tr><th></th><th colspan=2>2024</th></tr><tr><th></th><th>Q1</th><th>Q2</th></tr><tr><td>Assets</td><td></td><td></td></tr><tr><td>Cash</td><td>1</td><td>2</td></tr><tr><td>Cash</td><td>3</td><td></td></tr></table>"
-    assert [tuple(f.values()) for f in grids.facts(source)] == [("Assets", "Cash", 1, "2024 / Q1", "1"), ("Assets", "Cash", 1, "2024 / Q2", "2"), ("Assets", "Cash", 2, "2024 / Q1", "3")]
+    rows = facts.dense(grids.html_cells(source.replace("</table>", "<tr><td>Debts</td><td></td><td></td></tr><tr><td></td><td>–</td><td>(4)</td></tr></table>"))[0])
+    assert [tuple(f.values())[:5] for f in facts.facts(rows)] == [("", "cash", 1, ["2024", "q 1"], "1"), ("", "cash", 1, ["2024", "q 2"], "2"), ("", "cash", 2, ["2024", "q 1"], "3"), ("debts", "__unlabeled_after:cash:1", 1, ["2024", "q 1"], "DASH"), ("debts", "__unlabeled_after:cash:1", 1, ["2024", "q 2"], "-4")]
+
+
+def test_facts_of_repeated_period_headers_and_notes():
+    rows = [["", "Year ended", "Year ended", "Year ended"], ["", "Note", "2024", "2023"], ["Sales", "1", "10", "9"], ["Costs", "2", "(4)", "(3)"], ["£m", "", "2024", "2023"], ["Cash", "", "5", "at least 6%"]]
+    got = [(f["row_label"], f["header"], f["value"], f["row"], f["col"]) for f in facts.facts(rows)]
+    assert got[:2] == [("sales", ["year ended", "2024"], "10", 2, 2), ("sales", ["year ended", "2023"], "9", 2, 3)]
+    assert got[-2:] == [("cash", ["2024"], "5", 5, 2), ("cash", ["2023"], "QUALIFIED:at least 6%", 5, 3)] and len(got) == 6
+    assert facts.facts([]) == [] and facts.facts([["a", "b"]]) == []
+    assert facts.ordered_grid([["a", "1"], ["b", "2"]], [["b", "2.0"], ["", ""], ["A", "x"]]) == (2, 4, 4)
 
 
 def test_markdown_round_trip():

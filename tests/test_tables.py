@@ -3,39 +3,51 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.functions.grids import html_cells
+from lectern.functions import grids
 from lectern.functions.similarity import assignment
 from lectern.operators import tables as T
 
 
-def parsed(text):
-    return T.split_tables(html_cells(text)[0])
-
-
 A = "<table><tr><th>k</th><th>v</th></tr><tr><td>a</td><td>1,200</td></tr></table>"
 B = "<table><tr><td>zz</td></tr></table>"
 
 
-def test_same_tables_in_other_order_score_one():
-    got = T.score(parsed(A + B), parsed(B + A))
-    assert got == dict.fromkeys(T.SCORES, 1.0)
+def scores(spark, *pairs):
+    rows = spark.createDataFrame([(i, g, p) for i, (g, p) in enumerate(pairs)], "id int, g string, p string")
+    return [r.asDict() for r in T.table_scores(rows, ["id"], F.col("g"), F.col("p")).orderBy("id").collect()]
 
 
-def test_missing_table_stays_in_every_denominator():
-    got = T.score(parsed(A + B), parsed(A))
-    assert got["table_count_similarity"] == 0.5 and got["structure_similarity"] == 0.5 and got["cell_recall"] == 0.8 and got["cell_precision"] == 1.0
-    assert T.score(parsed(A), [])["cell_f1"] == 0.0 and T.score([], parsed(A))["cell_f1"] is None
+def test_table_scores_worked_out_by_hand(spark):
+    spanned = "<table><tr><td colspan=2>zz</td></tr></table>"
+    swapped, missing, nothing, no_gold, plain, wide = scores(spark, (A + B, B + A), (A + B, A), (A, None), ("", A), (B, B), (B, spanned))
+    assert {k: v for k, v in swapped.items() if k != "id"} == dict.fromkeys(T.SCORES, 1.0)
+    assert missing["table_count_similarity"] == 0.5 and missing["structure_similarity"] == 0.5 and missing["cell_recall"] == 0.8 and missing["cell_precision"] == 1.0 and missing["row_exact_accuracy"] == pytest.approx(2 / 3)
+    assert nothing["cell_f1"] == 0.0 and nothing["cell_recall"] == 0.0 and set(no_gold[k] for k in T.SCORES) == {None}
+    assert plain["numeric_cell_f1"] is None and wide["cell_f1"] == 1.0 and wide["shape_accuracy"] == 0.0 and wide["structure_similarity"] == 0.5
 
 
-def test_no_numbers_is_null_and_span_counts_as_structure():
-    assert T.score(parsed(B), parsed(B))["numeric_cell_f1"] is None
-    spanned = parsed("<table><tr><td colspan=2>zz</td></tr></table>")
-    got = T.score(parsed(B), spanned)
-    assert got["cell_f1"] == 1.0 and got["shape_accuracy"] == 0.0 and got["structure_similarity"] == 0.5
+def test_table_scores_by_brute_force(spark):
+    """Random pairs of single tables: bags, rows and numbers counted in plain loops."""
+    rng = random.Random(3)
+    make = lambda: [[rng.choice(["a", "b", "12", "(3)", "x 4", ""]) for _ in range(rng.randint(1, 3))] for _ in range(rng.randint(1, 4))]
+    html_of = lambda rows: "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</table>"
+    pairs = [(make(), make()) for _ in range(40)]
+    for (a, b), got in zip(pairs, scores(spark, *[(html_of(a), html_of(b)) for a, b in pairs])):
+        flat = lambda rows: Counter(c for r in rows for c in r)
+        numbers = lambda rows: Counter((i, j, n) for i, r in enumerate(rows) for j, c in enumerate(r) for n in re.findall(r"\(3\)|12|4", c))
+        padded = lambda rows: [r + [""] * (max(map(len, rows)) - len(r)) for r in rows]
+        shared = (flat(a) & flat(b)).total()
+        assert got["cell_f1"] == pytest.approx(2 * shared / (flat(a).total() + flat(b).total()))
+        assert got["row_exact_accuracy"] == pytest.approx(sum(x == y for x, y in zip(padded(a), padded(b))) / max(len(a), len(b)))
+        n = numbers(a).total() + numbers(b).total()
+        assert got["numeric_cell_f1"] == (pytest.approx(2 * (numbers(a) & numbers(b)).total() / n) if n else None)
+        assert got["exact_match"] == float(a == b)
 
 
 def test_assignment_against_all_permutations():
@@ -58,7 +70,15 @@ def test_grid_similarity():
 
 def test_columns_handle_nulls_and_empty_tables(spark):
     rows = spark.createDataFrame([(1, A, A), (2, None, A), (3, A, None), (4, "", "")], "id int, g string, p string")
-    got = {r.id: r for r in rows.select("id", T.table_scores(F.col("g"), F.col("p")).alias("s"), T.table_similarity(F.col("g"), F.col("p")).alias("t")).collect()}
-    assert got[1].s.cell_f1 == 1.0 and got[1].t == 1.0
-    assert got[2].t is None and got[4].t is None and got[3].t == 0.0 and got[3].s.cell_recall == 0.0
-    assert rows.limit(0).select(T.table_similarity(F.col("g"), F.col("p"))).count() == 0
+    got = {r.id: r.t for r in rows.select("id", T.table_similarity(F.col("g"), F.col("p")).alias("t")).collect()}
+    assert got == {1: 1.0, 2: None, 3: 0.0, 4: None}
+    assert rows.limit(0).select(T.table_similarity(F.col("g"), F.col("p"))).count() == 0 and T.table_scores(rows.limit(0), ["id"], F.col("g"), F.col("p")).count() == 0
+
+
+def test_bad_tables_cost_their_own_cells_only(spark):
+    large = "<table><tr>" + "<td colspan=1000 rowspan=100>x</td>" * 2 + "</tr></table>"
+    texts = [large + B, "<fcel>a<ucel><nl>", "| a | b |\n|---|---|\n| 1 | 2 |", "plain", None]
+    got = [(r.f.form, len(r.f.cells), len(r.f.errors)) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(grids.parsed_tables(F.col("t")).alias("f")).collect()]
+    assert got == [("html", 1, 1), ("otsl", 0, 1), ("pipe", 4, 0), ("none", 0, 0), ("none", 0, 0)]
+    strict = [grids.html_cells(f"<table>{x}</table>", strict=True) for x in ("<tr><td rowspan=2>a", "<tr><td>a<table><tr><td>n</table>", "<tr><td>a<td rowspan=2>b</tr><tr><td colspan=2>c</tr>", "<tr><td>ok")]
+    assert [(len(c), [e.split(": ")[-1] for e in errors if "unclosed" not in e]) for c, errors in strict] == [(0, ["invalid span"]), (0, ["nested table"]), (0, ["overlapping span"]), (1, [])]
