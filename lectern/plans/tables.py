@@ -1,10 +1,10 @@
 """Table scores: nations as HTML tables of each region; the prediction marks every third nation's name, and swaps two tables."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions import facts
-from ..operators import tables
+from ..functions import facts, grids
+from ..operators import lookup, tables
 from .registry import query, spread, table
 
 
@@ -35,18 +35,24 @@ def table_grid_similarity(spark, d):
     return _html(spark, d).select("r_name", F.round(tables.table_similarity(F.col("wide"), F.col("marked")), 6).alias("similarity"))
 
 
+def _lines(spark, d) -> DataFrame:
+    """(o_orderkey, k, quantity, price): the lines of each order, numbered."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity", "l_extendedprice")
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.row_number().over(order).alias("k"), F.floor("l_quantity").alias("quantity"), F.floor("l_extendedprice").alias("price"))
+
+
 def _statements(spark, d) -> DataFrame:
-    """(o_orderkey, expected, predicted): a statement of each order, a line for each of its own with quantity and price;
-    the prediction is off by one in the price of every third line."""
-    price, third = F.floor("l_extendedprice"), (F.col("l_linenumber") % 3 == 0).cast("int")
-    line = lambda p: F.format_string("<tr><th>Line %d</th><td>%d</td><td>%d</td></tr>", "l_linenumber", F.floor("l_quantity"), p)
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", line(price).alias("e"), line(price + third).alias("p"))
-    ordered = rows.groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "e", "p"))).alias("l"))
+    """(o_orderkey, expected, predicted): a statement of each order, a row for each line with quantity and price; the
+    prediction is off by one in the price of every third line."""
+    line = lambda p: F.format_string("<tr><th>Line %d</th><td>%d</td><td>%d</td></tr>", "k", "quantity", p)
+    rows = _lines(spark, d).select("o_orderkey", "k", line(F.col("price")).alias("e"), line(F.col("price") + (F.col("k") % 3 == 0).cast("int")).alias("p"))
+    ordered = rows.groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("k", "e", "p"))).alias("l"))
     head = F.lit("<table><tr><th></th><th colspan=2>2024</th></tr><tr><th></th><th>Quantity</th><th>Price</th></tr>")
     return ordered.select("o_orderkey", *[F.concat(head, F.array_join(F.col(f"l.{c}"), ""), F.lit("</table>")).alias(n) for c, n in (("e", "expected"), ("p", "predicted"))])
 
 
-_LINES = "SELECT l_orderkey AS o_orderkey, count(*) AS n, count(*) FILTER (l_linenumber % 3 = 0) AS off FROM lineitem GROUP BY l_orderkey"
+_NUMBERED = "(SELECT l_orderkey AS o_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice))::INT AS k, floor(l_quantity)::BIGINT AS quantity, floor(l_extendedprice)::BIGINT AS price FROM lineitem)"
+_LINES = f"SELECT o_orderkey, count(*) AS n, count(*) FILTER (k % 3 = 0) AS off FROM {_NUMBERED} GROUP BY o_orderkey"
 
 
 @query(f"SELECT o_orderkey, 2 * n - off AS tp, 2 * n AS n_expected, 2 * n AS n_predicted, round((2 * n - off) / (2 * n), 6) AS precision, round((2 * n - off) / (2 * n), 6) AS recall, round((2 * n - off) / (2 * n), 6) AS f1 FROM ({_LINES})")
@@ -56,17 +62,45 @@ def fact_extract_score(spark, d):
     return scored.select("o_orderkey", "tp", "n_expected", "n_predicted", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("""SELECT l_orderkey AS o_orderkey, lower('Line ' || l_linenumber) AS row_label, h AS header, v AS value FROM (SELECT l_orderkey, l_linenumber, unnest(['2024 / quantity', '2024 / price']) AS h, unnest([floor(l_quantity)::BIGINT::VARCHAR, floor(l_extendedprice)::BIGINT::VARCHAR]) AS v FROM lineitem)""")
+@query(f"SELECT o_orderkey, 'line ' || k AS row_label, unnest(['2024 / quantity', '2024 / price']) AS header, unnest([quantity::VARCHAR, price::VARCHAR]) AS value FROM {_NUMBERED}")
 def statement_facts(spark, d):
     rows = spread(_statements(spark, d)).select("o_orderkey", F.explode(facts.facts_of(F.col("expected"))).alias("f"))
     return rows.select("o_orderkey", "f.row_label", F.array_join("f.header", " / ").alias("header"), "f.value")
 
 
-@query("""WITH c AS (SELECT l_orderkey AS o_orderkey, unnest(['Line ' || l_linenumber, floor(l_quantity)::BIGINT::VARCHAR, floor(l_extendedprice)::BIGINT::VARCHAR]) AS e, unnest(['Line ' || l_linenumber, floor(l_quantity)::BIGINT::VARCHAR, (floor(l_extendedprice)::BIGINT + (l_linenumber % 3 = 0)::INT)::VARCHAR]) AS p FROM lineitem),
+@query(f"""WITH c AS (SELECT o_orderkey, unnest(['Line ' || k, quantity::VARCHAR, price::VARCHAR]) AS e, unnest(['Line ' || k, quantity::VARCHAR, (price + (k % 3 = 0)::INT)::VARCHAR]) AS p FROM {_NUMBERED}),
 t AS (SELECT o_orderkey, x, sum(ne)::BIGINT AS ne, sum(np)::BIGINT AS np FROM (SELECT o_orderkey, e AS x, 1 AS ne, 0 AS np FROM c UNION ALL SELECT o_orderkey, p, 0, 1 FROM c) GROUP BY ALL),
 s AS (SELECT o_orderkey, sum(least(ne, np)) + 5 AS tp, sum(ne) + 5 AS n FROM t GROUP BY o_orderkey)
-SELECT o_orderkey, round(tp / n, 6) AS cell_f1, round(tp / n, 6) AS cell_recall, 1.0::DOUBLE AS structure_similarity, 1.0::DOUBLE AS shape_accuracy, round((n_lines + 2 - off) / (n_lines + 2), 6) AS row_exact_accuracy, (off = 0)::INT::DOUBLE AS exact_match FROM s JOIN (SELECT o_orderkey AS k, n AS n_lines, off FROM (""" + _LINES + """)) ON k = o_orderkey""")
+SELECT o_orderkey, round(tp / n, 6) AS cell_f1, round(tp / n, 6) AS cell_recall, 1.0::DOUBLE AS structure_similarity, 1.0::DOUBLE AS shape_accuracy, round((n_lines + 2 - off) / (n_lines + 2), 6) AS row_exact_accuracy, (off = 0)::INT::DOUBLE AS exact_match FROM s JOIN (SELECT o_orderkey AS k, n AS n_lines, off FROM ({_LINES})) ON k = o_orderkey""")
 def statement_table_scores(spark, d):
     """Table scores of every order's statement, so that tables grow with the orders."""
     scored = tables.table_scores(spread(_statements(spark, d)), ["o_orderkey"], F.col("expected"), F.col("predicted"))
     return scored.select("o_orderkey", *[F.round(c, 6).alias(c) for c in ("cell_f1", "cell_recall", "structure_similarity", "shape_accuracy", "row_exact_accuracy", "exact_match")])
+
+
+@query(f"SELECT o_orderkey, k, (price + (k % 3 = 0)::INT)::VARCHAR AS actual, true AS resolved, k % 3 <> 0 AS associated, k % 3 <> 0 AS same_form FROM {_NUMBERED}")
+def cell_lookup(spark, d):
+    """Each line's price by row label and header path, in the predicted statement of its order, against the true one."""
+    pages = spread(_statements(spark, d))
+    cells = grids.cells(pages, ["o_orderkey"], grids.html_table(F.col("predicted")))
+    wanted = _lines(spark, d).select("o_orderkey", "k", F.concat(F.lit("line  "), F.col("k").cast("string")).alias("row_label"), F.array(F.lit("2024"), F.lit("price")).alias("header_path"), F.col("price").cast("string").alias("expected"))
+    chosen = lookup.choose_table(cells, wanted, ["o_orderkey"], "row_label").select("o_orderkey", "table")
+    found = lookup.locate(cells, wanted.join(chosen, "o_orderkey"), ["o_orderkey"], "k")
+    checked = lookup.value_checks(found.join(wanted.select("o_orderkey", "k", "expected"), ["o_orderkey", "k"]).join(pages.select("o_orderkey", "predicted"), "o_orderkey"), "expected", "predicted")
+    return checked.select("o_orderkey", "k", "actual", "resolved", "associated", "same_form")
+
+
+@query(f"SELECT o_orderkey, k, k % 3 <> 0 AS associated, k % 3 <> 0 AS same_form, 1::BIGINT AS candidates FROM {_NUMBERED}")
+def fact_association(spark, d):
+    cells = grids.cells(spread(_statements(spark, d)), ["o_orderkey"], grids.html_table(F.col("predicted")))
+    said = _lines(spark, d).select("o_orderkey", "k", F.concat(F.lit("Line "), F.col("k").cast("string")).alias("row_label"), F.array(F.lit("Price"), F.lit("2024")).alias("header_path"), F.col("price").cast("string").alias("value"))
+    return lookup.facts_met(said, cells, ["o_orderkey"], "k")
+
+
+@query("""WITH c AS (SELECT l_suppkey, l_linestatus AS importance, unnest(['associated', 'resolved']) AS metric, unnest([(l_linenumber % 3 <> 0)::INT, CASE WHEN l_returnflag <> 'N' THEN (l_returnflag = 'R')::INT END]) AS ok FROM lineitem),
+k AS (SELECT metric, l_suppkey, unnest(['all', importance]) AS importance, ok FROM c WHERE ok IS NOT NULL), e AS (SELECT metric, importance, l_suppkey, sum(ok) AS p, count(*) AS n FROM k GROUP BY ALL)
+SELECT metric, importance, sum(p)::BIGINT AS passed, sum(n)::BIGINT AS total, round(sum(p) / sum(n), 6) AS value, round(avg(p / n), 6) AS document_mean FROM e GROUP BY metric, importance""")
+def pooled_checks(spark, d):
+    lines = table(spark, d, "lineitem").select("l_suppkey", F.col("l_linestatus").alias("importance"), (F.col("l_linenumber") % 3 != 0).alias("associated"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag") == "R").alias("resolved"))
+    out = lookup.pooled(lines, ["associated", "resolved"], "l_suppkey", "importance")
+    return out.select("metric", "importance", "passed", "total", F.round("value", 6).alias("value"), F.round("document_mean", 6).alias("document_mean"))
