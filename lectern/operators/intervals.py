@@ -6,18 +6,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .bags import ratio
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Rows of half-open [a_start, a_end) and [b_start, b_end) that overlap under equal keys.
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of half-open [a_start, a_end) and [b_start, b_end) (whole numbers) that overlap under equal keys.
 
-    Both sides go to buckets of ``width``; a pair is kept in the bucket where its intersection starts only.
+    An interval has a level, the power of two that its length doesn't exceed, and lies in at most two buckets of that
+    width, or of any greater one.  Two intervals meet at the greater of their levels, in the bucket where their
+    intersection starts.  So an interval of any length makes at most two rows for each level in use, of which there are
+    at most 63.
     """
-    def spread(df: DataFrame, side: str) -> DataFrame:
-        low, high = F.floor(F.col(f"{side}_start") / width), F.floor((F.col(f"{side}_end") - 1) / width)
-        return df.filter(F.col(f"{side}_end") > F.col(f"{side}_start")).withColumn("__b", F.explode(F.sequence(low, high)))
+    level_of = lambda s: F.greatest(F.ceil(F.log2(F.col(f"{s}_end") - F.col(f"{s}_start"))), F.lit(0)).cast("int")
+    sides = {s: df.filter(F.col(f"{s}_end") > F.col(f"{s}_start")).withColumn(f"__{s}", level_of(s)) for s, df in (("a", left), ("b", right))}
+    used = sorted({r[0] for s, df in sides.items() for r in df.select(f"__{s}").distinct().collect()})
+    levels = F.array(*map(F.lit, used)) if used else F.array().cast("array<int>")
 
-    met = spread(left, "a").join(spread(right, "b"), [*keys, "__b"])
+    def placed(s: str) -> DataFrame:
+        rows = sides[s].withColumn("__l", F.explode(F.filter(levels, lambda x: x >= F.col(f"__{s}"))))
+        bucket = lambda c: F.expr(f"shiftright(cast({c} as bigint), __l)")
+        return rows.withColumn("__k", F.explode(F.array_distinct(F.array(bucket(f"{s}_start"), bucket(f"{s}_end - 1")))))
+
+    met = placed("a").join(placed("b"), [*keys, "__l", "__k"]).filter(F.greatest("__a", "__b") == F.col("__l"))
     met = met.filter((F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")))
-    return met.filter(F.floor(F.greatest("a_start", "b_start") / width) == F.col("__b")).drop("__b")
+    return met.filter(F.expr("shiftright(cast(greatest(a_start, b_start) as bigint), __l) = __k")).drop("__l", "__k", "__a", "__b")
 
 
 def coalesce_spans(spans: DataFrame, keys: list[str], start: str, end: str, gap: int = 0) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .bags import ratio
+from .stats import discrete_quantile
 
 
 def micro_macro(rows: DataFrame, keys: list[str], document: str) -> DataFrame:
@@ -27,11 +28,11 @@ def strata(rows: DataFrame, attributes: list[str], value: str, unknown: str = "u
 def confidence_summary(units: DataFrame, keys: list[str], score: str, weight: str, low: float = 0.9) -> DataFrame:
     """Of the non-null scores: count, mean, weighted mean, geometric mean (0 if any is 0), p10, share below low, least."""
     s, w = F.col(score), F.col(weight)
-    return units.filter(s.isNotNull()).groupBy(*keys).agg(
+    out = units.filter(s.isNotNull()).groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg(s).alias("mean"), ratio(F.sum(s * w), F.sum(w)).alias("weighted_mean"),
         F.when(F.min(s) <= 0, 0.0).otherwise(F.exp(F.avg(F.when(s > 0, F.ln(s))))).alias("geometric_mean"),
-        F.expr(f"percentile_disc(0.1) within group (order by {score})").alias("p10"),
         F.avg((s < low).cast("double")).alias("share_low"), F.min(s).alias("least"))
+    return out.join(discrete_quantile(units, keys, score, 0.1, "p10"), keys)
 
 
 def coverage(pages: DataFrame, expected: DataFrame, document: str, page: str, n_expected: str) -> DataFrame:

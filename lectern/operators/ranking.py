@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import STOP_WORDS
+from .stats import discrete_quantile
 
 K1, B = 1.5, 0.75
 
@@ -84,8 +85,8 @@ def coalesce_decisions(rule: DataFrame, model: DataFrame, keys: list[str]) -> Da
 
 
 def lowest_share(rows: DataFrame, score: str, share: float) -> DataFrame:
-    """Rows at or below the discrete quantile: ties are rejected together.  The cutoff is one aggregated row."""
-    cutoff = rows.agg(F.expr(f"percentile_disc({share}) within group (order by {score})").alias("c")).first()["c"]
+    """Rows at or below the discrete quantile: ties are rejected together.  The cutoff is one number."""
+    cutoff = discrete_quantile(rows, [], score, share, "c").first()["c"]
     return rows.filter(F.col(score) <= F.lit(cutoff)) if cutoff is not None else rows.limit(0)
 
 

@@ -11,16 +11,56 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .bags import ratio
 
 
+def value_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(keys, value, n, name): the mean rank that the n rows of a value share.
+
+    Rows are counted by value before they are ordered, so that a key with few values, however many its rows, orders few.
+    """
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.withColumn(name, F.sum("n").over(upto) - (F.col("n") - 1) / 2)
+
+
 def average_rank(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """1-based ranks in which ties share their mean rank."""
-    order, ties = Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys, value)
-    return rows.withColumn(name, F.rank().over(order) + (F.count("*").over(ties) - 1) / 2)
+    """1-based ranks in which ties share their mean rank; null values come first, as one tie."""
+    cols = [*keys, value]
+    ranks = value_ranks(rows, keys, value, name).select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(cols)], name)
+    on = F.lit(True)
+    for i, c in enumerate(cols):
+        on = on & F.col(c).eqNullSafe(F.col(f"__{i}"))
+    return rows.join(ranks, on).select(*rows.columns, name)
+
+
+def discrete_quantile(rows: DataFrame, keys: list[str], value: str, share: float, name: str, slack: float = 5e-4) -> DataFrame:
+    """(keys, name): the least value that at least ``share`` of a key's known values don't exceed, exactly.
+
+    Approximate quantiles bracket it; only values in the bracket, about two ``slack`` of the rows, are counted one by one
+    and ordered, so that no task holds all values of a key.
+    """
+    known = rows.filter(F.col(value).isNotNull())
+    ends = F.percentile_approx(value, [max(0.0, share - slack), min(1.0, share + slack)], int(2 / slack))
+    brackets = known.groupBy(*keys).agg(ends.alias("__e"), F.count("*").alias("__all"))
+    if keys:
+        met = known.select(*keys, value).join(brackets, keys)
+    else:
+        one = brackets.first()
+        met = known.select(value).withColumn("__e", F.array(*[F.lit(x) for x in one["__e"] or [None, None]])).withColumn("__all", F.lit(one["__all"]))
+    low, high = F.col("__e")[0], F.col("__e")[1]
+    # Values under the bracket are one row of a key, under its low end.
+    placed = met.filter(F.col(value) <= high).select(*keys, "__all", F.greatest(F.col(value), low).alias("__v"), (F.col(value) >= low).alias("__in"))
+    counts = placed.groupBy(*keys, "__v", "__in").agg(F.count("*").alias("__n"), F.max("__all").alias("__all"))
+    upto = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__in", "__v").rowsBetween(Window.unboundedPreceding, 0)
+    reached = counts.withColumn("__c", F.sum("__n").over(upto)).filter("__in").filter(F.col("__c") >= F.lit(share) * F.col("__all"))
+    return reached.groupBy(*keys).agg(F.min("__v").alias(name))
 
 
 def correlation(x: str, y: str) -> Column:
-    """Pearson; null for under three pairs or zero variance."""
-    value = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)) + F.lit(0.0)
-    return F.when(F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)) >= 3, value)
+    """Pearson; null for under three pairs or for one value only, told by the least and the greatest, not by rounding."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    of = lambda f, c: f(F.when(both, F.col(c)))
+    varied = (of(F.min, x) < of(F.max, x)) & (of(F.min, y) < of(F.max, y))
+    value = F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, F.col(x))) * F.stddev_pop(F.when(both, F.col(y)))) + F.lit(0.0)
+    return F.when((F.count_if(both) >= 3) & varied, value)
 
 
 def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -42,10 +82,14 @@ def exact_permutation_p(x: list[float], y: list[float]) -> float | None:
 
 
 def error_auc(rows: DataFrame, keys: list[str], score: str, error: str) -> DataFrame:
-    """Chance that an error scores below a right row, half for ties: from rank sums, without pairs of rows."""
-    ranked = average_rank(rows.filter(F.col(score).isNotNull()), keys, score, "__r")
-    right = (F.col(error) == 0)
-    out = ranked.groupBy(*keys).agg(F.sum(F.when(right, F.col("__r")).otherwise(0.0)).alias("__s"), F.sum(right.cast("long")).alias("n_right"), F.sum((~right).cast("long")).alias("n_error"))
+    """Chance that an error scores below a right row, half for ties: from rank sums over counts of values, without pairs
+    of rows."""
+    known = rows.filter(F.col(score).isNotNull())
+    right = (F.col(error) == 0).cast("long")
+    counts = known.groupBy(*keys, score).agg(F.count("*").alias("__n"), F.sum(right).alias("__r"))
+    upto = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("__k", F.sum("__n").over(upto) - (F.col("__n") - 1) / 2)
+    out = ranked.groupBy(*keys).agg(F.sum(F.col("__r") * F.col("__k")).alias("__s"), F.sum("__r").alias("n_right"), F.sum(F.col("__n") - F.col("__r")).alias("n_error"))
     return out.select(*keys, "n_right", "n_error", ratio(F.col("__s") - F.col("n_right") * (F.col("n_right") + 1) / 2, F.col("n_right") * F.col("n_error")).alias("auc"))
 
 
@@ -137,20 +181,70 @@ def cluster_bootstrap(clusters: DataFrame, value: str, weight: str, draws: int =
 
 
 def logistic_scores(rows: DataFrame, features: list[str], label: str, fold: str) -> DataFrame:
-    """Adds ``probability`` from a standardised logistic regression fitted to the rows of the other folds."""
+    """Adds ``probability`` from a standardised logistic regression fitted to the rows of the other folds.
+
+    Every row stays: it has a null probability if a feature or the fold is null, or if the other folds have one label
+    only.  Folds are few: each is a fit.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    out = None
-    ready = VectorAssembler(inputCols=features, outputCol="__raw", handleInvalid="skip").transform(rows)
-    for f in [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]:
-        train, test = ready.filter(F.col(fold) != f), ready.filter(F.col(fold) == f)
+    whole = F.lit(True)
+    for c in (*features, fold):
+        whole = whole & F.col(c).isNotNull()
+    usable, rest = rows.filter(whole), rows.filter(~whole)
+    unscored = lambda df: df.withColumn("probability", F.lit(None).cast("double"))
+    out = unscored(rest)
+    assembler = VectorAssembler(inputCols=features, outputCol="__raw")
+    for f in [r[0] for r in usable.select(fold).distinct().orderBy(fold).collect()]:
+        test, train = usable.filter(F.col(fold) == f), assembler.transform(usable.filter((F.col(fold) != f) & F.col(label).isNotNull()))
         if train.select(label).distinct().count() < 2:
-            continue  # a fold with one class in training stays unscored
+            out = out.union(unscored(test))
+            continue
         scaler = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True).fit(train)
-        model = LogisticRegression(featuresCol="__x", labelCol=label, regParam=1e-3).fit(scaler.transform(train))
-        scored = model.transform(scaler.transform(test)).withColumn("probability_of_one", vector_to_array("probability")[1])
-        scored = scored.select(*rows.columns, F.col("probability_of_one").alias("probability"))
-        out = scored if out is None else out.union(scored)
-    return out if out is not None else rows.withColumn("probability", F.lit(None).cast("double")).limit(0)
+        model = LogisticRegression(featuresCol="__x", labelCol=label, predictionCol="__p", probabilityCol="__q", rawPredictionCol="__m", regParam=1e-3).fit(scaler.transform(train))
+        scored = model.transform(scaler.transform(assembler.transform(test)))
+        out = out.union(scored.select(*rows.columns, vector_to_array("__q")[1].alias("probability")))
+    return out
+
+
+def calibration_metrics(predictions: DataFrame, value: str, predicted: str, mean: str) -> DataFrame:
+    """(n, mse, mse_of_mean, gain, mae): squared errors of predictions and of a mean-only forecast, and what is gained."""
+    e, m = F.col(value) - F.col(predicted), F.col(value) - F.col(mean)
+    out = predictions.filter(F.col(predicted).isNotNull()).agg(F.count("*").alias("n"), F.avg(e * e).alias("mse"), F.avg(m * m).alias("mse_of_mean"), F.avg(F.abs(e)).alias("mae"))
+    return out.select("n", "mse", "mse_of_mean", (1 - F.try_divide(F.col("mse"), F.col("mse_of_mean"))).alias("gain"), "mae")
+
+
+def split_errors(rows: DataFrame, part: str, family: str) -> DataFrame:
+    """(family, problem): families in several parts of a split, or in none; a split without leaks gives no row."""
+    per = rows.groupBy(family).agg(F.countDistinct(part).alias("n"))
+    return per.filter("n <> 1").select(family, F.when(F.col("n") == 0, "unassigned").otherwise("in several parts").alias("problem"))
+
+
+def sigmoid_calibration(rows: DataFrame, margin: str, label: str) -> tuple[float, float] | None:
+    """Slope and intercept that turn a margin into a probability, by a regression of one feature; None for one label only."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    known = rows.filter(F.col(margin).isNotNull() & F.col(label).isNotNull())
+    if known.select(label).distinct().count() < 2:
+        return None
+    model = LogisticRegression(featuresCol="__x", labelCol=label).fit(VectorAssembler(inputCols=[margin], outputCol="__x").transform(known))
+    return float(model.coefficients[0]), float(model.intercept)
+
+
+def saved_scores(rows: DataFrame, weights: dict[str, float] | None, bias: float = 0.0) -> DataFrame:
+    """Adds ``probability`` and ``status``: ``scored``, ``missing_feature`` or, without a model, ``no_model``."""
+    if weights is None:
+        return rows.withColumn("probability", F.lit(None).cast("double")).withColumn("status", F.lit("no_model"))
+    p = logistic_value(weights, bias)
+    return rows.withColumn("probability", p).withColumn("status", F.when(p.isNull(), "missing_feature").otherwise("scored"))
+
+
+def label_audit(rows: DataFrame, label: str, family: str, least_families: int = 3) -> DataFrame:
+    """(n, labelled, positive, families, blocker): why a model can't be fitted, or null."""
+    known = F.col(label).isNotNull()
+    out = rows.agg(F.count("*").alias("n"), F.count_if(known).alias("labelled"), F.coalesce(F.sum(F.when(known, (F.col(label) > 0).cast("long"))), F.lit(0)).alias("positive"), F.countDistinct(F.when(known, F.col(family))).alias("families"))
+    blocker = F.when(F.col("labelled") == 0, "no_labels").when((F.col("positive") == 0) | (F.col("positive") == F.col("labelled")), "one_label_only").when(F.col("families") < least_families, "too_few_families")
+    return out.withColumn("blocker", blocker)

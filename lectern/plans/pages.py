@@ -30,11 +30,16 @@ def visible_text(source: Column) -> Column:
 
 
 def sanitized(source: Column) -> Column:
-    """Allowed tags without attributes; all other tags, scripts and styles are taken out."""
+    """Allowed tags, of whose attributes row and column spans stay; all other tags, scripts and styles are taken out."""
     quiet = F.regexp_replace(source, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
     keep = "|".join(ALLOWED)
-    bare = F.regexp_replace(quiet, rf"(?i)<(/?)({keep})\b[^>]*>", "\u0001$1$2\u0002")
-    return F.translate(F.regexp_replace(bare, r"<[^>]*>", ""), "\u0001\u0002", "<>")
+    span = r"\s%s\s*=\s*[\"']?([0-9]+)"
+    tags = F.regexp_extract_all(quiet, F.lit(rf"(?i)(<\/?(?:{keep})\b[^>]*>)"), F.lit(1))
+    bare = F.regexp_replace(quiet, rf"(?i)<\/?(?:{keep})\b[^>]*>", "\u0001")
+    attribute = lambda t, n: (lambda v: F.when(v != "", F.concat(F.lit(f' {n}="'), v, F.lit('"'))).otherwise(""))(F.regexp_extract(t, rf"(?i)\s{n}\s*=\s*[\"']?([0-9]+)", 1))
+    clean = F.transform(tags, lambda t: F.concat(F.regexp_extract(t, r"^(<\/?[A-Za-z0-9]+)", 1), attribute(t, "rowspan"), attribute(t, "colspan"), F.lit(">")))
+    parts = F.split(F.regexp_replace(bare, r"<[^>]*>", ""), "\u0001", -1)
+    return F.array_join(F.flatten(F.zip_with(parts, clean, lambda p, t: F.array(p, F.coalesce(t, F.lit(""))))), "")
 
 
 @query()
@@ -42,9 +47,10 @@ def html_visible_text(spark, d):
     return table(spark, d, "pages").select("page_id", visible_text(F.col("html")).alias("text"))
 
 
-@query(r"""SELECT page_id, translate(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '(?i)<(/?)(table|tr|td|th|p|b|i|sup|sub|ul|ol|li)\b[^>]*>', chr(1) || '\1\2' || chr(2), 'g'), '<[^>]*>', '', 'g'), chr(1) || chr(2), '<>') AS clean FROM pages""")
+@query(r"""SELECT page_id, '<td rowspan="2" colspan="3">' || clean AS clean FROM (SELECT page_id, translate(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '(?i)<(/?)(table|tr|td|th|p|b|i|sup|sub|ul|ol|li)\b[^>]*>', chr(1) || '\1\2' || chr(2), 'g'), '<[^>]*>', '', 'g'), chr(1) || chr(2), '<>') AS clean FROM pages)""")
 def html_sanitize(spark, d):
-    return table(spark, d, "pages").select("page_id", sanitized(F.col("html")).alias("clean"))
+    cell = F.lit("<td class=x rowspan='2' onclick=y COLSPAN=3>")
+    return table(spark, d, "pages").select("page_id", sanitized(F.concat(cell, "html")).alias("clean"))
 
 
 @query("SELECT conv_id, count(*)::INT AS n_pages, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS content, sha256(replace(string_agg(text, chr(10) || chr(10) ORDER BY turn), chr(13) || chr(10), chr(10))) AS content_sha256 FROM conversations GROUP BY conv_id")

@@ -40,10 +40,17 @@ def _reject(name):
 
 
 def read_record(spark: SparkSession, path: str, schema: str, max_bytes: int) -> DataFrame:
-    """One JSON record for each file; larger files, repeated keys and records that don't fit fail."""
+    """One JSON record for each file; larger files, repeated keys, numbers that aren't finite, and records that don't
+    fit fail the read."""
+
+    @F.pandas_udf("boolean")
+    def strict(texts: pd.Series) -> pd.Series:
+        return pd.Series([_strict_object(x) for x in texts], dtype=bool)
+
     files = spark.read.text(path, wholetext=True)
-    large = F.when(F.octet_length("value") > max_bytes, F.raise_error(F.lit("record too large"))).otherwise(F.col("value"))
-    return files.select(F.from_json(large, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    sized = files.select(F.when(F.octet_length("value") > max_bytes, F.raise_error(F.lit("record too large"))).otherwise(F.col("value")).alias("value"))
+    sound = sized.select(F.when(~strict("value"), F.raise_error(F.lit("not one strict JSON object"))).otherwise(F.col("value")).alias("value"))
+    return sound.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def write_once(df: DataFrame, path: str, kind: str = "json") -> None:

@@ -21,9 +21,12 @@ def last_turns(turns: DataFrame, session: str, order: str, text: str, n: int = 2
 
 
 def within_budget(calls: DataFrame, session: str, order: str, cost: str, budget: float) -> DataFrame:
-    """Adds ``spent`` and ``allowed``: a call is allowed while the sum up to it stays within the budget."""
+    """Adds ``spent`` and ``allowed``: a call is allowed while the sum up to it stays within the budget; the first that
+    doesn't fit stops the session, and refused calls spend nothing.  Costs aren't negative."""
     until = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return calls.withColumn("spent", F.sum(cost).over(until)).withColumn("allowed", F.col("spent") <= budget)
+    asked = calls.withColumn("__sum", F.sum(cost).over(until))
+    spent = F.max(F.when(F.col("__sum") <= budget, F.col("__sum"))).over(until)
+    return asked.withColumn("spent", F.coalesce(spent, F.lit(0))).withColumn("allowed", F.col("__sum") <= budget).drop("__sum")
 
 
 def alternation(turns: DataFrame, session: str, order: str, role: str, first: str, second: str) -> DataFrame:

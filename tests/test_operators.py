@@ -1,9 +1,10 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import bags, intervals, joins, metrics, ranking, rules, stats
+from lectern.operators import bags, intervals, joins, layout, metrics, ranking, rules, stats
 from lectern.sources import records
 from lectern.streaming import sessions
 
@@ -33,7 +34,64 @@ def test_unique_keys_and_missing(spark):
 def test_overlap_join_once(spark):
     a = spark.createDataFrame([(1, 0, 100), (1, 5, 6), (1, 7, 7)], "k int, a_start int, a_end int")
     b = spark.createDataFrame([(1, 99, 200), (1, 6, 7), (2, 0, 9)], "k int, b_start int, b_end int")
-    assert sorted((r.a_start, r.b_start) for r in intervals.overlap_join(a, b, ["k"], 10).collect()) == [(0, 6), (0, 99)]
+    assert sorted((r.a_start, r.b_start) for r in intervals.overlap_join(a, b, ["k"]).collect()) == [(0, 6), (0, 99)]
+
+
+def test_overlap_join_by_brute_force(spark):
+    rng = random.Random(2)
+    draw = lambda: [(rng.randint(0, 2), s, s + rng.choice([0, 1, 2, 7, 30, 900])) for s in (rng.randint(-50, 1000) for _ in range(120))]
+    a, b = draw(), draw()
+    got = intervals.overlap_join(spark.createDataFrame(a, "k int, a_start int, a_end int"), spark.createDataFrame(b, "k int, b_start int, b_end int"), ["k"]).collect()
+    wanted = [(k, s, e, t, f) for k, s, e in a for j, t, f in b if k == j and s < f and t < e and s < e and t < f]
+    assert sorted((r.k, r.a_start, r.a_end, r.b_start, r.b_end) for r in got) == sorted(wanted)
+
+
+def test_quantiles_by_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(k, float(v)) for k in "ab" for v in [rng.randint(0, 40) for _ in range(150)]] + [("c", 1.0), ("d", None)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    for share in (0.0, 0.1, 0.2, 0.5, 1.0):
+        least = lambda vs: next(v for v in sorted(vs) if sum(x <= v for x in vs) >= share * len(vs))
+        wanted = {k: least([v for j, v in rows if j == k and v is not None]) for k in "abc"}
+        assert {r.k: r.q for r in stats.discrete_quantile(frame, ["k"], "v", share, "q").collect()} == wanted
+        assert stats.discrete_quantile(frame, [], "v", share, "q").first()[0] == least([v for _, v in rows if v is not None])
+    assert stats.discrete_quantile(frame.limit(0), [], "v", 0.5, "q").first()[0] is None
+
+
+def test_boxes(spark):
+    box = "x0 double, y0 double, x1 double, y1 double"
+    units = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0), (1, 2, 8.0, 0.0, 12.0, 1.0), (1, 3, 50.0, 50.0, 51.0, 51.0), (1, 4, 9.9, 0.0, 10.9, 1.0)], "p int, u int, ax0 double, ay0 double, ax1 double, ay1 double")
+    regions = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 20.0), (1, 2, 10.0, 0.0, 30.0, 20.0)], "p int, r int, bx0 double, by0 double, bx1 double, by1 double")
+    got = {r.u: (r.r, round(r.share, 3), r.boundary, r.ambiguous) for r in layout.assign_units(units, regions, ["p"], "u", "r").collect()}
+    assert got == {1: (1, 1.0, False, False), 2: (1, 0.5, True, True), 4: (2, 0.9, True, False)}
+    nested = spark.createDataFrame([(1, 1, 0.9, 0.0, 0.0, 10.0, 10.0), (1, 2, 0.8, 1.0, 1.0, 5.0, 5.0), (1, 3, 0.7, 9.0, 9.0, 12.0, 12.0), (1, 4, 0.7, 2.0, 2.0, 3.0, 3.0), (2, 1, 0.5, 0.0, 0.0, 1.0, 1.0)], f"p int, i int, s double, {box}")
+    assert sorted((r.p, r.i, r.inside_of) for r in layout.drop_nested(nested, ["p"], "i", "s").collect()) == [(1, 1, None), (1, 2, 1), (1, 3, None), (1, 4, 1), (2, 1, None)]
+    gold = spark.createDataFrame([(1, "t", 0.0, 0.0, 10.0, 10.0), (1, "t", 20.0, 0.0, 30.0, 10.0), (1, "f", 0.0, 0.0, 5.0, 5.0)], f"p int, c string, {box}")
+    other = spark.createDataFrame([(1, "t", 0.0, 0.0, 10.0, 5.0), (1, "t", 0.0, 0.0, 10.0, 8.0), (1, "g", 0.0, 0.0, 5.0, 5.0)], f"p int, c string, {box}")
+    got = {r.c: (r.n_gold, r.n_predicted, r.tp, r.precision, r.recall, round(r.mean_iou, 3)) for r in layout.scores(gold, other, ["p"], "c", 0.5).collect()}
+    assert got == {"t": (2, 2, 1, 0.5, 0.5, 0.8), "f": (1, 0, 0, 0.0, 0.0, 0.0), "g": (0, 1, 0, 0.0, None, 0.0)}
+    one = spark.createDataFrame([(10.0, 10.0, 20.0, 20.0), (5.0, 5.0, 5.0, 9.0), (98.0, 1.0, 99.9, 2.0)], box)
+    assert [tuple(r) for r in one.select(*layout.padded([F.col(c) for c in ("x0", "y0", "x1", "y1")], F.lit(100), F.lit(100))).collect()] == [(9, 9, 21, 21), (None,) * 4, (97, 0, 100, 3)]
+
+
+def test_logistic_keeps_every_row(spark):
+    rows = spark.createDataFrame([(1, 0.1, 0, "a"), (2, 0.9, 1, "a"), (3, 0.2, 0, "b"), (4, None, 1, "b"), (5, 0.8, 0, "c"), (6, 0.3, 1, None)], "i int, x double, y int, f string")
+    got = {r.i: r.probability for r in stats.logistic_scores(rows, ["x"], "y", "f").collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6} and got[4] is None and got[6] is None and got[1] is None and got[3] is not None
+    assert stats.logistic_scores(rows.limit(0), ["x"], "y", "f").count() == 0
+
+
+def test_models_and_their_absence(spark):
+    rows = spark.createDataFrame([(1, 0.0, 1, "a"), (2, None, 0, "b"), (3, 2.0, None, "b")], "i int, x double, y int, f string")
+    assert {r.i: (r.probability, r.status) for r in stats.saved_scores(rows, {"x": 1.0}).collect()} == {1: (0.5, "scored"), 2: (None, "missing_feature"), 3: (pytest.approx(0.8808, abs=1e-4), "scored")}
+    assert {r.status for r in stats.saved_scores(rows, None).collect()} == {"no_model"}
+    assert tuple(stats.label_audit(rows, "y", "f").first()) == (3, 2, 1, 2, "too_few_families") and stats.label_audit(rows.filter("y = 1"), "y", "f").first()["blocker"] == "one_label_only"
+    parts = spark.createDataFrame([("a", "train"), ("a", "test"), ("b", "train"), ("c", None)], "f string, p string")
+    assert sorted(tuple(r) for r in stats.split_errors(parts, "p", "f").collect()) == [("a", "in several parts"), ("c", "unassigned")]
+    slope, _ = stats.sigmoid_calibration(spark.createDataFrame([(-2.0, 0), (-1.0, 0), (0.5, 1), (1.0, 0), (2.0, 1)], "m double, y int"), "m", "y")
+    assert slope > 0 and stats.sigmoid_calibration(rows.limit(1).select(F.col("x").alias("m"), "y"), "m", "y") is None
+    made = spark.createDataFrame([(1.0, 0.5, 0.0), (0.0, 0.5, 0.0), (1.0, None, 0.0)], "v double, p double, m double")
+    assert tuple(stats.calibration_metrics(made, "v", "p", "m").first()) == (2, 0.25, 0.5, 0.5, 0.5)
 
 
 def test_greedy_match(spark):

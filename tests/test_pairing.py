@@ -115,7 +115,7 @@ def test_every_document_is_scored_against_an_item(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.distance, r.first, r.after) for r in QUERIES["semi_global_window"](spark, str(tmp_path)).collect()}
     assert got == {i: best_window(items[i % 3][1].split(), t.split()) for i, t in docs}
-    got = {r.doc_id: (r.item_id, r.tp, r.n_expected, r.n_predicted) for r in QUERIES["bag_prf_documents"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.item_id, r.tp, r.n_expected, r.n_predicted) for r in QUERIES["bag_prf_tokens"](spark, str(tmp_path)).collect()}
     e, p = (lambda i: Counter(items[i % 3][1].split())), (lambda t: Counter(t.split()))
     assert got == {i: (items[i % 3][0], (e(i) & p(t)).total(), e(i).total(), p(t).total()) for i, t in docs}
 
@@ -127,6 +127,6 @@ def test_levenshtein_of_whole_texts(spark, tmp_path):
 
     texts = ["café ñandú", "cafe ñandu!", "Straße 日本", "日本語 🙂", ""]
     spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r.item_id: (r.other_id, r.distance, r.similarity, r.cer) for r in QUERIES["levenshtein_texts"](spark, str(tmp_path)).collect()}
+    got = {r.item_id: (r.other_id, r.distance, r.similarity, r.cer) for r in QUERIES["levenshtein_titles"](spark, str(tmp_path)).collect()}
     n = [int(token_distance(list(a), list(b))) for a, b in zip(texts, texts[1:])]
     assert got == {i: (i + 1, n[i], round(1 - n[i] / max(len(a), len(b)), 6), round(n[i] / len(a), 6)) for i, (a, b) in enumerate(zip(texts, texts[1:]))}
