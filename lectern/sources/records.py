@@ -6,10 +6,18 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..operators.joins import require_unique
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Rows of a JSONL file under an explicit schema; a line that doesn't fit fails the read."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, unique: list[str] | None = None) -> DataFrame:
+    """Rows of a JSONL file under an explicit schema.  The first line that is no strict JSON object is an error that tells
+    its file and number; so is a key of the ``unique`` columns that comes twice."""
+    if wrong := jsonl_errors(spark, path).head(1):
+        file, line = wrong[0]["file"], wrong[0]["line"]
+        numbered = spark.read.text(file, wholetext=True).select(F.posexplode(F.split("value", "\r\n|\n"))).filter(F.col("col") == line)
+        raise ValueError(f"{file}:{numbered.agg(F.min('pos')).first()[0] + 1}: not a strict JSON object")
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return require_unique(rows, unique) if unique else rows
 
 
 def jsonl_errors(spark: SparkSession, path: str) -> DataFrame:
@@ -53,8 +61,15 @@ def read_record(spark: SparkSession, path: str, schema: str, max_bytes: int) ->
     return sound.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
-def write_once(df: DataFrame, path: str, kind: str = "json") -> None:
-    """Never overwrites; Spark's commit renames files only after all were written."""
+def write_once(df: DataFrame, path: str, kind: str = "json", max_bytes: int | None = None) -> None:
+    """Never overwrites; Spark's commit renames files only after all were written.  Numbers that aren't finite, and JSON
+    records over ``max_bytes``, are errors before anything is written."""
+    doubles = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    odd = F.greatest(*[F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(False)) for c in doubles], F.lit(False), F.lit(False))
+    if doubles and df.filter(odd).head(1):
+        raise ValueError("a number is not finite")
+    if max_bytes is not None and df.filter(F.octet_length(F.to_json(F.struct(*df.columns))) > max_bytes).head(1):
+        raise ValueError("a record is too large")
     writer = df.write.mode("errorifexists")
     writer.option("header", True).csv(path) if kind == "csv" else getattr(writer, kind)(path)
 
