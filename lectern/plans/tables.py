@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import facts, grids
-from ..operators import lookup, tables
+from ..operators import lookup, schemas, tables
 from .registry import query, spread, table
 
 
@@ -104,3 +104,23 @@ def pooled_checks(spark, d):
     lines = table(spark, d, "lineitem").select("l_suppkey", F.col("l_linestatus").alias("importance"), (F.col("l_linenumber") % 3 != 0).alias("associated"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag") == "R").alias("resolved"))
     out = lookup.pooled(lines, ["associated", "resolved"], "l_suppkey", "importance")
     return out.select("metric", "importance", "passed", "total", F.round("value", 6).alias("value"), F.round("document_mean", 6).alias("document_mean"))
+
+
+_SCHEMA = {"properties": {"order": {"$ref": "#/$defs/whole", "title": "Order No."}, "placed": {"type": ["string", "null"], "format": "date"}, "status": {"anyOf": [{"type": "string", "enum": ["F", "O", "P"]}, {"type": "null"}]},
+                          "lines": {"type": "array", "items": {"$ref": "#/$defs/line"}}}, "$defs": {"whole": {"type": "integer"}, "line": {"type": "object", "properties": {"label": {"type": "string", "description": "Labels: 'Line item' or 'Item'"}, "qty": {"type": "integer"}, "amount": {"type": "number"}}}}}
+
+
+@query(f"""SELECT o_orderkey, o_orderkey AS "order", strftime(o_orderdate, '%Y-%m-%d') AS placed, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS status, coalesce(n, 0)::INT AS n_lines, coalesce(total, 0)::BIGINT AS quantity FROM orders
+LEFT JOIN (SELECT o_orderkey AS k, count(*) AS n, sum(quantity) AS total FROM {_NUMBERED} GROUP BY o_orderkey) ON k = o_orderkey""")
+def schema_extraction(spark, d):
+    """Orders as documents: labelled lines, of which every fifth order has two that contradict, and a table of its lines."""
+    rows = _lines(spark, d).groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("k", F.format_string("<tr><td>Line %d</td><td>%d</td><td>$%d.00</td></tr>", "k", "quantity", "price").alias("h")))).alias("l"))
+    o = table(spark, d, "orders").join(rows, "o_orderkey", "left")
+    lines = F.concat(F.lit("<table><tr><th>Item</th><th>Quantity</th><th>Amt</th></tr>"), F.coalesce(F.array_join("l.h", ""), F.lit("")), F.lit("</table>"))
+    other = F.when(F.col("o_orderstatus") == "F", "O").otherwise("F")
+    twice = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("<p>Status: "), other, F.lit("</p>"))).otherwise("")
+    page = F.concat(F.lit("<p>Order number: "), F.col("o_orderkey").cast("string"), F.lit("</p><p>Placed: "), F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit("</p><p>Status: "), "o_orderstatus", F.lit("</p>"), twice, lines)
+    made = schemas.extract(spread(o.select("o_orderkey", page.alias("page"))), "o_orderkey", "page", _SCHEMA)
+    got = F.from_json("object", "order long, placed string, status string, lines array<struct<label:string,qty:long,amount:double>>")
+    read = made.select("o_orderkey", got.alias("x"))
+    return read.select("o_orderkey", "x.order", "x.placed", "x.status", F.coalesce(F.size("x.lines"), F.lit(0)).alias("n_lines"), F.coalesce(F.aggregate("x.lines", F.lit(0).cast("long"), lambda a, y: a + y["qty"]), F.lit(0)).alias("quantity"))

@@ -82,3 +82,19 @@ def test_bad_tables_cost_their_own_cells_only(spark):
     assert got == [("html", 1, 1), ("otsl", 0, 1), ("pipe", 4, 0), ("none", 0, 0), ("none", 0, 0)]
     strict = [grids.html_cells(f"<table>{x}</table>", strict=True) for x in ("<tr><td rowspan=2>a", "<tr><td>a<table><tr><td>n</table>", "<tr><td>a<td rowspan=2>b</tr><tr><td colspan=2>c</tr>", "<tr><td>ok")]
     assert [(len(c), [e.split(": ")[-1] for e in errors if "unclosed" not in e]) for c, errors in strict] == [(0, ["invalid span"]), (0, ["nested table"]), (0, ["overlapping span"]), (1, [])]
+
+
+def test_schema_fields_and_values():
+    from lectern.operators import schemas as S
+
+    root = {"properties": {"a": {"$ref": "#/$defs/x"}, "b": {"type": "object", "properties": {"c": {"type": "boolean", "title": "Is it"}}}, "loop": {"$ref": "#/$defs/l"}, "list": {"type": "array", "items": {"properties": {"unit price": {"type": "number"}, "no": {"type": "integer"}}}}}, "$defs": {"x": {"anyOf": [{"type": "integer"}, {"type": "null"}]}, "l": {"$ref": "#/$defs/l"}}}
+    found = S.fields(root, root)
+    assert [(f.path, f.kind) for f in found] == [(("a",), "integer"), (("b", "c"), "boolean"), (("loop",), "")]
+    as_ = lambda kind, **more: S.Field(("x",), kind, more.get("date", False), more.get("options"), frozenset())
+    assert [S.convert(t, as_("number")) for t in ("$1,234.5", "(3)%", "–", "12 apples", "( 5 )")] == [1234.5, -3.0, None, None, None]
+    assert [S.convert(t, as_("integer")) for t in ("7.0", "7.5")] == [7, None] and S.convert("03/04/24", as_("string", date=True)) == "2024-03-04" and S.convert("B", as_("string", options=("A",))) is None
+    heads = S.columns_of(["Unit price", "Price", "Number"], S.arrays(root)[0][1])
+    assert [(c, f.path[-1]) for c, f, _ in heads] == [(0, "unit price"), (2, "no")] and S.columns_of(["no", "no"], S.arrays(root)[0][1]) == []
+    page = "<p>A: 5</p><p>Is it: yes</p><table><tr><th>No<th>Unit Price</tr><tr><td>1<td>2.5</tr><tr><td>No<td>Unit price</tr><tr><td>x<td>3</tr></table>"
+    assert S.filled(page, found, S.arrays(root)) == {"a": 5, "b": {"c": True}, "list": [{"no": 1, "unit price": 2.5}]}
+    assert S.filled(page.replace("A: 5", "A: 5<br>A: 6"), found, [])  == {"b": {"c": True}} and S.filled(None, found, S.arrays(root)) == {}
