@@ -102,7 +102,7 @@ def fit(docs: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -> Model:
     vals = [np.frombuffer(x, "<f4").astype(float) * SCALE for x in got["vals"]]
     row, col, val = np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate(cols), np.concatenate(vals)
     target = code[[languages.index(x) for x in got["lang"]]]
-    w, b = fit_logistic(row, col, val, target, 1 << BITS)
+    w, b = fit_logistic(row, col, val, target, 1 << BITS, steps=15)
     margin = np.stack([np.bincount(row, weights=w[col, j] * val, minlength=len(target)) for j in range(code.shape[1])], 1) + b
     right = ((margin > 0) == (target > 0)).mean(0)
     return Model(languages, code, w, b, np.maximum(2 * right - 1, 0.05))
