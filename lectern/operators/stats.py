@@ -112,6 +112,19 @@ def isotonic_value(blocks: list[tuple[float, float, float]], x: float) -> float:
     return float(np.interp(x, [e for e, _ in ends], [v for _, v in ends]))
 
 
+def choose_feature(rows: DataFrame, group: str, features: list[str], y: str, available: float = 0.8) -> str | None:
+    """The feature whose isotonic map, fitted without each group in turn, has the least mean squared error; only features
+    known in ``available`` of the rows take part, the first of equals counts, None if there is none."""
+    n = rows.filter(F.col(y).isNotNull()).agg(F.count("*").alias("n"), *[F.count(f).alias(f) for f in features]).first()
+    errors = []
+    for f in features:
+        if n["n"] and n[f] >= available * n["n"]:
+            made = leave_one_group_out(rows, group, f, y).filter("predicted is not null")
+            error = made.agg(F.avg((F.col(y) - F.col("predicted")) * (F.col(y) - F.col("predicted")))).first()[0]
+            errors += [(error, f)] if error is not None else []
+    return min(errors, key=lambda e: e[0])[1] if errors else None
+
+
 def isotonic_fit(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """(keys, x, fitted) for each distinct x of a key; equal x are pooled before the rows of a key come together."""
     known = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -133,13 +146,25 @@ def logistic_value(weights: dict[str, float], bias: float) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
+#: Rows of a calibration set, or clusters, that may come to the driver.
+MOST_POOLED = 500_000
+
+
+def bounded(rows: DataFrame, most: int = MOST_POOLED) -> DataFrame:
+    """The rows, if they are few enough to come to the driver."""
+    if (n := rows.count()) > most:
+        raise ValueError(f"{n} rows are too many to come to the driver ({most})")
+    return rows
+
+
 def leave_one_group_out(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """(group, x, y, predicted): an isotonic map fitted to the other groups; their mean where they have under 3 rows.
 
-    Equal (group, x) rows are pooled to one before they meet; the fit of each group reads those pooled rows.
+    Equal (group, x) rows are pooled to one before they meet; the fits are made on the driver from those rows, of which
+    there may be MOST_POOLED: more are an error, as scores should be binned then.
     """
     pooled = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(group, x).agg(F.avg(y).alias(y), F.count("*").alias("w"))
-    table = pooled.toPandas()  # a calibration set: one row for each group and distinct score
+    table = bounded(pooled).toPandas()
     fits = {}
     for g in table[group].unique():
         rest = table[table[group] != g]
@@ -158,7 +183,7 @@ def cluster_bootstrap(clusters: DataFrame, value: str, weight: str, draws: int =
 
     ``clusters`` has one aggregated row for each cluster; draws are dealt out over tasks, each with a seed of its own.
     """
-    rows = sorted((float(r[value]), float(r[weight])) for r in clusters.select(value, weight).collect())  # one row a cluster
+    rows = sorted((float(r[value]), float(r[weight])) for r in bounded(clusters.select(value, weight)).collect())  # one row a cluster
     spark = clusters.sparkSession
     if len(rows) < 3:
         return spark.createDataFrame([], "estimate double, low double, high double, draws long")

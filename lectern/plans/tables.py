@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions import facts, grids
+from ..functions import canon, facts, grids, render
 from ..operators import lookup, schemas, tables
 from .registry import query, spread, table
 
@@ -124,3 +124,31 @@ def schema_extraction(spark, d):
     got = F.from_json("object", "order long, placed string, status string, lines array<struct<label:string,qty:long,amount:double>>")
     read = made.select("o_orderkey", got.alias("x"))
     return read.select("o_orderkey", "x.order", "x.placed", "x.status", F.coalesce(F.size("x.lines"), F.lit(0)).alias("n_lines"), F.coalesce(F.aggregate("x.lines", F.lit(0).cast("long"), lambda a, y: a + y["qty"]), F.lit(0)).alias("quantity"))
+
+
+@query(f"SELECT o_orderkey, round((3 * n + 5 - off) / (3 * n + 5), 6) AS cell_accuracy, round((n + 2 - off) / (n + 2), 6) AS row_accuracy, off = 0 AS same FROM ({_LINES})")
+def positional_accuracy(spark, d):
+    """Cells and rows of every order's statement, compared in place."""
+    pages = spread(_statements(spark, d))
+    gold, got = (grids.cells(pages, ["o_orderkey"], grids.html_table(F.col(c))) for c in ("expected", "predicted"))
+    out = render.positional(gold, got, ["o_orderkey"])
+    return out.select("o_orderkey", F.round("cell_accuracy", 6).alias("cell_accuracy"), F.round("row_accuracy", 6).alias("row_accuracy"), "same")
+
+
+@query(f"SELECT o_orderkey, 3 * n + 2 * 3 AS n_cells, true AS same FROM ({_LINES})")
+def pipe_to_html(spark, d):
+    """Every order's lines as a pipe table, made HTML and read back: the cells are those of the pipe table."""
+    line = F.format_string("| Line %d | %d | %d |", "k", "quantity", "price")
+    rows = _lines(spark, d).groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("k", line.alias("t")))).alias("l"))
+    text = F.concat(F.lit("text\n| | Quantity | Price |\n|---|--:|--:|\n| all | | |\n"), F.array_join("l.t", "\n"))
+    made = spread(rows.select("o_orderkey", text.alias("text"))).select("o_orderkey", "text", canon.mapped(lambda t: render.canonical_tables(t or ""), F.col("text")).alias("html"))
+    of = lambda c: F.transform(c, lambda x: F.struct(x["row"], x["col"], x["text"]))
+    read = made.select("o_orderkey", of(grids.pipe_table(F.col("text"))).alias("a"), of(grids.html_table(F.col("html"))).alias("b"))
+    return read.select("o_orderkey", F.size("b").cast("long").alias("n_cells"), (F.array_sort("a") == F.array_sort("b")).alias("same"))
+
+
+@query(f"SELECT o_orderkey, 1.0::DOUBLE AS structure, off = 0 AS same FROM ({_LINES})")
+def statement_trees(spark, d):
+    """Tree edit similarity of every order's statement: the structure is the same, the contents only where no price is off."""
+    made = spread(_statements(spark, d)).select("o_orderkey", tables.table_trees(F.col("expected"), F.col("predicted")).alias("t"))
+    return made.select("o_orderkey", F.round("t.structure", 6).alias("structure"), (F.col("t.content") == 1).alias("same"))

@@ -109,6 +109,24 @@ def test_isotonic_is_monotone_and_exact():
     assert blocks == [(1, 1, 1), (2, 3, 2.5), (4, 4, 4)] and stats.isotonic_value(blocks, 3.5) == 3.25
 
 
+def test_features_and_bounds(spark):
+    rows = spark.createDataFrame([(g, float(i), float(i % 3), None if i else 1.0, float(i)) for g in "abcd" for i in range(6)], "g string, good double, bad double, rare double, y double")
+    assert stats.choose_feature(rows, "g", ["bad", "rare", "good"], "y") == "good" and stats.choose_feature(rows, "g", ["rare"], "y") is None
+    with pytest.raises(ValueError, match="too many"):
+        stats.bounded(rows, 5)
+
+
+def test_isotonic_without_a_group_by_brute_force(spark):
+    rng = random.Random(6)
+    data = [(g, float(rng.randint(0, 5)), float(rng.random() < 0.5)) for g in "abc" for _ in range(12)] + [("a", None, 1.0)]
+    got = stats.leave_one_group_out(spark.createDataFrame(data, "g string, x double, y double"), "g", "x", "y").collect()
+    assert len(got) == len(data)
+    for r in got:
+        rest = [(x, y) for g, x, y in data if g != r.g and x is not None]
+        wanted = None if r.x is None else stats.isotonic_value(stats.isotonic(*zip(*rest)), r.x)
+        assert r.predicted is wanted is None or r.predicted == pytest.approx(wanted)
+
+
 def test_permutation_p():
     assert stats.exact_permutation_p([1, 2, 3, 4], [1, 2, 3, 4]) == 2 / 24 and stats.exact_permutation_p([1, 1, 1], [1, 2, 3]) is None
 
