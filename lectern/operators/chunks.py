@@ -109,16 +109,17 @@ def chunk_documents(docs: DataFrame, key: str, text: str, budget: int = 256) ->
     return rows.select(key, "ordinal", "c.*", F.substring(F.col("__t"), F.col("c.start") + 1, F.col("c.end") - F.col("c.start")).alias("content"))
 
 
-def pack(ranked: DataFrame, query: str, rank: str, cost: str, budget: int) -> DataFrame:
-    """Adds ``taken``: in rank order, a passage is taken whole if it still fits; a skipped one is not filled in for.
+def pack(ranked: DataFrame, query: str, rank: str, cost: str, budget: int, most: int | None = None) -> DataFrame:
+    """Adds ``taken``: in rank order, a passage is taken whole if it still fits, up to ``most`` of them; one that doesn't
+    fit is skipped and not filled in for.
 
     A query's pool is a fixed top-k, so its rows are few.
     """
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, left, taken = pdf.sort_values(rank), budget, []
         for c in pdf[cost]:
-            taken.append(bool(c <= left))
-            left -= c if c <= left else 0
+            taken.append(bool(c <= left) and (most is None or sum(taken) < most))
+            left -= c if taken[-1] else 0
         return pdf.assign(taken=taken)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema) + ", taken boolean"

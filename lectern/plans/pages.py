@@ -42,7 +42,7 @@ def sanitized(source: Column) -> Column:
     return F.array_join(F.flatten(F.zip_with(parts, clean, lambda p, t: F.array(p, F.coalesce(t, F.lit(""))))), "")
 
 
-@query()
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<template\b.*?</template\s*>|<noscript\b.*?</noscript\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")
 def html_visible_text(spark, d):
     return table(spark, d, "pages").select("page_id", visible_text(F.col("html")).alias("text"))
 
@@ -53,9 +53,10 @@ def html_sanitize(spark, d):
     return table(spark, d, "pages").select("page_id", sanitized(F.concat(cell, "html")).alias("clean"))
 
 
-@query("SELECT conv_id, count(*)::INT AS n_pages, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS content, sha256(replace(string_agg(text, chr(10) || chr(10) ORDER BY turn), chr(13) || chr(10), chr(10))) AS content_sha256 FROM conversations GROUP BY conv_id")
+@query("SELECT *, array_to_string(regexp_extract_all(content, '(?m)^#{1,6} +(.+)$', 1), '|') AS headings FROM (SELECT conv_id, count(*)::INT AS n_pages, string_agg('# Turn ' || turn || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS content, sha256(replace(string_agg('# Turn ' || turn || chr(10) || text, chr(10) || chr(10) ORDER BY turn), chr(13) || chr(10), chr(10))) AS content_sha256 FROM conversations GROUP BY conv_id)")
 def page_export(spark, d):
-    return records.export_pages(table(spark, d, "conversations"), "conv_id", "turn", "text").drop("headings")
+    turns = table(spark, d, "conversations").withColumn("text", F.concat(F.lit("# Turn "), F.col("turn").cast("string"), F.lit("\n"), "text"))
+    return records.export_pages(turns, "conv_id", "turn", "text").withColumn("headings", F.array_join("headings", "|"))
 
 
 @query("SELECT o_orderkey AS doc, p::INT AS page FROM orders, unnest(range(1, 8)) t(p) WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = p)")

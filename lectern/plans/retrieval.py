@@ -91,10 +91,10 @@ def normalize_unicode(spark, d):
     return table(spark, d, "documents").select("doc_id", text.normalized(F.col("text")).alias("norm"))
 
 
-@query("SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '([a-z]+|[0-9]+(?:[.,][0-9]+)*|[$%])') AS t FROM documents)")
+@query("SELECT doc_id, len(t)::BIGINT AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '([a-z]+|[0-9]+(?:[.,][0-9]+)*|[$%])') AS t FROM documents)")
 def word_tokens(spark, d):
     t = table(spark, d, "documents").select("doc_id", text.word_tokens(F.col("text")).alias("t"))
-    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
 @query(f"SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TERMS.format('text')}) AS term FROM documents) GROUP BY term")
@@ -114,9 +114,11 @@ def sha256_identity(spark, d):
     return table(spark, d, "documents").select("doc_id", text.lf_digest(F.col("text")).alias("digest"), text.utf8_token_estimate(F.col("text")).alias("token_bound"))
 
 
-@query("SELECT p_partkey, contains(' ' || trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) || ' ', ' 1 ') AS hit FROM part")
+@query("SELECT p_partkey, contains(' ' || trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || lower(split_part(p_type, ' ', 1)) || ' ') AS hit, contains(' ' || trim(regexp_replace(lower(p_name || '-' || p_type), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || lower(split_part(p_name, ' ', -1)) || ' ' || lower(split_part(p_type, ' ', 1)) || ' ') AS across FROM part")
 def phrase_containment(spark, d):
-    return table(spark, d, "part").select("p_partkey", text.contains_phrase(F.col("p_name"), F.lit("1")).alias("hit"))
+    """Whether a part's name holds the first word of its type; and whether both together hold the words where they meet."""
+    first, last = F.split("p_type", " ")[0], F.element_at(F.split("p_name", " "), -1)
+    return table(spark, d, "part").select("p_partkey", text.contains_phrase(F.col("p_name"), first).alias("hit"), text.contains_phrase(F.concat_ws("-", "p_name", "p_type"), F.concat_ws(" ", last, first)).alias("across"))
 
 
 @query("SELECT event_id, event_type, (props::JSON ->> '$.k')::BIGINT AS k FROM events")
@@ -171,19 +173,26 @@ def levenshtein_titles(spark, d):
     return a.join(o, "item_id").select("item_id", "other_id", F.levenshtein("a", "b").alias("distance"), F.round(similarity.edit_ratio(F.col("a"), F.col("b")), 6).alias("similarity"), F.round(similarity.error_rate(F.col("a"), F.col("b")), 6).alias("cer"))
 
 
-@query()
+_PAIR = "(SELECT a.item_id, string_split(a.text, ' ') AS x, string_split(b.text, ' ') AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)"
+_AS_BYTES = "array_to_string(list_transform({0}, lambda w: chr(list_position(list_distinct(list_concat(x, y)), w)::INT)), '')"
+
+
+@query(f"SELECT item_id, round(levenshtein({_AS_BYTES.format('x')}, {_AS_BYTES.format('y')}) / len(x), 6) AS wer FROM (SELECT item_id, list_filter(x, lambda w: w <> '') AS x, list_filter(y, lambda w: w <> '') AS y FROM (SELECT item_id, string_split_regex(array_to_string(x, ' '), '\\s+') AS x, string_split_regex(array_to_string(y, ' '), '\\s+') AS y FROM {_PAIR}))")
 def token_wer(spark, d):
+    """Word error rates; the SQL writes each word of a pair as one byte, of which there are enough."""
     b = table(spark, d, "benchmark")
     a, o = b.select("item_id", F.col("text").alias("a")), b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("b"))
     return a.join(o, "item_id").select("item_id", F.round(similarity.wer(F.col("a"), F.col("b")), 6).alias("wer"))
 
 
-@query("SELECT doc_id, length(coalesce(text, ''))::BIGINT AS n_chars, true AS lossless FROM documents WHERE length(coalesce(text, '')) > 0")
+@query("SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(text) AS digest, true AS contiguous FROM documents WHERE length(coalesce(text, '')) > 0")
 def chunk_lossless(spark, d):
-    """Chunk lengths sum to the text's, and each chunk starts where the one before ended."""
+    """The chunks of a text, joined in order, are the text; each starts where the one before ended."""
     c = chunks.chunk_documents(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
-    per = c.groupBy("doc_id").agg(F.sum(F.length("content")).alias("n_chars"), F.max("end").alias("e"), F.sum(F.col("end") - F.col("start")).alias("s"), F.min("start").alias("b"))
-    return per.select("doc_id", "n_chars", ((F.col("b") == 0) & (F.col("e") == F.col("s")) & (F.col("s") == F.col("n_chars"))).alias("lossless"))
+    per = c.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "start", "end", "content"))).alias("c"))
+    joined = F.array_join(F.transform("c", lambda x: x["content"]), "")
+    follows = F.forall(F.sequence(F.lit(1), F.size("c")), lambda i: F.element_at("c", i)["start"] == F.coalesce(F.get("c", i - 2)["end"], F.lit(0)))
+    return per.select("doc_id", F.length(joined).cast("long").alias("n_chars"), F.sha2(joined, 256).alias("digest"), follows.alias("contiguous"))
 
 
 @query()
@@ -191,8 +200,12 @@ def chunk_sections(spark, d):
     return chunks.chunk_documents(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text").select("doc_id", "ordinal", "start", "end", "content_tokens", "indexable", "chunk_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE top AS ({_bm25_sql(k=10)}), t AS (SELECT item_id, doc_id, score, rank, strlen(text) // 4 AS tokens FROM top JOIN documents USING (doc_id)),
+p AS (SELECT item_id, 0 AS rank, 3072::BIGINT AS room, 0 AS n, NULL::BIGINT AS doc_id, NULL::DOUBLE AS score, NULL::BIGINT AS tokens, false AS taken FROM (SELECT DISTINCT item_id FROM t) UNION ALL
+SELECT t.item_id, t.rank, p.room - CASE WHEN t.tokens <= p.room AND p.n < 3 THEN t.tokens ELSE 0 END, p.n + (t.tokens <= p.room AND p.n < 3)::INT, t.doc_id, t.score, t.tokens, t.tokens <= p.room AND p.n < 3 FROM p JOIN t ON t.item_id = p.item_id AND t.rank = p.rank + 1)
+SELECT item_id, doc_id, score, rank, tokens::INT AS tokens, taken FROM p WHERE rank > 0""")
 def budget_pack(spark, d):
+    """Of the ten best documents of an item, the first three that fit into 3,072 tokens together."""
     top = ranking.bm25(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", 10)
-    sized = top.join(table(spark, d, "documents").select("doc_id", (F.octet_length("text") / 4).cast("int").alias("tokens")), "doc_id")
-    return chunks.pack(sized, "item_id", "rank", "tokens", 3072)
+    sized = top.join(table(spark, d, "documents").select("doc_id", F.floor(F.octet_length("text") / 4).cast("int").alias("tokens")), "doc_id")
+    return chunks.pack(sized, "item_id", "rank", "tokens", 3072, 3)
