@@ -538,7 +538,16 @@ def test_quotes_by_brute_force(spark):
                 fresh = rng.choice([["He said:"], ["He wrote:", ""], []]) + ["> " + x for x in body.split("\n")] + (["> ..."] if rng.random() < 0.2 else []) + fresh
             texts.append("\n".join(fresh))
         rows += [(conv, turn, "user", t) for turn, t in enumerate(texts)]
-    got = {(r.conv_id, r.turn): (r.text, r.parent_turn, r.root_turn, r.depth) for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    odd = [(None, 1, "user", "> one"), (1, None, None, "> two\r\nx"), (50, 0, "user", "said\n\n"), (50, 1, "a<|b", "> said\n<\\|z"), (50, 1, "user", "no quote"), (50, 2, None, None)]
+    schema = "conv_id long, turn long, role string, text string"
+    frame = quotes.link_quotes(spark.createDataFrame(rows + odd, schema))
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows + odd)
+    found = con.execute(queries.ORACLES["op3_chat_quotes"])
+    names = [c[0] for c in found.description]
+    assert sorted(map(str, found.fetchall())) == sorted(str(tuple(r)) for r in frame.select(*names).collect()) and sorted(names) == sorted(frame.columns)
+    got = {(r.conv_id, r.turn): (r.text, r.parent_turn, r.root_turn, r.depth) for r in quotes.link_quotes(spark.createDataFrame(rows, schema)).collect()}
     wanted = {(conv, turn): x for conv in range(40) for turn, x in plain_links([(t, s) for c, t, _, s in rows if c == conv]).items()}
     assert got == wanted and sum(x[1] is not None for x in wanted.values()) > 50 and max(x[3] for x in wanted.values()) > 2
 
