@@ -106,6 +106,22 @@ def test_maximal_segments_by_brute_force(scores):
     assert all(any(a <= i < b for a, b, _ in got) for i, s in enumerate(scores) if s > 0)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(-9, 9), max_size=16), st.integers(0, 10**6))
+def test_all_maximal_segments_by_recursion(scores, seed):
+    """The best segment, then those left and right of it, and so on; small fractions part ties."""
+    rng = random.Random(seed)
+    scores = [x + rng.random() / 100 for x in scores]
+
+    def best(low, high):
+        options = [(sum(scores[a:b]), a, b) for a in range(low, high) for b in range(a + 1, high + 1)]
+        total, a, b = max(options, default=(0, 0, 0))
+        return [*best(low, a), (a, b, total), *best(b, high)] if total > 0 else []
+
+    got = toxicity.maximal_segments(scores)
+    assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in best(0, len(scores))] and all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(got, best(0, len(scores))))
+
+
 def test_toxicity_finds_passages_and_leaves_clean_texts(spark):
     rng = random.Random(3)
     clean = lambda n: ["".join(rng.choices("abcdefgh", k=3)) for _ in range(n)]
@@ -438,6 +454,76 @@ def test_branches_merge_by_make_and_labels_by_brute_force(spark):
     assert said["p"] == {("/p/{n}/edit", "allow")} and said["login"] == {("/login", "allow")} and len(said["d"]) == 1
 
 
+def plain_verdicts(rows, rules):
+    """{row number: (host, path, rule, verdict, pattern)} by the definitions, in plain loops over every url."""
+    out, counts = {}, {}
+    for k, url in rows:
+        m = regex.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].translate({c: c + 32 for c in range(65, 91)}), m[2]) if m else ("", "")
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = max(fits, key=lambda r: (len(r.name), r.name), default=None)
+        parts = [regex.sub("[0-9]+", "{n}", regex.sub(r"(?i)\b(?=[0-9a-f]*[0-9])[0-9a-f]{8,}(?:-[0-9a-f]+)*\b", "{x}", x)) for x in path[1:].split("/")]
+        template = tuple(parts if len(parts) <= urls.DEPTH else [*parts[: urls.DEPTH - 1], "/".join(parts[urls.DEPTH - 1 :])])
+        out[k] = [host, path, best and best.name, best and best.verdict, template]
+        n = counts.setdefault((host, template), [0, 0, 0])
+        n[0] += 1
+        n[1] += best is not None
+        n[2] += best is not None and best.verdict == "block"
+    node = {key: () for key in counts}
+    for level in range(urls.DEPTH):
+        children = {}
+        for host, template in counts:
+            if len(template) > level:
+                children.setdefault((host, node[host, template]), set()).add(template[level])
+        for host, template in counts:
+            if len(template) > level:
+                here, wide = template[level], len(children[host, node[host, template]]) > urls.MAX_CHILDREN
+                ending = regex.search(r"(\.[A-Za-z]{1,5})$", here)
+                node[host, template] = (*node[host, template], here if not wide or here == "" else "*" + (ending[1] if ending else ""))
+        node = dict(sorted(node.items(), key=lambda kv: kv[0]))
+    leaves = {}
+    for key, at in node.items():
+        leaves.setdefault((key[0], at), [0, 0, 0])
+        leaves[key[0], at] = [a + b for a, b in zip(leaves[key[0], at], counts[key])]
+    pattern = {key: key[1] for key in leaves}
+    for level in range(urls.DEPTH - 1, -1, -1):
+        groups = {}
+        for (host, at), (n, l, b) in leaves.items():
+            if len(at) > level:
+                child = groups.setdefault((host, at[:level]), {}).setdefault(at[level], [0, 0, {}])
+                below = pattern[host, at][level + 1 : level + 3]
+                child[0], child[1], child[2][below] = child[0] + l, child[1] + b, child[2].get(below, 0) + n
+        into = {parent: urls.merged([(name, *c) for name, c in kids.items()]) for parent, kids in groups.items()}
+        for host, at in leaves:
+            if len(at) > level:
+                p = pattern[host, at]
+                pattern[host, at] = (*p[:level], into[host, at[:level]][at[level]], *p[level + 1 :])
+    pooled = {}
+    for key, (_, l, b) in leaves.items():
+        x = pooled.setdefault((key[0], pattern[key]), [0, 0])
+        x[0], x[1] = x[0] + l, x[1] + b
+    prior = (sum(c[2] for c in counts.values()) + 1) / (sum(c[1] for c in counts.values()) + 2)
+    for row in out.values():
+        key = (row[0], pattern[row[0], node[row[0], row[4]]])
+        l, b = pooled[key]
+        learned = "block" if l >= urls.LEAST_LABELS and (b + urls.PRIOR_WEIGHT * prior) / (l + urls.PRIOR_WEIGHT) >= urls.REJECT_AT else "allow"
+        row[3:] = [row[3] or learned, "/" + "/".join(key[1])]
+    return {k: tuple(r) for k, r in out.items()}
+
+
+def test_urls_by_brute_force(spark):
+    rng = random.Random(22)
+    word = lambda: rng.choice(["en", "fr", "news", "a1b2c3d4e5", "", str(rng.randint(1, 999)), f"t{rng.choice('abcdefghijklmnopqrst')}.html", "Über"])
+    hosts = ["Example.com", "www.example.com", "example.net", "x.y.example.net:80", "notexample.com", "org"]
+    rows = [(i, f"{rng.choice(['http', 'ftp', ''])}://{rng.choice(hosts)}" + "".join("/" + word() for _ in range(rng.randint(0, 4))) + rng.choice(["", "?q=/en/", "#x", "/"])) for i in range(500)]
+    rows += [(900, None), (901, ""), (902, "no scheme/en"), (903, "://"), (904, "http://h?x://y/z"), (905, "a\nb://example.com/en/7")]
+    rules = [*queries.RULES, urls.Rule("example.com", "/news", "block"), urls.Rule("com", "/t", "block")]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()
+    wanted = plain_verdicts(rows, rules)
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict, r.pattern) for r in got} == wanted
+    assert {"block", "allow"} == {v[3] for v in wanted.values() if v[2] is None}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.sampled_from("abc"), st.integers(1, 60)), st.dictionaries(st.sampled_from("abc"), st.integers(1, 60)))
 def test_alike_is_symmetric_and_equal_counts_are_alike(a, b):
