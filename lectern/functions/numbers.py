@@ -24,10 +24,19 @@ def _folded(cell: Column) -> Column:
     return F.translate(F.lower(F.regexp_replace(F.coalesce(cell, F.lit("")), r"[\s\u00a0]+", "")), "−–，", "--,")
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` in which the value is worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _plain(digits: Column) -> Column:
     """Digits without separators, and without zeros that add nothing."""
-    bare = F.regexp_replace(F.regexp_replace(digits, ",", ""), r"^0+(?=[0-9])", "")
-    return F.when(bare.contains("."), F.regexp_replace(bare, r"\.?0+$", "")).otherwise(bare)
+    bare = F.regexp_replace(F.replace(digits, F.lit(","), F.lit("")), r"^0+(?=[0-9])", "")
+    return F.regexp_replace(bare, r"(?:\.0+|(\.[0-9]*[1-9])0+)$", "$1")
+
+
+#: The parts of CELL, parted by a character that no cell has.
+_PARTS = "\u0001".join(f"${i}" for i in range(1, 8))
 
 
 def number_key(cell: Column) -> Column:
@@ -35,14 +44,18 @@ def number_key(cell: Column) -> Column:
 
     The value is exact, signed, and in plain digits; parentheses that don't close make a text.
     """
-    c = _folded(cell)
-    part = lambda i: F.regexp_extract(c, CELL, i)
-    number = c.rlike(CELL) & ((part(1) == "") == (part(7) == ""))
-    value = _plain(part(5))
-    negative = (part(1) != "") | (part(2) == "-") | (part(4) == "-")
-    kind_ = F.when(c == "", "blank").when(c.isin("-", "—"), "dash").when(number, "number").otherwise("text")
-    return F.struct(kind_.alias("kind"), F.when(number, F.when(negative & (value != "0"), F.concat(F.lit("-"), value)).otherwise(value)).when(kind_ == "text", c).alias("value"),
-                    F.when(number, part(3)).alias("currency"), F.when(number, part(6)).alias("suffix"))
+    def parted(c: Column) -> Column:
+        return _bound(F.split(F.regexp_replace(c, CELL, _PARTS), "\u0001", -1), lambda p: keyed(c, p))
+
+    def keyed(c: Column, p: Column) -> Column:
+        number = (F.size(p) == 7) & ((F.get(p, F.lit(0)) == "") == (F.get(p, F.lit(6)) == ""))
+        negative = (F.get(p, F.lit(0)) != "") | (F.get(p, F.lit(1)) == "-") | (F.get(p, F.lit(3)) == "-")
+        signed = _bound(_plain(F.get(p, F.lit(4))), lambda v: F.when(negative & (v != "0"), F.concat(F.lit("-"), v)).otherwise(v))
+        kind_ = F.when(c == "", "blank").when(c.isin("-", "—"), "dash").when(number, "number").otherwise("text")
+        text = ~number & (c != "") & ~c.isin("-", "—")
+        return F.struct(kind_.alias("kind"), F.when(number, signed).when(text, c).alias("value"), F.when(number, F.get(p, F.lit(2))).alias("currency"), F.when(number, F.get(p, F.lit(5))).alias("suffix"))
+
+    return _bound(_folded(cell), parted)
 
 
 def kind(cell: Column) -> Column:
@@ -59,7 +72,7 @@ def value(cell: Column) -> Column:
 
 def amount_key(cell: Column) -> Column:
     """kind, value and suffix in one text; currency doesn't count, the suffix does."""
-    return F.transform(F.array(number_key(cell)), lambda k: F.when(k["kind"] == "number", F.concat_ws("|", k["kind"], k["value"], k["suffix"])).when(k["kind"] == "text", F.concat_ws("|", k["kind"], k["value"])).otherwise(k["kind"]))[0]
+    return _bound(number_key(cell), lambda k: F.when(k["kind"] == "number", F.concat_ws("|", k["kind"], k["value"], k["suffix"])).when(k["kind"] == "text", F.concat_ws("|", k["kind"], k["value"])).otherwise(k["kind"]))
 
 
 def subtract(a: Column, b: Column, scale: int = 6) -> Column:
