@@ -104,28 +104,60 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_logistic(row, col, val, y, dim: int, l2: float = 1e-4, steps: int = 60):
-    """L-BFGS on a sparse design, all targets at once; y is (n,) or (n, k) of 0/1.  Returns (dim, k) weights and k biases."""
+#: Values of a sparse design that are multiplied out at once, beside what is left of the last row or column.
+BLOCK = 1 << 16
+
+
+def runs(ids) -> np.ndarray:
+    """Where each run of equal ids starts."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(ids)), bool), ids[1:] != ids[:-1]]))
+
+
+def blocks(starts, end: int, least: int = 0) -> list[tuple[slice, slice, np.ndarray]]:
+    """Whole segments by about BLOCK values, or ``least`` if that is more: which segments, which values, where in these each segment starts."""
+    first = np.unique(np.searchsorted(starts, np.arange(0, end, max(BLOCK, least))))
+    first = first[first < len(starts)]
+    return [(slice(i, j), slice(starts[i], starts[j] if j < len(starts) else end), starts[i:j] - starts[i]) for i, j in zip(first, [*first[1:], len(starts)])]
+
+
+def fit_logistic(row, col, val, y, dim: int, l2: float = 1e-4, steps: int = 60, scale: float = 1.0):
+    """L-BFGS on a sparse design, all targets at once; y is (n,) or (n, k) of 0/1.  Returns (dim, k) weights and k biases.
+
+    The design's values are ``scale`` times ``val``, ordered by ``row``.  They are held in the types that they come in, by
+    rows and by columns; products are made block by block, so that the driver holds none of the whole design.
+    """
     y = np.atleast_2d(np.asarray(y, np.float64).T).T
     n, k = y.shape
-    row, col, val = np.asarray(row), np.asarray(col), np.asarray(val, np.float64)
-    used, place = np.unique(col, return_inverse=True)  # buckets that no row has keep weight zero
-    by_col = np.argsort(place, kind="stable")
-    row_starts = np.flatnonzero(np.diff(row, prepend=-1))
-    row_ids, col_starts = row[row_starts], np.flatnonzero(np.diff(place[by_col], prepend=-1))
-    back_row, back_val = row[by_col], val[by_col]
+    row, col, val = np.asarray(row), np.asarray(col), np.asarray(val)
+    seen = np.zeros(dim, bool)
+    seen[col] = True
+    used = np.flatnonzero(seen)  # buckets that no row has keep weight zero
+    number = np.zeros(dim, np.uint16 if len(used) <= 1 << 16 else np.uint32)
+    number[used] = np.arange(len(used))
+    place = number[col]
+    back_row, back_val = np.empty_like(row), np.empty_like(val)
+    sizes = np.bincount(place, minlength=len(used))
+    row_starts, col_starts = runs(row), np.cumsum(sizes) - sizes
+    row_ids = row[row_starts]
+    for columns, values, _ in blocks(col_starts, len(val), len(val) // 16):  # each passes over all places
+        at = np.flatnonzero((place >= columns.start) & (place < columns.stop))
+        at = at[np.argsort(place[at], kind="stable")]
+        back_row[values], back_val[values] = row[at], val[at]
+    by_rows, by_cols = blocks(row_starts, len(val)), blocks(col_starts, len(val))
 
     def loss(x):
         w, b = x[:-1], x[-1]
         z = np.tile(b, (n, 1))
-        g = np.empty_like(x)
-        for j in range(k):
-            if len(val):
-                z[row_ids, j] += np.add.reduceat(w[place, j] * val, row_starts)
+        g = np.zeros_like(x)
+        for segments, values, starts in by_rows:
+            at, v = place[values].astype(np.intp), np.multiply(val[values], scale, dtype=np.float64)
+            for j in range(k):
+                z[row_ids[segments], j] += np.add.reduceat(w[at, j] * v, starts)
         error = (sigmoid(z) - y) / n
-        for j in range(k):
-            if len(val):
-                g[:-1, j] = np.add.reduceat(error[back_row, j] * back_val, col_starts)
+        for segments, values, starts in by_cols:
+            at, v = back_row[values].astype(np.intp), np.multiply(back_val[values], scale, dtype=np.float64)
+            for j in range(k):
+                g[segments, j] = np.add.reduceat(error[at, j] * v, starts)
         g[:-1] += l2 * w
         g[-1] = error.sum(0)
         return float((np.logaddexp(0, z) - y * z).sum() / n + l2 / 2 * (w * w).sum()), g
@@ -167,6 +199,14 @@ def fit_logistic(row, col, val, y, dim: int, l2: float = 1e-4, steps: int = 60):
     return w, x[-1]
 
 
+def linear_scores(row, col, val, w, n: int, scale: float = 1.0):
+    """The sums over each of n rows of a sparse design of its values, ``scale`` times ``val``, times their columns' weights."""
+    z = np.zeros(n)
+    for _, values, _ in blocks(runs(row), len(val)):
+        z += np.bincount(row[values], weights=w[col[values]] * np.multiply(val[values], scale, dtype=np.float64), minlength=n)
+    return z
+
+
 def fit_platt(z, y, steps: int = 60):
     """Slope and intercept that map scores to probabilities (Newton, smoothed targets)."""
     z, y = np.asarray(z, float), np.asarray(y, float)

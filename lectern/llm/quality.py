@@ -14,8 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fit_logistic, fit_platt, sigmoid, training_rows
+from .common import fit_logistic, fit_platt, linear_scores, sigmoid, training_rows
 
+#: Two kinds of n-grams have 1 << BITS buckets each; at 15 a bucket's number is sent in two bytes.
 BITS = 15
 #: Bound on the labelled documents that the classifier is fitted to.
 MAX_TRAINING_DOCS = 3_000
@@ -115,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -
                 cols, vals = [], []
                 for part in (chars, tokens):
                     at, n = np.unique(part, return_counts=True)
-                    cols.append(at.astype("<u4"))
+                    cols.append(at.astype("<u2"))
                     vals.append((n / max(1, len(part))).astype("<f4"))
                 out.append((int(y), np.concatenate(cols).tobytes(), np.concatenate(vals).tobytes(), zlib.crc32(text.encode("utf-8", "surrogatepass"))))
             yield pd.DataFrame(out, columns=["y", "cols", "vals", "crc"])
@@ -125,20 +126,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -
     y = got["y"].to_numpy(float)
     if len(set(y)) < 2:
         return None
-    cols = [np.frombuffer(x, "<u4").astype(np.int64) for x in got["cols"]]
-    vals = [np.frombuffer(x, "<f4").astype(float) * SCALE for x in got["vals"]]
     half = got["crc"].to_numpy() // 8 % 2 == 0
     z, weights, bias = np.zeros(len(y)), np.zeros(2 << BITS), 0.0
 
     def flat(which):
-        which = np.flatnonzero(which)
-        none = [np.zeros(0, np.int64)]
-        return np.repeat(np.arange(len(which)), [len(cols[i]) for i in which]), np.concatenate([cols[i] for i in which] or none), np.concatenate([vals[i] for i in which] or none)
-
-    for part in (half, ~half):
-        w, b = fit_logistic(*flat(part), y[part], 2 << BITS) if part.any() else (np.zeros((2 << BITS, 1)), np.zeros(1))
-        row, col, val = flat(~part)
-        z[~part] = np.bincount(row, weights=w[col, 0] * val, minlength=int((~part).sum())) + b[0]
+        sizes = [len(x) // 4 for x in got["vals"][which]]
+        return np.repeat(np.arange(len(sizes), dtype=np.uint16 if len(sizes) <= 1 << 16 else np.uint32), sizes), *(np.frombuffer(b"".join(got[c][which]), kind) for c, kind in (("cols", "<u2"), ("vals", "<f4")))
+
+    designs = [(half, flat(half)), (~half, flat(~half))]
+    del got
+    for (part, design), (other, against) in (designs, designs[::-1]):
+        w, b = fit_logistic(*design, y[part], 2 << BITS, scale=SCALE) if part.any() else (np.zeros((2 << BITS, 1)), np.zeros(1))
+        z[other] = linear_scores(*against, w[:, 0], int(other.sum()), SCALE) + b[0]
         weights, bias = weights + w[:, 0] / 2, bias + float(b[0]) / 2
     return Model(weights.astype(np.float32), bias, *fit_platt(z, y))
 
