@@ -69,10 +69,16 @@ serialised = Chain("NFKC", tuple(APOSTROPHE + MINUS + ESCAPED_SIGNS), "fold")
 financial = Chain("NFKC", tuple(APOSTROPHE + DASHES + [(r"(?i)[^a-z0-9%$€£().,'+\-/\s]", "")]), "lower")
 
 
+_UNTAGGED, _PARTED = Chain(None, tuple(INLINE_TAGS)), Chain(None, (("\u00ad", ""), (r"\\n", " "), (r"(?<=[a-z])(?=[A-Z])", " ")))
+#: Texts in which tag_free changes white space only.
+_BARE = re.compile(r"[A-Za-z]?[a-z0-9 ,.%()$-]*")
+
+
 def tag_free(text: str | None) -> str:
     """Inline tags and soft hyphens taken out, words parted where a small letter meets a capital one."""
-    t = unicodedata.normalize("NFKC", html.unescape(Chain(None, tuple(INLINE_TAGS))(text)))
-    return Chain(None, (("\u00ad", ""), (r"\\n", " "), (r"(?<=[a-z])(?=[A-Z])", " ")))(t)
+    if text and _BARE.fullmatch(text):
+        return " ".join(text.split())
+    return _PARTED(unicodedata.normalize("NFKC", html.unescape(_UNTAGGED(text))))
 
 
 def row_label(text: str | None) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from decimal import Decimal, InvalidOperation
+from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
@@ -12,6 +13,8 @@ LEXICAL = r"(?<![\w.])(?:\(\s*)?[+\-−–]?\s*[$£€¥]?\s*[+\-−–]?\s*\d+(
 #: The parts of a cell that is one amount: parenthesis, sign, currency, sign, digits, unit, parenthesis.
 CELL = r"^(\()?([+-]?)([$£€¥]?)([+-]?)([0-9][0-9,]*(?:\.[0-9]+)?)(%|bn|mn|m|k|pts|p)?(\))?$"
 
+_HYPHENS, _FOLDS = str.maketrans("−–", "--"), str.maketrans("−–，", "--,")
+
 
 def extract(text: Column) -> Column:
     """The amounts of a text, as they are written but without white space, any minus as a hyphen."""
@@ -75,6 +78,34 @@ def amount_key(cell: Column) -> Column:
     return _bound(number_key(cell), lambda k: F.when(k["kind"] == "number", F.concat_ws("|", k["kind"], k["value"], k["suffix"])).when(k["kind"] == "text", F.concat_ws("|", k["kind"], k["value"])).otherwise(k["kind"]))
 
 
+# The same forms for single texts, for rows that are read in Python anyway.
+_LEXICAL, _CELL_PARTS = re.compile(f"(?i){LEXICAL}"), re.compile(CELL[:-1] + r"\Z")
+_BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+@lru_cache(1 << 16)
+def amounts(text: str | None) -> tuple[str, ...]:
+    """`extract` of one text."""
+    if text and text.isascii() and text.isdigit():
+        return (text,)
+    return tuple(_BLANKS.sub("", m[0].translate(_HYPHENS)) for m in _LEXICAL.finditer(text or ""))
+
+
+@lru_cache(1 << 16)
+def amount_of(cell: str | None) -> str:
+    """`amount_key` of one text."""
+    c = re.sub(r"[ \t\n\x0b\f\r\u00a0]+", "", cell or "").lower().translate(_FOLDS)
+    if c == "":
+        return "blank"
+    if c in "-—":
+        return "dash"
+    m = _CELL_PARTS.match(c)
+    if not m or bool(m[1]) != bool(m[7]):
+        return f"text|{c}"
+    v = re.sub(r"(?:\.0+|(\.[0-9]*[1-9])0+)\Z", r"\1", re.sub(r"^0+(?=[0-9])", "", m[5].replace(",", "")))
+    return f"number|{'-' if (m[1] or '-' in (m[2], m[4])) and v != '0' else ''}{v}|{m[6] or ''}"
+
+
 def subtract(a: Column, b: Column, scale: int = 6) -> Column:
     """Exact difference of finite decimal texts; null if either isn't one."""
     finite = lambda c: c.try_cast(f"decimal(28,{scale})")
@@ -141,6 +172,8 @@ def cell_value(text: str | None) -> str | None:
     it is none of these.  Currency doesn't count."""
     from .canon import tag_free
 
+    if text and text.isascii() and text.isdigit():
+        return "0" if not (bare := text.lstrip("0")) else bare if len(bare) <= 28 else format(Decimal(bare).normalize(), "f")
     whole = tag_free(text)
     s = whole.replace("−", "-").replace("–", "-")
     if len(s) > 2 and s[0] == s[-1] == "$":
