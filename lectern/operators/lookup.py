@@ -4,18 +4,177 @@
 """
 from __future__ import annotations
 
+import re
+from collections import Counter
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import grids, numbers
 from .bags import ratio
 
 
+_SIGNS = str.maketrans("−’\u00a0", "-' ")
+
+
 def norm(text: Column) -> Column:
     """Small letters, white space single, minus signs and apostrophes plain."""
     plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), "−’ ", "-' ")
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
+# The same for single texts: a document's cells and what is asked of them meet in the task that holds both.
+_WHITE = re.compile(r"[ \t\n\x0b\f\r]+")
+_SPECIAL = re.compile(r"([\\\[\](){}*+?.^$|-])")
+
+
+@lru_cache(1 << 16)
+def plain(text: str | None) -> str:
+    """`norm` of one text."""
+    return _WHITE.sub(" ", (text or "").lower().translate(_SIGNS)).strip(" ")
+
+
+@lru_cache(1 << 12)
+def header_of(text: str | None) -> str:
+    """A header without what its unit says."""
+    t = re.sub(r"\bhalf[- ]year to\s*", "", plain(text))
+    return re.sub(r"[$£€]\s*(?:million|billion|bn|m)?", "", t).strip(" ")
+
+
+@lru_cache(1 << 10)
+def path_pattern(path: tuple[str | None, ...]) -> re.Pattern:
+    """The components of a path that follow each other in headers, whole and from a cell's beginning on; what comes after
+    the last must not be a percent sign, unless the path says so."""
+    whole = lambda p: _SPECIAL.sub(r"\\\1", header_of(p)) + r"(?!\w)"
+    parts = [(r"(?>[\s|]*" if i else r"(?>.*?(?:^|\|)\s*") + whole(p) + ")" for i, p in enumerate(path)]
+    return re.compile("(?s)^" + "".join(parts) + ("" if "%" in (path[-1] or "") else r"(?!\s*%)"))
+
+
+class Page:
+    """A document's cells (table, row, col, rowspan, colspan, text) by label, by row, and by the columns they cover."""
+
+    def __init__(self, cells: list[tuple]):
+        self.labels: dict[tuple, list[tuple]] = {}
+        self.rows: dict[tuple, list[tuple]] = {}
+        self.columns: dict[tuple, list[tuple]] = {}
+        for t, r, c, _, wide, text in cells:
+            self.labels.setdefault((t, plain(text)), []).append((r, c + wide))
+            self.rows.setdefault((t, r), []).append((c, wide, text))
+            for slot in range(c, c + wide):
+                self.columns.setdefault((t, slot), []).append((r, c, text))
+        self.tables = {t for t, _ in self.rows}
+        self.tops: dict[tuple, dict[str, int]] = {}
+
+    def headers(self, table: int, row: int, col: int) -> list[str | None]:
+        """Texts of the cells above a place that cover its column, once each and from the top."""
+        above = {(r, c, text) for r, c, text in self.columns.get((table, col), ()) if r < row}
+        return [text for _, _, text in sorted(((r, text is None, text) for r, _, text in above), key=lambda x: (x[0], x[1], x[2] or ""))]
+
+    def under(self, table: int, row: int, col: int, texts: set[str]) -> bool:
+        """Whether all of the texts stand above a place, in cells that cover its column."""
+        if (top := self.tops.get((table, col))) is None:
+            top = self.tops[table, col] = {}
+            for r, _, text in self.columns[table, col]:
+                top[plain(text)] = min(r, top.get(plain(text), r))
+        return all(top.get(t, row) < row for t in texts)
+
+    def best_table(self, labels: set[str]) -> tuple[int | None, str | None]:
+        """The table that holds most of the row labels, and why there is none."""
+        hits = Counter(t for t, label in self.labels if label in labels)
+        best = [t for t in hits if hits[t] == max(hits.values())]
+        return (best[0], None) if len(best) == 1 else (None, "ambiguous_table_match" if best else "missing_table_or_unmatched_labels")
+
+    def values(self, table: int, label: str, path: list | None) -> set[tuple]:
+        """(row, col, text) right of a label, under a path."""
+        found = set()
+        for r, right in self.labels.get((table, label), ()):
+            for c, _, text in self.rows[table, r]:
+                if c >= right and (not path or path_pattern(tuple(path)).match(" | ".join(map(header_of, self.headers(table, r, c))))):
+                    found.add((r, c, text))
+        return found
+
+    def candidates(self, label: str, path: list | None) -> set[tuple]:
+        """(row, col, text) in the row of a label that its table holds once, under headers that include the path."""
+        found = set()
+        for t in self.tables if path is not None else ():
+            rows, texts = self.labels.get((t, label), ()), set(map(plain, path))
+            if len(rows) == 1:
+                r = rows[0][0]
+                found |= {(r, c, text) for c, wide, text in self.rows[t, r] if any(self.under(t, r, slot, texts) for slot in range(c, c + wide))}
+        return found
+
+
+def located(page: Page, asked: list[dict], choose: bool) -> list[tuple]:
+    """(actual, row, col, reason) of each of ``asked`` (id, table, row_label, header_path); ``choose``: in the best table."""
+    best, why = page.best_table({plain(a["row_label"]) for a in asked}) if choose else (None, None)
+    table = (lambda a: best) if choose else (lambda a: a["table"])
+    found: dict = {}
+    for a in asked:
+        if table(a) is not None:
+            found.setdefault(a["id"], set()).update(page.values(table(a), plain(a["row_label"]), a["header_path"]))
+    out = []
+    for a in asked:
+        met = found.get(a["id"], ())
+        reason = "missing_table" if table(a) is None else "missing_row_or_header" if not met else "ambiguous_cell" if len(met) > 1 else None
+        row, col, actual = next(iter(met)) if reason is None else (None, None, None)
+        out.append((actual, row, col, reason))
+    return out
+
+
+def associated(page: Page, said: list[dict]) -> list[tuple]:
+    """(associated, same_form, candidates) of each of the facts (id, row_label, header_path, value)."""
+    found: dict = {}
+    for f in said:
+        found.setdefault(f["id"], set()).update((f["value"], *c) for c in page.candidates(plain(f["row_label"]), f["header_path"]))
+    out = []
+    for f in said:
+        met = found[f["id"]]
+        equal = [(v, x) for v, _, _, x in met if numbers.amount_of(x) == numbers.amount_of(v)]
+        out.append((len(equal) == 1, len(equal) == 1 and any(plain(x) == plain(v) for v, x in equal), len(met)))
+    return out
+
+
+_LOCATED = {"actual": pa.string(), "row": pa.int32(), "col": pa.int32(), "reason": pa.string()}
+_ASSOCIATED = {"associated": pa.bool_(), "same_form": pa.bool_(), "candidates": pa.int64()}
+_CELLS = ("table", "row", "col", "rowspan", "colspan", "text")
+
+
+def _answers(of, types: dict[str, pa.DataType]):
+    """A function of (page, asked): an answer of ``types`` to each of ``asked`` (array<struct>), in order; a page is HTML text or
+    an array of cells."""
+    schema = f"array<struct<{','.join(f'{n}:{dict(string='string', int32='int', bool='boolean', int64='long')[str(t)]}' for n, t in types.items())}>>"
+
+    def column(page: Column, asked: Column) -> Column:
+        @F.arrow_udf(schema)
+        def run(pages: pa.Array, many: pa.Array) -> pa.Array:
+            html = pa.types.is_string(pages.type) or pa.types.is_large_string(pages.type)
+            rows = []
+            for p, some in zip(pages.to_pylist(), many.to_pylist()):
+                cells = [tuple(getattr(c, n) for n in _CELLS) for c in grids.html_cells(p)[0]] if html else [tuple(c[n] for n in _CELLS) for c in p or []]
+                rows.append(of(Page(cells), some or []))
+            flat = [x for r in rows for x in r]
+            return grids.listed(rows, {n: [x[i] for x in flat] for i, n in enumerate(types)}, types)
+
+        return run(page, asked)
+
+    return column
+
+
+locate_all = _answers(lambda page, asked: located(page, asked, False), _LOCATED)
+locate_in_best = _answers(lambda page, asked: located(page, asked, True), _LOCATED)
+associate_all = _answers(associated, _ASSOCIATED)
+
+
+def _met(cells: DataFrame, asked: DataFrame, keys: list[str], answers) -> DataFrame:
+    """(keys, a, r): each row of ``asked`` as a struct ``a`` with its answer ``r`` from the cells of its document; both
+    sides are gathered by document, and meet once."""
+    pages = cells.groupBy(*keys).agg(F.collect_list(F.struct(*_CELLS)).alias("__p"))
+    many = asked.groupBy(*keys).agg(F.collect_list(F.struct(*[c for c in asked.columns if c not in keys])).alias("__a"))
+    met = many.join(pages, keys, "left").select(*keys, "__a", answers(F.coalesce("__p", F.array().cast(pages.schema["__p"].dataType)), F.col("__a")).alias("__r"))
+    return met.select(*keys, F.explode(F.arrays_zip(F.col("__a").alias("a"), F.col("__r").alias("r"))).alias("x")).select(*keys, "x.a", "x.r")
+
+
 def choose_table(cells: DataFrame, labels: DataFrame, keys: list[str], label: str) -> DataFrame:
     """(keys, table, reason): the table that holds most of the row labels; none if no table or several hold most."""
     said = labels.select(*keys, norm(F.col(label)).alias("__l")).distinct()
@@ -26,47 +185,13 @@ def choose_table(cells: DataFrame, labels: DataFrame, keys: list[str], label: st
     return out.select(*keys, F.when(reason.isNull(), F.col("table")).alias("table"), reason.alias("reason"))
 
 
-def header_cells(cells: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``headers``, the cells above each of the ``values`` (keys, table, row, col) that cover its column, once each
-    and from the top: array<struct<at,text>>."""
-    above = grids.spread(cells).select(*keys, "table", F.col("slot_col").alias("col"), F.col("slot_row").alias("__r"), F.col("row").alias("__o"), F.col("col").alias("__oc"), F.col("text").alias("__t"))
-    placed = values.select(*keys, "table", "row", "col").distinct()
-    met = placed.join(above, [*keys, "table", "col"]).filter("__r < row").groupBy(*keys, "table", "row", "col", "__o", "__oc", "__t").agg(F.min("__r").alias("at"))
-    listed = met.groupBy(*keys, "table", "row", "col").agg(F.array_sort(F.collect_list(F.struct("at", F.col("__t").alias("text")))).alias("headers"))
-    return values.join(listed, [*keys, "table", "row", "col"], "left").withColumn("headers", F.coalesce("headers", F.array().cast("array<struct<at:int,text:string>>")))
-
-
-def header_text(text: Column) -> Column:
-    """A header without what its unit says."""
-    t = F.regexp_replace(norm(text), r"\bhalf[- ]year to\s*", "")
-    return F.trim(F.regexp_replace(t, r"[$£€]\s*(?:million|billion|bn|m)?", ""))
-
-
-def path_matches(headers: Column, path: Column) -> Column:
-    """Whether the components of a path follow each other in the headers, whole and from a cell's beginning on; what
-    comes after the last must not be a percent sign, unless the path says so."""
-    joined = F.array_join(F.transform(headers, lambda h: header_text(h["text"])), " | ")
-    whole = lambda p: F.concat(F.regexp_replace(header_text(p), r"([\\\[\](){}*+?.^$|-])", r"\\$1"), F.lit(r"(?!\w)"))
-    parts = F.transform(path, lambda p, i: F.concat(F.when(i == 0, r"(?>.*?(?:^|\|)\s*").otherwise(r"(?>[\s|]*"), whole(p), F.lit(")")))
-    end = F.when(F.element_at(path, -1).contains("%"), "").otherwise(r"(?!\s*%)")
-    return F.when(F.size(path) > 0, F.regexp_like(joined, F.concat(F.lit("(?sU)^"), F.array_join(parts, ""), end))).otherwise(True)
-
-
 def locate(cells: DataFrame, wanted: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     """(keys, id, actual, row, col, reason) of each of ``wanted`` (keys, id, table, row_label, header_path).
 
     The value stands in the label's row, right of it, under the path; no such cell, or several, is no answer.
     """
-    asked = wanted.select(*keys, id_col, "table", norm(F.col("row_label")).alias("__l"), "header_path")
-    labels = cells.select(*keys, "table", "row", norm(F.col("text")).alias("__l"), (F.col("col") + F.col("colspan")).alias("__right"))
-    rows = asked.filter("table is not null").join(labels, [*keys, "table", "__l"])
-    right = cells.select(*keys, "table", "row", "col", F.col("text").alias("actual"))
-    met = rows.join(right, [*keys, "table", "row"]).filter("col >= __right")
-    found = header_cells(cells, met, keys).filter(path_matches(F.col("headers"), F.col("header_path"))).select(*keys, id_col, "row", "col", "actual").distinct()
-    one = found.groupBy(*keys, id_col).agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("actual", "row", "col")])
-    out = asked.select(*keys, id_col, "table").join(one, [*keys, id_col], "left")
-    reason = F.when(F.col("table").isNull(), "missing_table").when(F.col("n").isNull(), "missing_row_or_header").when(F.col("n") > 1, "ambiguous_cell")
-    return out.select(*keys, id_col, *[F.when(reason.isNull(), F.col(c)).alias(c) for c in ("actual", "row", "col")], reason.alias("reason"))
+    asked = wanted.select(*keys, F.col(id_col).alias("id"), "table", "row_label", "header_path")
+    return _met(cells, asked, keys, locate_all).select(*keys, F.col("a.id").alias(id_col), "r.actual", "r.row", "r.col", "r.reason")
 
 
 def value_checks(located: DataFrame, expected: str, page_text: str) -> DataFrame:
@@ -97,18 +222,8 @@ def facts_met(facts: DataFrame, cells: DataFrame, keys: list[str], id_col: str)
     A table counts if the label stands in it once; a candidate stands in that row under headers that include the path;
     a fact is associated if one candidate has an equal amount.
     """
-    said = facts.select(*keys, id_col, norm(F.col("row_label")).alias("__l"), F.transform("header_path", norm).alias("__path"), "value")
-    labels = cells.select(*keys, "table", "row", norm(F.col("text")).alias("__l"))
-    once = labels.groupBy(*keys, "table", "__l").agg(F.count("*").alias("n"), F.min("row").alias("row")).filter("n = 1").drop("n")
-    in_row = grids.spread(cells).filter("slot_row = row").select(*keys, "table", "row", F.col("col").alias("__c"), F.col("slot_col").alias("col"), F.col("text").alias("actual"))
-    met = header_cells(cells, said.join(once, [*keys, "__l"]).join(in_row, [*keys, "table", "row"]), keys)
-    over = F.transform("headers", lambda h: norm(h["text"]))
-    found = met.filter(F.forall("__path", lambda p: F.array_contains(over, p))).select(*keys, id_col, "value", "row", "__c", "actual").distinct()
-    equal = numbers.amount_key(F.col("actual")) == numbers.amount_key(F.col("value"))
-    counted = found.groupBy(*keys, id_col).agg(F.count("*").alias("candidates"), F.count_if(equal).alias("__n"), F.max(equal & (norm(F.col("actual")) == norm(F.col("value")))).alias("__same"))
-    out = facts.select(*keys, id_col).join(counted, [*keys, id_col], "left")
-    one = F.coalesce(F.col("__n") == 1, F.lit(False))
-    return out.select(*keys, id_col, one.alias("associated"), (one & F.coalesce("__same", F.lit(False))).alias("same_form"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
+    asked = facts.select(*keys, F.col(id_col).alias("id"), "row_label", "header_path", "value")
+    return _met(cells, asked, keys, associate_all).select(*keys, F.col("a.id").alias(id_col), "r.associated", "r.same_form", "r.candidates")
 
 
 def pooled(checks: DataFrame, metrics: list[str], document: str, importance: str) -> DataFrame:

@@ -38,3 +38,10 @@ def spread(scan: DataFrame) -> DataFrame:
     its texts.  Large tables have splits enough and pass unchanged, without a shuffle."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def dealt(scan: DataFrame, key: str) -> DataFrame:
+    """A plain scan dealt out by a key, eight parts for each of its splits and one for each core at least.  For heavy work
+    on what a key gathers, of which the few bytes that are shuffled would make few tasks; that work is then done once, as
+    nothing is asked of a frame that has to be computed."""
+    return scan.repartition(max(scan.sparkSession.sparkContext.defaultParallelism, 8 * scan.rdd.getNumPartitions()), key)
