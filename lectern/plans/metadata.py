@@ -4,11 +4,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import metadata
-from .registry import query, spread, table
+from .registry import dealt, query, table
 
 
 def _pages(spark, d) -> DataFrame:
-    """(doc, page, markdown) of two pages and a title for each order.  By the order's key the cover is a press release of
+    """(doc, pages) of two pages and a title (array of page, markdown) for each order.  By the order's key the cover is a press release of
     a quarter, a presentation with an earnings call, statements with a period end, or says nothing."""
     o = table(spark, d, "orders")
     k, day = F.col("o_orderkey") % 4, F.add_months("o_orderdate", 120)  # years that the rules know
@@ -21,7 +21,7 @@ def _pages(spark, d) -> DataFrame:
     inner = F.when(k == 1, F.concat(F.lit("This presentation of "), long, F.lit(" is ours."))).otherwise(F.concat(F.lit("Table Q1 1999 and "), long))
     page = lambda n, text: F.struct(F.lit(n).cast("int").alias("page"), text.alias("markdown"))
     pages = F.array(page(1, cover), page(2, inner), page(None, F.lit("Untitled")))
-    return spread(o.select(F.col("o_orderkey").alias("doc"), F.explode(pages).alias("p"))).select("doc", "p.*")
+    return dealt(o, "o_orderkey").groupBy(F.col("o_orderkey").alias("doc")).agg(F.flatten(F.collect_list(pages)).alias("pages"))
 
 
 _ORDERS = "(SELECT o_orderkey AS doc, o_orderkey % 4 AS k, strftime(o_orderdate, '%Y-%m-%d') AS day, year(o_orderdate) AS y, quarter(o_orderdate) AS q FROM (SELECT o_orderkey, o_orderdate + INTERVAL 10 YEAR AS o_orderdate FROM orders))"
@@ -33,17 +33,16 @@ unnest([CASE k WHEN 0 THEN 'Acme Holdings plc' WHEN 1 THEN 'Bolt & Co' END, CASE
  CASE k WHEN 0 THEN '{{"year":' || y || ',"kind":"quarter","number":' || q || '}}' WHEN 1 THEN '{{"year":' || y || ',"kind":"half","number":1}}' WHEN 2 THEN '{{"year":' || y || ',"kind":"year","number":null}}' END, CASE WHEN k = 2 THEN day END, CASE WHEN k = 0 THEN day END]) AS value FROM {_ORDERS}""")
 def metadata_fields(spark, d):
     """Five fields of every document, with dates that are no document's date and periods that stand in other pages."""
-    pages = _pages(spark, d)
-    return metadata.decide(metadata.find(pages, "doc", "page", "markdown"), pages).select("doc", "field", "status", "value")
+    made = _pages(spark, d).select("doc", metadata.told(F.col("pages")).alias("t"))
+    return made.select("doc", F.explode("t.decisions").alias("d")).select("doc", "d.field", "d.status", "d.value")
 
 
 @query(f"SELECT doc, count(*) AS n FROM (SELECT doc, unnest(CASE k WHEN 0 THEN [1, 2, 3, 4] WHEN 1 THEN [1, 2, 3, 4] WHEN 2 THEN [1, 2] ELSE [] END) AS e FROM {_ORDERS}) GROUP BY doc")
 def metadata_evidence(spark, d):
     """How many places of a document its decisions quote, where all quotations stand where they say."""
-    pages = _pages(spark, d)
-    decisions = metadata.decide(metadata.find(pages, "doc", "page", "markdown"), pages)
-    wrong = metadata.evidence_errors(decisions, pages, "doc", "page", "markdown").select("doc").distinct()
-    return metadata.catalogue(decisions).join(wrong, "doc", "left_anti").groupBy("doc").agg(F.count("*").alias("n"))
+    made = _pages(spark, d).select("doc", metadata.told(F.col("pages")).alias("t")).filter("t.errors = 0")
+    places = F.array_distinct(F.flatten(F.transform("t.decisions", lambda x: F.coalesce(x["evidence"], F.array().cast("array<struct<page:bigint,start:bigint,after:bigint,quote:string>>")))))
+    return made.select("doc", F.size(places).cast("long").alias("n")).filter("n > 0")
 
 
 @query("""WITH l AS (SELECT l_suppkey AS doc, l_linenumber AS n, l_returnflag AS value, 'resolved' AS status FROM lineitem WHERE l_linenumber < 4 QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_orderkey, l_quantity, l_extendedprice) = 1),
