@@ -218,15 +218,18 @@ def logistic_scores(rows: DataFrame, features: list[str], label: str, fold: str)
     whole = F.lit(True)
     for c in (*features, fold):
         whole = whole & F.col(c).isNotNull()
+    rows = rows.persist()  # each fit passes over them several times
     usable, rest = rows.filter(whole), rows.filter(~whole)
     unscored = lambda df: df.withColumn("probability", F.lit(None).cast("double"))
     out = unscored(rest)
     assembler = VectorAssembler(inputCols=features, outputCol="__raw")
-    for f in [r[0] for r in usable.select(fold).distinct().orderBy(fold).collect()]:
-        test, train = usable.filter(F.col(fold) == f), assembler.transform(usable.filter((F.col(fold) != f) & F.col(label).isNotNull()))
-        if train.select(label).distinct().count() < 2:
+    held = [(r[0], r[1]) for r in usable.groupBy(fold, label).agg(F.count("*")).collect()]
+    for f in sorted({g for g, _ in held}):
+        test = usable.filter(F.col(fold) == f)
+        if len({y for g, y in held if g != f and y is not None}) < 2:
             out = out.union(unscored(test))
             continue
+        train = assembler.transform(usable.filter((F.col(fold) != f) & F.col(label).isNotNull()))
         scaler = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True).fit(train)
         model = LogisticRegression(featuresCol="__x", labelCol=label, predictionCol="__p", probabilityCol="__q", rawPredictionCol="__m", regParam=1e-3).fit(scaler.transform(train))
         scored = model.transform(scaler.transform(assembler.transform(test)))
