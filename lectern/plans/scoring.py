@@ -7,7 +7,7 @@ from ..functions import grids
 from ..operators import bags, intervals, joins, layout, metrics, ranking, rules, stats
 from ..streaming import sessions
 from . import retrieval
-from .registry import counterparts, query, spread, table
+from .registry import counterparts, dealt, query, spread, table
 
 r6 = lambda c: F.round(c, 6)
 
@@ -270,7 +270,7 @@ def layout_scores(spark, d):
 
 @query("SELECT l_suppkey, dense_group, min(l_orderkey) AS first, max(l_orderkey) AS last, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING)::BIGINT AS dense_group FROM (SELECT *, CASE WHEN lag(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) >= l_orderkey - 40 THEN 0 ELSE 1 END AS new FROM lineitem)) GROUP BY ALL")
 def dense_row_groups(spark, d):
-    out = intervals.dense_groups(table(spark, d, "lineitem").select("l_suppkey", "l_orderkey"), ["l_suppkey"], "l_orderkey", 40)
+    out = intervals.dense_groups(dealt(table(spark, d, "lineitem").select("l_suppkey", "l_orderkey"), "l_suppkey"), ["l_suppkey"], "l_orderkey", 40)
     return out.groupBy("l_suppkey", "dense_group").agg(F.min("l_orderkey").alias("first"), F.max("l_orderkey").alias("last"), F.count("*").alias("n"))
 
 
