@@ -6,7 +6,8 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 _HEADING = re.compile(r"^(#{1,6})\s+(.*\S)\s*$")
 _BREAKS = (re.compile(r"(?<=[.!?])\s+"), re.compile(r"\n+"), re.compile(r"\s+"))
@@ -95,18 +96,36 @@ def chunk(text: str, budget: int = 256, tokens=estimate_tokens) -> list[dict]:
     return out
 
 
-CHUNK = "array<struct<start:int,end:int,section_path:array<string>,content_tokens:int,flags:array<string>,indexable:boolean,chunk_id:string>>"
-
-
-def chunk_documents(docs: DataFrame, key: str, text: str, budget: int = 256) -> DataFrame:
-    """(key, ordinal, chunk fields, content) of every document."""
-
-    @F.pandas_udf(CHUNK)
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([chunk(t or "", budget) for t in texts], dtype=object)
-
-    rows = docs.select(key, F.col(text).alias("__t"), F.posexplode(run(F.col(text))).alias("ordinal", "c"))
-    return rows.select(key, "ordinal", "c.*", F.substring(F.col("__t"), F.col("c.start") + 1, F.col("c.end") - F.col("c.start")).alias("content"))
+_CHUNK = {"start": pa.int32(), "end": pa.int32(), "section_path": pa.list_(pa.string()), "content_tokens": pa.int32(), "flags": pa.list_(pa.string()), "indexable": pa.bool_(), "chunk_id": pa.string()}
+CHUNK = "start int, end int, section_path array<string>, content_tokens int, flags array<string>, indexable boolean, chunk_id string"
+#: Characters of the texts whose chunks a task holds at once, beside those of one text.
+_AT_ONCE = 1 << 20
+
+
+def chunk_documents(docs: DataFrame, key: str, text: str, budget: int = 256, content: bool = True) -> DataFrame:
+    """(key, ordinal, chunk fields, content) of every document; the content only where it is wanted."""
+
+    def run(batches):
+        for batch in batches:
+            keys, texts = batch.column(0), batch.column(1)
+            types = {key: keys.type, "ordinal": pa.int32()} | _CHUNK | ({"content": pa.string()} if content else {})
+            rows: dict[str, list] = {n: [] for n in types}
+            held = 0
+            for i in range(len(batch)):
+                t = texts[i].as_py() or ""
+                found = chunk(t, budget)
+                rows[key] += [i] * len(found)
+                rows["ordinal"] += range(len(found))
+                for n in _CHUNK:
+                    rows[n] += [c[n] for c in found]
+                if content:
+                    rows["content"] += [t[c["start"] : c["end"]] for c in found]
+                held += len(t)
+                if held >= _AT_ONCE or i + 1 == len(batch):
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows[key], pa.int32())), *[pa.array(rows[n], types[n]) for n in types if n != key]], names=list(types))
+                    rows, held = {n: [] for n in types}, 0
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ordinal int, {CHUNK}" + ", content string" * content)
 
 
 def pack(ranked: DataFrame, query: str, rank: str, cost: str, budget: int, most: int | None = None) -> DataFrame:
