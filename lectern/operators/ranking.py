@@ -1,6 +1,8 @@
 """BM25 ranking, priority resolution and tie-keeping selections."""
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import STOP_WORDS
@@ -9,10 +11,6 @@ from .stats import discrete_quantile
 K1, B = 1.5, 0.75
 
 
-#: Posted for every document beside its terms, so that one pass over the texts counts documents and lengths too.
-_EVERY = "\u0000"
-
-
 def terms(text: Column) -> Column:
     """Case-folded runs of letters and digits of any script without stop words, as an array."""
     folded = F.translate(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss")), "ςſ", "σs")
@@ -22,11 +20,8 @@ def terms(text: Column) -> Column:
 def postings(docs: DataFrame, key: str, text: str, vocabulary: DataFrame | None = None) -> DataFrame:
     """(key, term, tf, length): the length goes along, so that no second pass over the texts is needed.  Given a
     ``vocabulary`` (term), only its terms are posted; the others are dropped before they are counted."""
-    t = docs.select(key, terms(F.col(text)).alias("__t")).select(key, F.size("__t").cast("long").alias("length"), F.explode(F.array_append("__t", F.lit(_EVERY))).alias("term"))
-    if vocabulary is None:
-        t = t.filter(F.col("term") != _EVERY)
-    else:
-        t = t.join(vocabulary, "term", "left_semi")
+    t = docs.select(key, terms(F.col(text)).alias("__t")).select(key, F.size("__t").cast("long").alias("length"), F.explode("__t").alias("term"))
+    t = t if vocabulary is None else t.join(vocabulary, "term", "left_semi")
     return t.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
 
 
@@ -39,30 +34,119 @@ def eligible(chunks: DataFrame, document: str, wanted=None) -> DataFrame:
     return chunks.filter(F.coalesce(F.col("indexable"), F.lit(True)))
 
 
+#: Terms of documents that are weighed at once.
+_AT_ONCE = 1 << 20
+
+
+class _Index:
+    """The terms of a query set, and which queries hold each."""
+
+    def __init__(self, pairs: list[tuple]):
+        self.queries = list(dict.fromkeys(q for q, _ in pairs))
+        self.terms = {t: i for i, t in enumerate(dict.fromkeys(t for _, t in pairs))}
+        number = {q: i for i, q in enumerate(self.queries)}
+        held = sorted({(self.terms[t], number[q]) for q, t in pairs})
+        self.of = np.array([q for _, q in held], np.int64)
+        self.ends = np.searchsorted([t for t, _ in held], np.arange(len(self.terms) + 1))
+
+    def parts(self, batch: pa.RecordBatch):
+        """(rows, row, term, tf, length) of parts of a batch of (key, terms): row and number of each term that queries hold."""
+        lists = batch.column(1)
+        ends = np.asarray(lists.offsets)
+        words = lists.values.dictionary_encode()
+        numbers = np.array([self.terms.get(w, -1) for w in words.dictionary.to_pylist()] + [-1], np.int64)
+        terms_ = numbers[np.asarray(words.indices)] if len(words) else np.zeros(0, np.int64)
+        ends = ends - lists.values.offset if lists.values.offset else ends
+        cuts = np.unique(np.searchsorted(ends, np.arange(ends[0], ends[-1] + 1, _AT_ONCE)))
+        cuts = [0, *(c for c in cuts if 0 < c < len(ends) - 1), len(ends) - 1]
+        for low, high in zip(cuts, cuts[1:]):
+            lengths = np.diff(ends[low : high + 1])
+            part, row = terms_[ends[low] : ends[high]], np.repeat(np.arange(high - low), lengths)
+            known = part >= 0
+            codes, tf = np.unique(row[known] * max(1, len(self.terms)) + part[known], return_counts=True)
+            yield slice(low, high), codes // max(1, len(self.terms)), codes % max(1, len(self.terms)), tf, lengths
+
+
+def _ranked(docs: DataFrame, key: str, text: str, pairs: list[tuple], query_type: str, query_key: str, k: int) -> DataFrame:
+    """(query_key, key, score) that hold the k best documents of each query: each task counts and weighs the terms of its
+    documents, row by row, and gives its k best.  Keys are unique whole numbers."""
+    index = _Index(pairs)
+    said = docs.select(key, terms(F.col(text)).alias("__t"))
+
+    def count(batches):
+        df, n, total = np.zeros(len(index.terms), np.int64), 0, 0
+        for batch in batches:
+            for rows, _, term, _, lengths in index.parts(batch):
+                df += np.bincount(term, minlength=len(df))
+                n, total = n + rows.stop - rows.start, total + int(lengths.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([*range(len(df)), -1], pa.int64()), pa.array([*df.tolist(), n], pa.int64()), pa.array([0] * len(df) + [total], pa.int64())], names=["term", "df", "total"])
+
+    counted = {r[0]: r for r in said.mapInArrow(count, "term long, df long, total long").groupBy("term").agg(F.sum("df"), F.sum("total")).collect()}
+    n, total = counted[-1][1:] if -1 in counted else (0, 0)
+    df = np.array([counted[i][1] if i in counted else 0 for i in range(len(index.terms))], np.float64)
+    idf, mean = np.log(1 + (n - df + 0.5) / (df + 0.5)), max(1.0, total / n) if n else 1.0
+
+    def best(item, score, keys):
+        """The k best of each item; scores are compared as they are shown."""
+        shown = np.floor(score * 1e6 + 0.5)
+        order = np.lexsort((keys, -shown, item))
+        item, score, keys, shown = item[order], score[order], keys[order], shown[order]
+        place = np.arange(len(item)) - np.searchsorted(item, item)
+        good = (place < k) & (shown > 0)
+        return item[good], score[good], keys[good]
+
+    def weigh(batches):
+        held = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        for batch in batches:
+            ids = np.asarray(batch.column(0).cast(pa.int64()))
+            for rows, row, term, tf, lengths in index.parts(batch):
+                weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / mean))
+                many = index.ends[term + 1] - index.ends[term]
+                at = np.repeat(np.arange(len(term)), many)
+                place = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+                item = index.of[index.ends[term][at] + place]
+                codes, inverse = np.unique(row[at] * max(1, len(index.queries)) + item, return_inverse=True)
+                sums = np.bincount(inverse, weight[at], len(codes))
+                found = (codes % max(1, len(index.queries)), sums, ids[rows][codes // max(1, len(index.queries))])
+                held = best(*(np.concatenate(x) for x in zip(held, found)))
+        item, score, keys = held
+        yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(keys, pa.int64()), pa.array(score, pa.float64())], names=["__q", key, "score"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    found = said.mapInArrow(weigh, f"__q long, `{key}` long, score double")
+    names = docs.sparkSession.createDataFrame(list(enumerate(index.queries)), f"__q long, `{query_key}` {query_type}")
+    return found.join(F.broadcast(names), "__q").select(query_key, F.col(key).cast(kind).alias(key), F.round("score", 6).alias("score"))
+
+
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int, max_broadcast: int = 200_000) -> DataFrame:
     """(query_key, key, score, rank): the k best documents of each query, score > 0, ties by the least key.
 
-    Statistics are those of ``docs``: filter first to rank within a subset.  Only terms of queries are posted.  The
-    terms and pairs of query and term are counted: up to ``max_broadcast`` they are broadcast, so that a frequent term
-    makes no hot partition, else shuffled.  Texts are read twice: for the statistics of terms, and for the weights.
+    Statistics are those of ``docs``: filter first to rank within a subset.  Rows of one key are one document where their
+    lengths are equal.  Texts are read twice: for the statistics of terms, and for the weights.
+
+    Queries of up to ``max_broadcast`` pairs of query and term are sent to the tasks, which rank their own rows, so that
+    what is shuffled is k rows a query and task.  Keys that aren't unique whole numbers, and more queries than that, take
+    postings, which are shuffled.
     """
-    words = queries.select(F.col(query_key), F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
+    words = queries.select(F.col(query_key), F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term")).distinct()
     counted = words.agg(F.count("*").alias("pairs"), F.countDistinct("term").alias("terms")).first()
+    order = Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(key))
+    top = lambda scored: scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    whole = docs.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    if whole and counted["pairs"] <= max_broadcast and not docs.groupBy(key).agg(F.count("*").alias("__n")).filter((F.col("__n") > 1) | F.col(key).isNull()).head(1):
+        kind = queries.schema[query_key].dataType.simpleString()
+        return top(_ranked(docs, key, text, [tuple(r) for r in words.select(query_key, "term").collect()], kind, query_key, k))
     small = lambda rows, n: F.broadcast(rows) if n <= max_broadcast else rows
-    every = docs.sparkSession.createDataFrame([(_EVERY,)], "term string")
-    vocabulary = words.select("term").distinct().union(every)
-    posted = postings(docs, key, text, small(vocabulary, counted["terms"]))
-    df = posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("total"))
+    posted = postings(docs, key, text, small(words.select("term").distinct(), counted["terms"]))
+    df = posted.groupBy("term").agg(F.count("*").alias("df"))
     if counted["terms"] <= max_broadcast:  # kept on the driver as rows, so that the pass isn't made again
         df = docs.sparkSession.createDataFrame(df.collect(), df.schema)
-    size = df.filter(F.col("term") == _EVERY).first()
-    n, mean = (size["df"], max(1.0, size["total"] / size["df"])) if size else (0, 1.0)
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.size(terms(F.col(text))).cast("long")).alias("total")).first()
+    n, mean = size["n"], max(1.0, (size["total"] or 0) / max(1, size["n"]))
     idf = F.ln(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
-    weighted = posted.join(small(df.select("term", "df"), counted["terms"]), "term").select("term", key, weight.alias("w"))
-    scored = weighted.join(small(words, counted["pairs"]), "term").groupBy(query_key, key).agg(F.round(F.sum("w"), 6).alias("score")).filter("score > 0")
-    order = Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(key))
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    weighted = posted.join(small(df, counted["terms"]), "term").select("term", key, weight.alias("w"))
+    return top(weighted.join(small(words, counted["pairs"]), "term").groupBy(query_key, key).agg(F.round(F.sum("w"), 6).alias("score")).filter("score > 0"))
 
 
 def resolve(candidates: DataFrame, keys: list[str], value: str, priority: str) -> DataFrame:

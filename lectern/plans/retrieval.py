@@ -39,13 +39,27 @@ _LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_
 _CHUNKS = f"(SELECT doc_id * 100000 + n AS chunk, doc_id, n, line AS text, length(line) + 1 AS size, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n) - length(line) - 1)::BIGINT AS start FROM {_LINES})"
 
 
+def _chunk_id(n):
+    return F.col("doc_id") * 100000 + n + 1
+
+
 def _line_chunks(spark, d):
-    """(chunk, doc_id, text, start, end): the lines of a document as its chunks, which cover it without a gap."""
-    lines = spread(table(spark, d, "documents").select("doc_id", "text").filter("text is not null")).select("doc_id", F.split("text", "\n", -1).alias("l"))
-    ends = F.transform("l", lambda x: F.length(x).cast("long") + 1)
-    starts = F.slice(F.aggregate(ends, F.array(F.lit(0).cast("long")), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x)), F.lit(1), F.size("l"))
-    rows = lines.select("doc_id", F.posexplode(F.arrays_zip(F.col("l").alias("text"), starts.alias("start"))).alias("n", "c"))
-    return rows.select((F.col("doc_id") * 100000 + F.col("n") + 1).alias("chunk"), "doc_id", "c.text", "c.start", (F.col("c.start") + F.length("c.text") + 1).alias("end"))
+    """(chunk, text): the lines of a document as its chunks, which cover it without a gap."""
+    lines = _split_texts(spark, d).select("doc_id", F.posexplode("l").alias("n", "text"))
+    return lines.select(_chunk_id(F.col("n")).alias("chunk"), "text")
+
+
+def _split_texts(spark, d):
+    return spread(table(spark, d, "documents").select("doc_id", "text").filter("text is not null")).select("doc_id", F.split("text", "\n", -1).alias("l"))
+
+
+def _spans(spark, d, top):
+    """Adds doc_id, start and end to chunks (chunk) that are few: only their lines' places are worked out."""
+    ids = _split_texts(spark, d).select("doc_id", F.explode(F.sequence(F.lit(0), F.size("l") - 1)).alias("n"))
+    met = ids.withColumn("chunk", _chunk_id(F.col("n"))).join(F.broadcast(top), "chunk").distinct()
+    rows = _split_texts(spark, d).join(F.broadcast(met), "doc_id").filter(F.col("n") < F.size("l"))
+    before = F.aggregate(F.slice("l", F.lit(1), F.col("n")), F.lit(0).cast("long"), lambda at, x: at + F.length(x) + 1)
+    return rows.withColumn("start", before).select(*met.columns, "start", (F.col("start") + F.length(F.get("l", F.col("n"))) + 1).alias("end"))
 
 
 _TOP = f"""WITH c AS MATERIALIZED {_CHUNKS}, d AS (SELECT chunk AS doc_id, {_TERMS.format('text')} AS t FROM c),
@@ -69,7 +83,7 @@ def retrieval_hits(spark, d):
     chunks_, items = _line_chunks(spark, d), table(spark, d, "benchmark")
     top = ranking.bm25(chunks_, "chunk", "text", items, "item_id", "text", 3)
     probes = retrieval.sites(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", items.withColumnRenamed("text", "quote"), "item_id", "quote")
-    return retrieval.hits(probes, top.join(chunks_.select("chunk", "doc_id", "start", "end"), "chunk"), "item_id", "doc_id", [1, 3])
+    return retrieval.hits(probes, _spans(spark, d, top), "item_id", "doc_id", [1, 3])
 
 
 @query(f"""WITH h AS ({_TOP}), r AS (SELECT h.*, d.lang AS cohort, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS scope FROM h JOIN documents d USING (doc_id))
@@ -197,7 +211,7 @@ def chunk_lossless(spark, d):
 
 @query()
 def chunk_sections(spark, d):
-    return chunks.chunk_documents(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text").select("doc_id", "ordinal", "start", "end", "content_tokens", "indexable", "chunk_id")
+    return chunks.chunk_documents(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", content=False).select("doc_id", "ordinal", "start", "end", "content_tokens", "indexable", "chunk_id")
 
 
 @query(f"""WITH RECURSIVE top AS ({_bm25_sql(k=10)}), t AS (SELECT item_id, doc_id, score, rank, strlen(text) // 4 AS tokens FROM top JOIN documents USING (doc_id)),
@@ -207,5 +221,5 @@ SELECT item_id, doc_id, score, rank, tokens::INT AS tokens, taken FROM p WHERE r
 def budget_pack(spark, d):
     """Of the ten best documents of an item, the first three that fit into 3,072 tokens together."""
     top = ranking.bm25(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", 10)
-    sized = top.join(table(spark, d, "documents").select("doc_id", F.floor(F.octet_length("text") / 4).cast("int").alias("tokens")), "doc_id")
+    sized = F.broadcast(top).join(table(spark, d, "documents").select("doc_id", F.floor(F.octet_length("text") / 4).cast("int").alias("tokens")), "doc_id")
     return chunks.pack(sized, "item_id", "rank", "tokens", 3072, 3)
